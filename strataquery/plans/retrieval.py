@@ -1,0 +1,26 @@
+"""Retrieval queries over documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataquery.session import table
+
+PROBE = ("the", "license", "and")
+
+
+def lexical_file_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[^a-z0-9_]+")).alias("token"))
+    hits = docs.where(F.col("token").isin(*PROBE))
+    return hits.groupBy("doc_id").agg(F.countDistinct("token").alias("matches"), F.count(F.lit(1)).alias("occurrences")).orderBy(F.desc("matches"), F.desc("occurrences"), "doc_id").limit(50)
+
+
+QUERIES = {"lexical_file_candidates": lexical_file_candidates}
+ORACLE = {
+    "lexical_file_candidates": """
+SELECT doc_id, count(DISTINCT token) AS matches, count(*) AS occurrences
+FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS token FROM documents)
+WHERE token IN ('the', 'license', 'and') GROUP BY doc_id
+ORDER BY matches DESC, occurrences DESC, doc_id LIMIT 50"""
+}
