@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from strataquery.llm import bpe, chat, langid, packing, sharding, warc
+from strataquery.llm import bpe, chat, jaccard, langid, packing, sharding, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_bpe": bpe.op3_bpe,
     "op5_chat": chat.op5_chat,
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_packing": packing.op8_packing,
 }
-ORACLE = {"op5_chat": chat.OP5_SQL}
+ORACLE = {"op2_jaccard": jaccard.OP2_SQL, "op5_chat": chat.OP5_SQL}
