@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataquery.llm import bpe, chat, jaccard, langid, packing, sharding, warc
+from strataquery.llm import bpe, chat, embed, jaccard, langid, packing, sharding, topk, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -12,5 +12,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_sharding": sharding.op7_sharding,
     "op8_packing": packing.op8_packing,
+    "op9_embed": embed.op9_embed,
+    "op10_topk": topk.op10_topk,
 }
-ORACLE = {"op2_jaccard": jaccard.OP2_SQL, "op5_chat": chat.OP5_SQL}
+ORACLE = {"op2_jaccard": jaccard.OP2_SQL, "op5_chat": chat.OP5_SQL, "op9_embed": embed.OP9_SQL, "op10_topk": topk.OP10_SQL}
