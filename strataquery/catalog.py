@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataquery.plans import retrieval
+from strataquery.plans import graphs, symbols, text  # noqa: F401  they register their queries
+from strataquery.plans.registry import ORACLE, QUERIES
 
-QUERIES: dict = {**retrieval.QUERIES}
-ORACLE: dict[str, str] = {**retrieval.ORACLE}
+__all__ = ["ORACLE", "QUERIES"]
