@@ -3,13 +3,15 @@ output is read from the files they left."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.functions.text import glob_regex, is_secret_path, language_of, module_name, normal_path, token_estimate
+from strataquery.functions.text import glob_regex, is_secret_path, language_of, module_name, token_estimate
 
 
 def admission(path: Column, rules: list[tuple[str, bool | None, str | None]]) -> tuple[Column, Column]:
@@ -29,20 +31,39 @@ def admission(path: Column, rules: list[tuple[str, bool | None, str | None]]) ->
 PRUNED = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target")
 
 
-def scan(spark: SparkSession, root: str, rules: list | None = None, glob: str | None = None) -> DataFrame:
+def walk(root: str) -> Iterator[tuple[str, int, float]]:
+    """(path, size, modification time) of the files below a folder; pruned folders are not entered. Only names are
+    read here: Spark's own file sources pass over names that begin with an underscore or a dot."""
+    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    todo = [base.rstrip("/")]
+    while todo:
+        for f in sorted(fs.get_file_info(pafs.FileSelector(todo.pop())), key=lambda f: f.path):
+            if f.type == pafs.FileType.Directory:
+                if f.base_name not in PRUNED:
+                    todo.append(f.path)
+            elif f.type == pafs.FileType.File:
+                yield f.path[len(base.rstrip("/")) + 1 :], f.size, f.mtime.timestamp() if f.mtime else 0.0
+
+
+def scan(spark: SparkSession, root: str, rules: list | None = None, partitions: int | None = None) -> DataFrame:
     """Admitted files below a folder: path, language, module, visibility, size, digest, tokens, text."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    base = "file:" + root.rstrip("/") if root.startswith("/") else root.rstrip("/")
-    cut = "^" + re.sub(r"([^A-Za-z0-9/:_-])", r"\\\1", base).replace("file:/", "file:/+") + "/*"
-    rel = normal_path(F.regexp_replace("path", cut, ""))
-    rows = raw.select(rel.alias("path"), "length", "modificationTime", "content").where(F.col("path").isNotNull() & ~F.col("path").rlike(r"(^|/)(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/"))
+    listed = spark.createDataFrame(list(walk(root)), "path string, size long, modificationTime double")
     index, visible = admission(F.col("path"), rules or [])
-    text = F.decode("content", "UTF-8")
-    return rows.select(
-        "path", language_of(F.col("path")).alias("language"), module_name(F.col("path")).alias("module_name"), index.alias("indexed"), visible.alias("evidence_visibility"),
-        F.col("length").alias("size"), "modificationTime", F.sha2("content", 256).alias("file_digest"), token_estimate(text).alias("full_tokens"), text.alias("text"),
-    ).where("indexed")
+    rows = listed.withColumn("evidence_visibility", visible).where(index)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        for b in batches:
+            for i, path in enumerate(b.column(0).to_pylist()):
+                with fs.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as f:
+                    yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, pa.array([f.read()], pa.binary())], [*b.schema.names, "content"])
+
+    raw = rows.repartition(partitions or spark.sparkContext.defaultParallelism, "path").mapInArrow(read, "path string, size long, modificationTime double, evidence_visibility string, content binary")
+    text = F.expr("try_validate_utf8(CAST(content AS STRING))")
+    return raw.select(
+        "path", language_of(F.col("path")).alias("language"), module_name(F.col("path")).alias("module_name"), "evidence_visibility", "size", "modificationTime",
+        F.sha2("content", 256).alias("file_digest"), F.coalesce(text, F.lit("")).alias("text"),
+    ).withColumn("full_tokens", token_estimate(F.col("text")))
 
 
 def resolve_globs(paths: DataFrame, globs: list[str], exclude: list[str] | None = None) -> DataFrame:
