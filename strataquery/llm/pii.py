@@ -5,7 +5,8 @@ each found value is a protected entity, and the corpus tells how strongly a term
 over distinct texts, PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) is set against the entity's own information
 IC(e) = log2(N / n(e)). A term (a word of at least three letters within `WINDOW` characters of the entity) is
 generalised from a share of `GENERALISE` of that information and removed from `REMOVE` on, provided that it stands by
-the entity in at least `SUPPORT` different contexts (a copied passage is one context). Its spans, in every text that
+the entity in at least `SUPPORT` different contexts, and that the entity's contexts are worth as many independent ones
+(their terms together against the terms of one: copies and near copies of a passage are worth one). Its spans, in every text that
 holds the entity, come beside the base ones, which all stay.
 
 Patterns are written with possessive repetition and look-behind where nothing is gained by trying again, so the time is
@@ -77,18 +78,22 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     seen = found.where(F.size("_base") > 0).select("_key", F.explode("_base").alias("b")).select("_key", F.concat_ws(":", "b.k", F.lower("b.v")).alias("entity"), F.col("b.c").alias("context"))
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(WORD), F.lit(0))))
     pairs = seen.select("_key", "entity", F.xxhash64("context").alias("context"), words.alias("term"))
-    joint = pairs.groupBy("entity", "term").agg(F.countDistinct("_key").alias("n_te"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    joint = stored(joint, "pii-joint")
+    apart = F.countDistinct("term") * F.countDistinct("context") / F.countDistinct("context", "term")
+    own = stored(pairs.groupBy("entity").agg(F.countDistinct("_key").alias("n_e"), apart.alias("apart")).where(F.col("apart") >= SUPPORT), "pii-entities")
+    joint = pairs.join(own, "entity").groupBy("entity", "term", "n_e").agg(F.countDistinct("_key").alias("n_te"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    # n(t) is at least the number of texts in which t stands by any entity; a term too common for the threshold goes here.
+    by_any = pairs.groupBy("term").agg(F.countDistinct("_key").alias("n_any"))
+    most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - GENERALISE))
+    joint = stored(joint.join(by_any, "term").where(F.col("n_any") <= most).drop("n_any"), "pii-joint")
     terms = stored(joint.select("term").distinct(), "pii-terms")
     known = terms.count()
     near = (lambda df, size: F.broadcast(df) if size <= COPIED else df)
     if known:
-        every = docs.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term"))
+        every = docs.select(F.xxhash64("_key").alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term"))
         counts = every.join(near(terms, known), "term", "left_semi").groupBy("term").agg(F.countDistinct("_key").alias("n_t"))
     else:
         counts = terms.select("term", F.lit(1).cast("long").alias("n_t"))
-    own = seen.groupBy("entity").agg(F.countDistinct("_key").alias("n_e"))
-    weighed = joint.join(counts, "term").join(own, "entity").withColumn("ic", F.log2(F.lit(float(n)) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
+    weighed = joint.join(counts, "term").withColumn("ic", F.log2(F.lit(float(n)) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
     told = weighed.where((F.col("ic") > 0) & (F.col("pmi") >= GENERALISE * F.col("ic"))).select("entity", "term", F.when(F.col("pmi") >= REMOVE * F.col("ic"), "removed").otherwise("term").alias("kind"))
     # A term that several entities of a text call for is removed if any of them calls for that.
     worst = seen.select("_key", "entity").distinct().join(told, "entity").groupBy("_key", "term").agg(F.min("kind").alias("kind"))
