@@ -28,7 +28,9 @@ SIZE, SAMPLE, BLOCK = 400, 5000, 1 << 20
 
 
 def letter_codes(text: str) -> np.ndarray:
-    """Code points of the lower-cased text's letters, runs of anything else as one 0, with a 0 at either end."""
+    """Code points plus 1 of the lower-cased text's letters, runs of anything else as one 1 (a blank), one at either end.
+
+    A blank is not 0, so that n-grams of different lengths never look alike."""
     low = text.lower()
     codes = np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     kinds, where = np.unique(codes, return_inverse=True) if len(codes) > 4096 else (None, None)
@@ -36,8 +38,8 @@ def letter_codes(text: str) -> np.ndarray:
         letter = np.fromiter((c.isalpha() for c in low), bool, len(codes))
     else:
         letter = np.fromiter((chr(k).isalpha() for k in kinds), bool, len(kinds))[where]
-    codes = np.concatenate(([0], np.where(letter, codes, 0), [0]))
-    return codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
+    codes = np.concatenate(([1], np.where(letter, codes + 1, 1), [1]))
+    return codes[np.concatenate(([True], (codes[1:] != 1) | (codes[:-1] != 1)))]
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +50,9 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
         return kinds, counts
     for at in range(0, len(codes), BLOCK):
         c = codes[at : at + BLOCK + 2]
-        grams = [c[: min(BLOCK, len(c))], (c[:-1] << 21 | c[1:])[:BLOCK]]
-        one, two, three = c[:-2], c[1:-1], c[2:]
-        grams.append((one << 42 | two << 21 | three)[two != 0][:BLOCK])
-        k, n = np.unique(np.concatenate([g[g != 0] for g in grams]), return_counts=True)
+        single, pair = c[:BLOCK], (c[:-1] << 21 | c[1:])[:BLOCK]
+        one, two, three = (c[i : len(c) - 2 + i][:BLOCK] for i in range(3))
+        k, n = np.unique(np.concatenate((single[single != 1], pair, (one << 42 | two << 21 | three)[two != 1])), return_counts=True)
         if at:
             merged, where = np.unique(np.concatenate((kinds, k)), return_inverse=True)
             counts = np.bincount(where, np.concatenate((counts, n)), len(merged)).astype(np.int64)
