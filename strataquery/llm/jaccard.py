@@ -2,7 +2,8 @@
 
 1. Equal shingle sets collapse to one class (its smallest doc_id stands for it).
 2. Prefix filter: under one total order of shingles, similar sets share a shingle among the first
-   n - ceil(0.8 n) + 1 of each. The order puts shingles that a count sketch of the whole corpus marks as frequent last,
+   p = n - ceil(0.8 n) + 1 of each, and k shingles among the first p - 1 + k. A document that shares too few of the
+   latter (k = n / 5) with all others together has no partner. The order puts shingles that a count sketch of the whole corpus marks as frequent last,
    so a passage that many documents share doesn't bring them together. The sketch has a fixed number of counters (at
    most 2^24 bytes when broadcast); any order gives the same links, a rough sketch only gives larger groups.
 3. Shingles are dealt to hash buckets as packed postings; a bucket keeps those that two sets share, and lists of
@@ -29,61 +30,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.llm.common import components, map_groups, stored
+from strataquery.llm.shingles import batches_of_sets, mix
 from strataquery.llm.sigtree import spanning_links
 
-WORDS_KEPT, BLOCK, COPIED = 500_000, 2048, 2_000_000
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+BLOCK, COPIED = 2048, 2_000_000
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept for a bounded number of them."""
+def least_overlap(n: int) -> int:
+    return (80 * n + 99) // 100
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
 
-
-_words = _Words()
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = h + _MIX[0]
-    h = (h ^ (h >> np.uint64(30))) * _MIX[1]
-    h = (h ^ (h >> np.uint64(27))) * _MIX[2]
-    return h ^ (h >> np.uint64(31))
-
-
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the text's n-word shingles; ASCII white space parts words, A-Z are lower-cased."""
-    words = text.encode("utf-8").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.array([_words[x] for x in words], np.uint64)
-    run = min(n, len(w))
-    h = np.full(len(w) - run + 1, run, np.uint64)
-    for i in range(run):
-        h = h * _MIX[0] + w[i : len(w) - run + 1 + i]
-    return np.unique(mix(h))
+def prefix_length(n: int) -> int:
+    return n - least_overlap(n) + 1
 
 
-def prefix_length(n: int) -> int:
-    return n - (80 * n + 99) // 100 + 1
+def extra(n: int) -> int:
+    """How many shared shingles are asked for among the first prefix_length(n) - 1 + extra(n)."""
+    return max(1, n // 5)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
-            yield part.column(0).to_pylist(), [shingles(t) for t in part.column(1).to_pylist()]
+def asked(n: int) -> int:
+    """The shared shingles that a set of n needs to have any partner: partners may be smaller, and ask for fewer."""
+    return extra(least_overlap(n))
 
 
 def set_ids(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, and a 128-bit digest of the shingle set (null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _rows(batches):
+        for ids, sets in batches_of_sets(batches):
             d = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.binary())], ["doc_id", "n_shingles", "digest"])
 
@@ -103,7 +78,7 @@ def sketch(docs: DataFrame, total: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        for _, sets in _rows(batches):
+        for _, sets in batches_of_sets(batches):
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         codec = pa.Codec("zstd")
@@ -131,17 +106,23 @@ def sketch(docs: DataFrame, total: int) -> np.ndarray:
 
 
 def prefix(h: np.ndarray, levels: np.ndarray, shift: np.uint64) -> np.ndarray:
-    """The first shingles in the order (level, hash)."""
-    p = prefix_length(len(h))
+    """The first shingles in the order (level, hash), prefix_length(n) - 1 + extra(n) of them."""
+    p = prefix_length(len(h)) - 1 + extra(len(h))
     level = levels[(h >> shift).astype(np.int64)]
     rare = h[level == 0]
     return rare[:p] if len(rare) >= p else h[np.argsort(level, kind="stable")[:p]]
 
 
+def _runs(h: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
+
+
 def groups(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
-    """(gid, doc_id, df): lists of documents that share a prefix shingle, equal lists once."""
+    """(gid, doc_id, df): lists of documents that share a prefix shingle, equal lists once.
+
+    A document that shares fewer than `asked` of its longer prefix's shingles with any other has no partner and goes."""
     spark = docs.sparkSession
-    buckets = max(1, total // 5 // 250_000)
+    buckets = max(1, total * 2 // 5 // 500_000)
     shift = np.uint64(64 - (len(levels).bit_length() - 1))
     sent = spark.sparkContext.broadcast(levels)
 
@@ -154,18 +135,22 @@ def groups(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
             b = (mix(h) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             h, d, b = h[order], d[order], b[order]
-            cuts = np.concatenate(([0], np.flatnonzero(b[1:] != b[:-1]) + 1, [len(b)]))
+            cuts = np.concatenate((_runs(b), [len(b)]))
             blobs = [h[i:j].tobytes() + d[i:j].view(np.uint8).reshape(-1, 8).T.tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(b[cuts[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         size = 0
-        for ids, sets in _rows(batches):
+        for ids, sets in batches_of_sets(batches):
             for i, s in zip(ids, sets, strict=True):
                 if i is not None and len(s):
-                    held.append(prefix(s, sent.value, shift))
-                    owners.append(np.full(len(held[-1]), i, np.int64))
-                    size += len(held[-1])
-            if size > 2_000_000:
+                    # ids carry, in the lowest bit, whether the shingle is in the plain prefix
+                    first = prefix(s, sent.value, shift)
+                    held.append(first)
+                    owner = np.full(len(first), i << 1, np.int64)
+                    owner[: prefix_length(len(s))] |= 1
+                    owners.append(owner)
+                    size += len(first)
+            if size > 1_000_000:
                 yield from flush()
                 held, owners, size = [], [], 0
         if held:
@@ -178,22 +163,42 @@ def groups(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
                 raw = [np.frombuffer(x, np.uint8) for x in blobs[i:j]]
                 h = np.concatenate([x[: len(x) // 2].view(np.uint64) for x in raw])
                 d = np.concatenate([np.ascontiguousarray(x[len(x) // 2 :].reshape(8, -1).T).view(np.int64).ravel() for x in raw])
-                order = np.lexsort((d, h))
+                order = np.argsort(h, kind="stable")
                 h, d = h[order], d[order]
-                keep = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
+                df = np.diff(np.concatenate((_runs(h), [len(h)])))
+                many = np.repeat(df > 1, df)
+                h, d = h[many], d[many]
+                order = np.lexsort((-d, h))  # a document's plain-prefix posting first
+                h, d = h[order], d[order]
+                keep = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] >> 1 != d[:-1] >> 1))) if len(h) else np.zeros(0, bool)
                 h, d = h[keep], d[keep]
-                first = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1))
+                if not len(h):
+                    continue
+                df = np.diff(np.concatenate((_runs(h), [len(h)])))
+                owner, n = np.unique(d[np.repeat(df > 1, df)] >> 1, return_counts=True)
+                plain = (d & 1) == 1
+                h, d = h[plain], d[plain] >> 1
+                first = _runs(h)
                 df = np.diff(np.concatenate((first, [len(h)])))
                 gid = mix(np.add.reduceat(mix(d.view(np.uint64)), first)).view(np.int64)
-                many = np.flatnonzero(df > 1)
-                if not len(many):
-                    continue
-                once = many[np.unique(gid[many], return_index=True)[1]]
-                rows = np.repeat(first[once] - np.concatenate(([0], np.cumsum(df[once])[:-1])), df[once]) + np.arange(df[once].sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid[once], df[once])), pa.array(d[rows]), pa.array(np.repeat(df[once], df[once]))], ["gid", "doc_id", "df"])
+                some = np.flatnonzero(df > 1)
+                once = some[np.unique(gid[some], return_index=True)[1]]
+                rows = np.repeat(first[once] - np.concatenate(([0], np.cumsum(df[once])[:-1]))[: len(once)], df[once]) + np.arange(df[once].sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((np.zeros(len(owner), np.int64), np.repeat(gid[once], df[once])))), pa.array(np.concatenate((owner, d[rows]))), pa.array(np.concatenate((n, np.zeros(len(rows), np.int64))))], ["gid", "doc_id", "n"])
 
     postings = docs.select("doc_id", "text").mapInArrow(post, "bucket long, blob binary")
-    return map_groups(postings, ["bucket"], shared, "gid long, doc_id long, df long").groupBy("gid", "doc_id").agg(F.max("df").alias("df"))
+    # rows with n: how many shingles a document shares; rows without: members of a group
+    found = stored(map_groups(postings, ["bucket"], shared, "gid long, doc_id long, n long").groupBy("gid", "doc_id").agg(F.sum("n").alias("n")), "jaccard-shared")
+    return found
+
+
+def open_groups(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(gid, doc_id, df) of groups of two or more after documents without a possible partner are gone."""
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * 80 / 100) / 5)).cast("long")
+    may = found.where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("n")).join(sizes.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles")), "doc_id").where(F.col("n") >= least).select("doc_id")
+    rows = stored(found.where("n = 0").select("gid", "doc_id").join(may, "doc_id", "left_semi"), "jaccard-members")
+    df = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return rows.join(df, "gid")
 
 
 def join_groups(docs: DataFrame, members: DataFrame, chain: bool) -> DataFrame:
@@ -206,7 +211,7 @@ def join_groups(docs: DataFrame, members: DataFrame, chain: bool) -> DataFrame:
     cells = cut.withColumn("_o", F.explode(near)).select("gid", "doc_id", "component", F.col("_b").cast("long").alias("block"), F.least("_b", "_o").cast("long").alias("i"), F.greatest("_b", "_o").cast("long").alias("j"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _rows(batches):
+        for ids, sets in batches_of_sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "set"])
 
     def join(parts: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     copies = nodes.where("doc_id <> rep").select("doc_id").subtract(kept.select(F.col("rep").alias("doc_id")))
     own = only_ids(docs, stored(copies, "jaccard-copies"), "left_anti")
     levels = sketch(own, total)
-    shared = stored(groups(own, levels, total), "jaccard-groups")
+    shared = stored(open_groups(groups(own, levels, total), ids.select("doc_id", "n_shingles")), "jaccard-groups")
     # A row can be in the class of a smaller id while another row of the same id stands for a class: ids tie them together.
     same = nodes.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     tied = same.join(kept.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")

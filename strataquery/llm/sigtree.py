@@ -17,13 +17,13 @@ MEMORY = 1 << 25
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 |x & y| >= 80 |x | y| for sorted distinct arrays."""
-    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+    """100 |x & y| >= 80 |x | y| for sorted distinct arrays; empty ones are similar to nothing."""
+    if not len(x) or not len(y) or 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
         return False
     a, b = (x, y) if len(x) <= len(y) else (y, x)
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
-    shared = int(np.count_nonzero(b[at] == a)) if len(b) else 0
+    shared = int(np.count_nonzero(b[at] == a))
     return 9 * shared >= 4 * (len(x) + len(y))
 
 
