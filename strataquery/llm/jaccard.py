@@ -8,9 +8,9 @@
    most 2^24 bytes when broadcast); any order gives the same links, a rough sketch only gives larger groups.
 3. Shingles are dealt to hash buckets as packed postings; a bucket keeps those that two sets share, and lists of
    documents that come up for many shingles are kept once (`groups`).
-4. Each group is joined by signature trees (see sigtree): first every document in its largest group, then all groups
-   whose members are not yet in one component. Groups of more than `BLOCK` are cut into blocks and joined block pair by
-   block pair, so no task holds more than two blocks.
+4. Documents are joined by signature trees (see sigtree): first those that have the same largest group, then those
+   of different ones that share a group and are not yet in one component (`links_of`). Groups of more than `BLOCK` are
+   cut into blocks and joined block pair by block pair, so no task holds more than two blocks.
 5. Components of the verified links, by star rounds. Links are spanning: copies are never expanded into all pairs.
 
 Edge cases: null and wordless texts have an empty set and are linked with nothing; with fewer than five words the whole
@@ -201,14 +201,26 @@ def open_groups(found: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.join(df, "gid")
 
 
-def join_groups(docs: DataFrame, members: DataFrame, chain: bool) -> DataFrame:
-    """Links (a, b) among members (gid, doc_id, df, component) of each group.
-
-    Large groups are cut into blocks by a hash of doc_id. chain: only each block with itself and with the next one."""
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    cut = members.withColumn("_n", blocks).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"))
+def cells_of(members: DataFrame, chain: bool) -> DataFrame:
+    """Cells of each group (gid, doc_id, df, component): the group itself, or pairs of its blocks of about `BLOCK`, cut by
+    a hash of doc_id. chain: only each block with itself and with the next one."""
+    cut = members.withColumn("_n", F.ceil(F.col("df") / BLOCK).cast("int")).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"))
     near = F.expr("filter(array(_b - 1, _b, _b + 1), x -> x >= 0 AND x < _n)") if chain else F.expr("sequence(0, _n - 1)")
-    cells = cut.withColumn("_o", F.explode(near)).select("gid", "doc_id", "component", F.col("_b").cast("long").alias("block"), F.least("_b", "_o").cast("long").alias("i"), F.greatest("_b", "_o").cast("long").alias("j"))
+    return cut.withColumn("_o", F.explode(near)).select("gid", "doc_id", "component", F.col("_b").cast("long").alias("block"), F.least("_b", "_o").cast("long").alias("i"), F.greatest("_b", "_o").cast("long").alias("j"))
+
+
+def visits(members: DataFrame, visitors: DataFrame) -> DataFrame:
+    """Cells in which visitors (gid, doc_id, component) meet the members of a group, and only those."""
+    sizes = visitors.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_v"))
+    m = members.join(sizes, "gid").withColumn("_n", F.ceil(F.col("df") / BLOCK).cast("int"))
+    shape = m.groupBy("gid").agg(F.max("_n").alias("_n"), F.max("_v").alias("_v"))
+    own = m.select("gid", "doc_id", "component", F.lit(0).cast("long").alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("long").alias("i"), F.explode(F.expr("sequence(0L, _v - 1L)")).alias("j"))
+    other = visitors.join(shape, "gid").select("gid", "doc_id", "component", F.lit(1).cast("long").alias("block"), F.explode(F.expr("sequence(0L, _n - 1L)")).alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("_v")).cast("long").alias("j"))
+    return own.union(other)
+
+
+def join_cells(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links (a, b) within each cell; where it has two blocks, between them."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in batches_of_sets(batches):
@@ -226,10 +238,36 @@ def join_groups(docs: DataFrame, members: DataFrame, chain: bool) -> DataFrame:
                         b.append(ids[i + y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sets = only_ids(docs, members.select("doc_id").distinct()).select("doc_id", "text").mapInArrow(hashes, "doc_id long, set binary")
+    cells = stored(cells, "jaccard-cells")
+    sets = only_ids(docs, cells.select("doc_id").distinct()).select("doc_id", "text").mapInArrow(hashes, "doc_id long, set binary")
     return map_groups(cells.join(sets, "doc_id"), ["gid", "i", "j"], join, "a long, b long", order=("doc_id",))
 
 
+def links_of(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Verified links that connect whatever similar pairs connect, from groups (gid, doc_id, df).
+
+    Every document is at home in its largest group; those who share a home are joined first. A pair with two homes that
+    is still in two components meets when the one of the smaller home class visits the class of the other: so a set
+    travels once for each class it has to meet, however many groups the two share."""
+    home = shared.groupBy("doc_id").agg(F.max(F.struct("df", "gid"))["gid"].alias("home"))
+    size = home.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    home = stored(home.join(size, "home"), "jaccard-home")
+    classes = home.select(F.col("home").alias("gid"), "doc_id", F.col("n").alias("df"))
+    first = stored(join_cells(docs, cells_of(classes.where("df > 1").withColumn("component", F.col("doc_id")), True)), "jaccard-links")
+    now = components(first, "jaccard-components")
+    placed = stored(home.join(now, F.col("doc_id") == F.col("node"), "left").select("doc_id", "home", "n", F.coalesce("component", "doc_id").alias("component")), "jaccard-placed")
+    members = placed.select(F.col("home").alias("gid"), "doc_id", F.col("n").alias("df"), "component")
+    torn = members.where(F.col("df") > BLOCK).groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
+    second = join_cells(docs, cells_of(members.join(torn, "gid", "left_semi"), False))
+    rows = shared.select("gid", "doc_id").join(placed, "doc_id")
+    met = rows.groupBy("gid", F.col("home").alias("_h"), F.col("n").alias("_m"), F.col("component").alias("_c")).agg(F.lit(1).alias("_one"))
+    larger = (F.col("n") < F.col("_m")) | ((F.col("n") == F.col("_m")) & (F.col("home") < F.col("_h")))
+    open_ = met.groupBy("gid").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).where("x <> y").select("gid")
+    visitors = rows.join(open_, "gid", "left_semi").join(met, "gid").where(larger & (F.col("component") != F.col("_c"))).select(F.col("_h").alias("gid"), "doc_id", "component").distinct()
+    third = join_cells(docs, visits(members, stored(visitors, "jaccard-visitors")))
+    return first.union(second).union(third)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for documents (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -245,14 +283,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A row can be in the class of a smaller id while another row of the same id stands for a class: ids tie them together.
     same = nodes.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     tied = same.join(kept.select(F.col("rep").alias("a")).distinct(), "a", "left_semi")
-    home = shared.groupBy("doc_id").agg(F.max(F.struct("df", "gid")).alias("g")).select("g.gid", "doc_id", "g.df", F.col("doc_id").alias("component"))
-    first = stored(join_groups(own, home, True), "jaccard-links")
-    now = components(first, "jaccard-components")
-    placed = shared.join(now, F.col("doc_id") == F.col("node"), "left").select("gid", "doc_id", "df", F.coalesce("component", "doc_id").alias("component"))
-    open_ = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
-    rest = stored(placed.join(open_, "gid", "left_semi"), "jaccard-open")
-    second = stored(join_groups(own, rest, False), "jaccard-links")
-    final = components(first.union(second).union(tied.select("a", "b")), "jaccard-components")
+    links = stored(links_of(own, shared), "jaccard-links")
+    final = components(links.union(tied.select("a", "b")), "jaccard-components")
     return nodes.join(final, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
