@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,7 +96,3 @@ def shortest(df: DataFrame, width: Column, keys: list[str], tie: list) -> DataFr
     """Rows of the smallest width per key, with the number of rows that share it."""
     ranked = df.withColumn("_w", width).withColumn("_r", F.rank().over(Window.partitionBy(*keys).orderBy("_w"))).where("_r = 1")
     return ranked.withColumn("n_best", F.count(F.lit(1)).over(Window.partitionBy(*keys))).drop("_w", "_r")
-
-
-def batches(df: DataFrame, n: int) -> Iterator[DataFrame]:
-    yield from df.randomSplit([1.0] * n, seed=1)

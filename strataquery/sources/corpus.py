@@ -7,11 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.functions.text import identifier_terms, line_terms, short_name, token_estimate
+from strataquery.functions.text import line_terms, short_name, token_estimate
 from strataquery.session import table
 
-__all__ = ["dependency_edges", "dependency_nodes", "edges", "files", "identifier_terms", "lines", "postings", "symbols"]
-
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
