@@ -260,10 +260,11 @@ def links_of(docs: DataFrame, shared: DataFrame) -> DataFrame:
     torn = members.where(F.col("df") > BLOCK).groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
     second = join_cells(docs, cells_of(members.join(torn, "gid", "left_semi"), False))
     rows = shared.select("gid", "doc_id").join(placed, "doc_id")
-    met = rows.groupBy("gid", F.col("home").alias("_h"), F.col("n").alias("_m"), F.col("component").alias("_c")).agg(F.lit(1).alias("_one"))
+    met = rows.groupBy("gid", F.col("home").alias("_h"), F.col("n").alias("_m")).agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
     larger = (F.col("n") < F.col("_m")) | ((F.col("n") == F.col("_m")) & (F.col("home") < F.col("_h")))
-    open_ = met.groupBy("gid").agg(F.min("_c").alias("x"), F.max("_c").alias("y")).where("x <> y").select("gid")
-    visitors = rows.join(open_, "gid", "left_semi").join(met, "gid").where(larger & (F.col("component") != F.col("_c"))).select(F.col("_h").alias("gid"), "doc_id", "component").distinct()
+    open_ = met.groupBy("gid").agg(F.min("_x").alias("x"), F.max("_y").alias("y")).where("x <> y").select("gid")
+    apart = (F.col("component") != F.col("_x")) | (F.col("component") != F.col("_y"))
+    visitors = rows.join(open_, "gid", "left_semi").join(met, "gid").where(larger & apart).select(F.col("_h").alias("gid"), "doc_id", "component").distinct()
     third = join_cells(docs, visits(members, stored(visitors, "jaccard-visitors")))
     return first.union(second).union(third)
 
