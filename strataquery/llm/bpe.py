@@ -1,7 +1,7 @@
 """BPE encoding by prefix-sharing trie traversal, and decoding.
 
 For a BPE vocabulary every prefix of a word has one last token: the token t, ending there, that is compatible with the
-last token of the prefix before t (the two, merged from bytes, give back exactly these two). Distinct words of a batch
+last token of the prefix before t (the two, merged from their bytes, give back exactly these two). Distinct words of a batch
 are put into a trie; a depth-first walk hands each node's last-token states down, so a prefix that many words share is
 encoded once, and any word's encoding is read off by following last tokens back. The work is linear in the trie's size
 times the longest token, also for a word of a million characters.
@@ -47,13 +47,16 @@ class Encoder:
         self.bytes = {i: s for s, i in self.ids.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.ids))
+        self.halves = {a + b: (a, b, r) for (a, b), r in sorted(self.ranks.items(), key=lambda x: -x[1])}  # the first merge that makes a token
+        #: What words may end in: every suffix of a token, with its id where it is one.
+        self.ends = dict.fromkeys((s[i:] for s in self.ids for i in range(len(s))), -1) | self.ids
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes |= {i: s.encode() for s, i in self.added.items()}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.words = regex.compile(WORDS)
         self.fits: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
@@ -66,13 +69,38 @@ class Encoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def edge(self, token: bytes, side: int) -> list[tuple[bytes, float]]:
+        """The pieces that lie at one end of a token (0 left, 1 right) while it is merged, each with the rank at which
+        the next merge takes it up."""
+        out, until = [], float("inf")
+        while True:
+            out.append((token, until))
+            if token not in self.halves:
+                return out
+            until = self.halves[token][2]
+            token = self.halves[token][side]
+
     def compatible(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of two tokens gives back exactly these two: no merge over their border comes before
+        the merges within them take its pieces up (of equal ranks the one further left comes first)."""
         found = self.fits.get((left, right))
         if found is None:
             if len(self.fits) > 4_000_000:
                 self.fits.clear()
-            a, b = self.bytes[left], self.bytes[right]
-            found = self.fits[left, right] = self.merged(a + b) == [a, b]
+            ranks = self.ranks
+            for a, until_a in self.edge_of(left, 1):
+                for b, until_b in self.edge_of(right, 0):
+                    r = ranks.get((a, b))
+                    if r is not None and r < until_a and r <= until_b:
+                        self.fits[left, right] = False
+                        return False
+            found = self.fits[left, right] = True
+        return found
+
+    def edge_of(self, token: int, side: int) -> list[tuple[bytes, float]]:
+        found = self.edges[side].get(token)
+        if found is None:
+            found = self.edges[side][token] = self.edge(self.bytes[token], side)
         return found
 
     def reachable(self, token: int) -> bool:
@@ -85,7 +113,7 @@ class Encoder:
     def encode_words(self, words: set[bytes]) -> dict[bytes, list[int]]:
         """Depth-first over the trie of distinct words: sorted order visits it so, and the stack of last tokens is cut
         back to the prefix that a word shares with the one before."""
-        ids, longest, out = self.ids, self.longest, {}
+        ends, fits, out = self.ends, self.fits, {}
         last: list[int] = []  # last[i]: last token of the current path's first i + 1 bytes
         path = b""
         for word in sorted(words):
@@ -94,9 +122,19 @@ class Encoder:
                 same += 1
             del last[same:]
             for end in range(same + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (self.compatible(last[start - 1], token) if start else self.reachable(token)):
+                tokens, start = [], end - 1
+                while start >= 0 and (token := ends.get(word[start:end])) is not None:
+                    if token >= 0:
+                        tokens.append((start, token))
+                    start -= 1
+                for start, token in reversed(tokens):
+                    if start:
+                        fit = fits.get((last[start - 1], token))
+                        if fit is None:
+                            fit = self.compatible(last[start - 1], token)
+                    else:
+                        fit = self.reachable(token)
+                    if fit:
                         last.append(token)
                         break
                 else:
