@@ -71,6 +71,12 @@ def codes(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES
     return out
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision, without overflow."""
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For rows of codes of pairs: the number of the first event at which they meet (table by table; in each: the same
     own bucket, b's probes at a's own bucket, a's probes at b's)."""
@@ -95,34 +101,36 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
 
 
 def hashed_classes(classes: DataFrame, hashes: int) -> DataFrame:
-    """rep, n, dim, vec (binary unit vector), codes for rows (rep, n, embedding)."""
+    """rep, n, dim, vec (its components as they came, single or double), codes for rows (rep, n, embedding)."""
+    kind = np.float32 if dict(classes.dtypes)["embedding"] == "array<float>" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, x in by_dimension(b.column(2)):
-                x = x / np.abs(x).max(1)[:, None]
-                x = x / np.sqrt((x * x).sum(1))[:, None]
-                c = codes(x, hashes).reshape(len(x), -1)
+                c = codes(units(x), hashes).reshape(len(x), -1)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1]), pa.int32()), pa.array(c.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.full(len(x), x.shape[1])), pa.array([r.tobytes() for r in x], pa.binary()), flat], ["rep", "n", "dim", "vec", "codes"])
+                packed = pa.array([r.tobytes() for r in (c.astype(np.int32) if c.max(initial=0) < 2**31 else c)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.full(len(x), x.shape[1])), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), flat, packed], ["rep", "n", "dim", "vec", "codes", "packed"])
 
-    return classes.select("rep", "n", "embedding").mapInArrow(run, "rep long, n long, dim long, vec binary, codes array<long>")
+    return classes.select("rep", "n", "embedding").mapInArrow(run, "rep long, n long, dim long, vec binary, codes array<long>, packed binary")
 
 
 def bucket_links(hashed: DataFrame, least: float) -> DataFrame:
     """kind 0: (a, b) = (class, links found); kind 1: a spanning link between classes a and b."""
     span = 1 + PROBES
-    spread = hashed.select("rep", "n", "dim", "vec", "codes", F.posexplode("codes").alias("_p", "bucket"))
-    spread = spread.select("rep", "n", "dim", "vec", "codes", F.expr(f"CAST(_p DIV {span} AS BIGINT)").alias("t"), (F.col("_p") % span > 0).cast("int").alias("role"), "bucket")
+    spread = hashed.select("rep", "n", "dim", "vec", "packed", F.posexplode("codes").alias("_p", "bucket"))
+    spread = spread.select("rep", "n", "dim", "vec", "packed", F.expr(f"CAST(_p DIV {span} AS BIGINT)").alias("t"), (F.col("_p") % span > 0).cast("int").alias("role"), "bucket")
     large = stored(spread.groupBy("dim", "t", "bucket").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK), "embed-large")
     cut = spread.join(F.broadcast(large) if large.count() <= SMALL else large, ["dim", "t", "bucket"], "left")
     cut = cut.withColumn("_k", F.coalesce(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("long")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_k")))
-    cells = cut.withColumn("_o", F.explode(F.expr("sequence(0L, _k - 1)"))).select("dim", "t", "bucket", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "role", "rep", "n", "vec", "codes")
+    cells = cut.withColumn("_o", F.explode(F.expr("sequence(0L, _k - 1)"))).select("dim", "t", "bucket", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "role", "rep", "n", "vec", "packed")
 
     def hits(g: pa.Table, dim: int, t: int) -> tuple[np.ndarray, ...]:
         rep, role, block = g["rep"].to_numpy(), g["role"].to_numpy(), g["block"].to_numpy()
-        v = np.frombuffer(b"".join(g["vec"].to_pylist()), np.float64).reshape(-1, dim)
-        c = pa.concat_arrays(g["codes"].chunks).flatten().to_numpy().reshape(len(rep), TABLES, span)
+        raw = b"".join(g["vec"].to_pylist())
+        v = units(np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(rep) else np.float64).astype(np.float64).reshape(-1, dim))
+        packed = b"".join(g["packed"].to_pylist())
+        c = np.frombuffer(packed, np.int32 if len(packed) == 4 * len(rep) * TABLES * span else np.int64).reshape(len(rep), TABLES, span)
         two = block.max() != block.min()
         base = np.flatnonzero(role == 0)
         found = []
