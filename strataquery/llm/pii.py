@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strataquery.llm.common import stored
 
-WINDOW, SUPPORT, GENERALISE, REMOVE, COPIED = 64, 3, 0.85, 0.98, 200_000
+WINDOW, SUPPORT, GENERALISE, REMOVE, COPIED = 64, 3, 0.85, 0.98, 20_000
 #: Kinds in their order of output: a cheap test that a text can hold one at all, the pattern, the test of a match.
 KINDS = {
     "email": ("instr({text}, '@') > 0", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "true"),
