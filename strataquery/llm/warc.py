@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from strataquery.llm.common import delete, fresh_path, stored
 
 CHUNK = 1 << 20
+#: Revisits that are broadcast; where a count shows more, pages and revisits are shuffled by page.
+COPIED = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
@@ -193,12 +195,14 @@ def read_archives(paths: DataFrame, uri: str, payloads: bool = True) -> DataFram
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, sha1 and revisit_of (null for responses). Only ids and digests meet by digest: a payload that
-    a third of the rows share costs short rows, and the html itself moves once, dealt by page."""
+    a third of the rows share costs short rows, and the html itself moves not at all, or once, dealt by page, where there are many revisits."""
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("n"))
     seen = stored(keyed.where(F.col("n") >= least).distinct(), "warc-digests")
     lead = seen.groupBy("sha1", "n").agg(F.max("page_id").alias("lead"))
     roles = seen.join(lead, ["sha1", "n"]).where("lead IS NOT NULL AND NOT page_id <=> lead").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "lead")
+    roles = stored(roles, "warc-revisits")
+    roles = F.broadcast(roles) if roles.count() <= COPIED else roles
     own = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha1"))
     return own.join(roles, own.page_id.eqNullSafe(roles._id) & (own.sha1 == roles._sha1), "left").select("page_id", "url", "html", "sha1", F.col("lead").alias("revisit_of"))
 
