@@ -131,6 +131,11 @@ def split_records(parts: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError(f"the archive ends inside a record: {bytes(held[:80])!r}")
 
 
+def _spread(paths: DataFrame) -> DataFrame:
+    """As many tasks as archives: the rows are short, and adaptive planning would put them all into one."""
+    return paths.repartition(max(1, paths.count()), "path")
+
+
 def normalise(paths: DataFrame, uri: str, target: str) -> DataFrame:
     """Rewrites archives so that each record is a member of its own, with a sidecar .idx of JSON lines."""
 
@@ -156,7 +161,7 @@ def normalise(paths: DataFrame, uri: str, target: str) -> DataFrame:
                 _moved(fs, out_path + ".idx", lambda out, index=index: out.write("".join(x + "\n" for x in index).encode()))
                 yield pa.RecordBatch.from_pydict({"path": [out_path]})
 
-    return paths.repartition("path").mapInArrow(run, "path string")
+    return _spread(paths).mapInArrow(run, "path string")
 
 
 def read_archives(paths: DataFrame, uri: str, payloads: bool = True) -> DataFrame:
@@ -190,7 +195,7 @@ def read_archives(paths: DataFrame, uri: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return paths.repartition("path").mapInArrow(run, READ_SCHEMA)
+    return _spread(paths).mapInArrow(run, READ_SCHEMA)
 
 
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
