@@ -1,10 +1,14 @@
 """Near-duplicate embeddings by cross-polytope hashing after fast Hadamard rotations (Andoni et al., 2015).
 
 Equal vectors collapse to one class that carries their number. A class vector is padded to a power of two and rotated by
-three rounds of random signs and a Walsh-Hadamard transform; its hash is the nearest signed axis. Each of `TABLES` tables
-joins several such hashes to a bucket; a vector stands in its own bucket and also probes the `PROBES` next likely ones
+three rounds of random signs and a Walsh-Hadamard transform; its hash is the nearest signed axis. Each table joins
+several such hashes to a bucket; a vector stands in its own bucket and also probes the `PROBES` next likely ones
 (multiprobe). Pairs that meet are verified by cosine in double precision.
 
+The number of hashes follows the number of classes, so that a bucket holds about `FILL` of them; the number of tables
+follows both the hashes and the dimension (`tables_for`): so many, `TABLES` at least, that of random pairs just at the
+threshold a share of `RECALL` meets. Each padded dimension of a table has its own numbers.
+
 A pair that meets in several tables is counted in the first only (the hashes travel with the vectors), so links are
 counted where they are found and only counts and spanning links leave a task, never all pairs. Buckets of more than
 `BLOCK` rows are cut into blocks and compared block pair by block pair.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,11 @@ from strataquery.llm.common import components, map_groups, stored
 from strataquery.llm.vectors import by_dimension, usable
 
 TABLES, PROBES, BLOCK, SMALL = 6, 3, 4096, 200_000
+FILL, RECALL, MOST = 64, 0.99, 192
+
+
+def padded(d: int) -> int:
+    return max(2, 1 << (d - 1).bit_length())
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -44,10 +54,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 def codes(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES, seed: int = 17) -> np.ndarray:
     """Buckets of unit vectors: rows x tables x (1 + probes), each vector's own bucket first."""
     n, d0 = x.shape
-    d = max(2, 1 << (d0 - 1).bit_length())
+    d = padded(d0)
     x = np.pad(x, ((0, 0), (0, d - d0)))
     rng = np.random.default_rng([seed, d])
     out = np.zeros((n, tables, 1 + probes), np.int64)
+    if not hashes:
+        return out
     rows = np.arange(n)
     for t in range(tables):
         axes, gaps = [], []
@@ -71,6 +83,46 @@ def codes(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES
     return out
 
 
+def pairs_at(cosine: float, d: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors of d components at a cosine."""
+    rng = np.random.default_rng([seed, d])
+    x, o = units(rng.normal(size=(n, d))), rng.normal(size=(n, d))
+    o = units(o - (o * x).sum(1)[:, None] * x)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine**2)) * o
+
+
+@cache
+def tables_for(d: int, hashes: int, least: float) -> tuple[int, int]:
+    """(hashes, tables) for a padded dimension: so many tables, `TABLES` at least, that `RECALL` of random pairs at the
+    cosine `least` meet, measured with the very rotations in use and two standard errors on the safe side. Where
+    `MOST` tables don't do, or more bring little (small dimensions have few rotations), a hash less is taken: buckets grow, and recall stays. No hash is one bucket, which is exact."""
+    n = 2000 if d <= 256 else 1000
+    goal = RECALL + 2 * math.sqrt(RECALL * (1 - RECALL) / n)
+    x, y = pairs_at(least, d, n, 23)
+    while hashes:
+        tables = TABLES
+        for _ in range(4):
+            a, b = codes(x, hashes, tables), codes(y, hashes, tables)
+            recall = float(((a[:, :, :1] == b).any((1, 2)) | (b[:, :, :1] == a).any((1, 2))).mean())
+            if recall >= goal:
+                return hashes, tables
+            # As many as would do if all tables missed alike.
+            tables = max(tables + 1, math.ceil(tables * math.log(1 - goal) / math.log(1 - recall))) if recall else MOST + 1
+            if tables > MOST:
+                break
+        hashes -= 1
+    return 0, 1
+
+
+def plan_for(sizes: dict[int, int], least: float) -> dict[int, tuple[int, int]]:
+    """(hashes, tables) for each padded dimension, from its number of classes."""
+    return {d: tables_for(d, max(1, math.ceil(math.log(max(n, FILL) / FILL) / math.log(2 * d))), least) for d, n in sizes.items()}
+
+
+def packed_type(d: int, hashes: int) -> type:
+    return np.int32 if (2 * d) ** hashes < 2**31 else np.int64
+
+
 def units(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 in double precision, without overflow."""
     x = x / np.abs(x).max(1)[:, None]
@@ -100,22 +152,23 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return at, label[at]
 
 
-def hashed_classes(classes: DataFrame, hashes: int) -> DataFrame:
+def hashed_classes(classes: DataFrame, plan: dict[int, tuple[int, int]]) -> DataFrame:
     """rep, n, dim, vec (its components as they came, single or double), codes for rows (rep, n, embedding)."""
     kind = np.float32 if dict(classes.dtypes)["embedding"] == "array<float>" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, x in by_dimension(b.column(2)):
-                c = codes(units(x), hashes).reshape(len(x), -1)
+                hashes, tables = plan[padded(x.shape[1])]
+                c = codes(units(x), hashes, tables).reshape(len(x), -1)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1]), pa.int32()), pa.array(c.ravel()))
-                packed = pa.array([r.tobytes() for r in (c.astype(np.int32) if c.max(initial=0) < 2**31 else c)], pa.binary())
+                packed = pa.array([r.tobytes() for r in c.astype(packed_type(padded(x.shape[1]), hashes))], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.full(len(x), x.shape[1])), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), flat, packed], ["rep", "n", "dim", "vec", "codes", "packed"])
 
     return classes.select("rep", "n", "embedding").mapInArrow(run, "rep long, n long, dim long, vec binary, codes array<long>, packed binary")
 
 
-def bucket_links(hashed: DataFrame, least: float) -> DataFrame:
+def bucket_links(hashed: DataFrame, plan: dict[int, tuple[int, int]], least: float) -> DataFrame:
     """kind 0: (a, b) = (class, links found); kind 1: a spanning link between classes a and b."""
     span = 1 + PROBES
     spread = hashed.select("rep", "n", "dim", "vec", "packed", F.posexplode("codes").alias("_p", "bucket"))
@@ -130,7 +183,8 @@ def bucket_links(hashed: DataFrame, least: float) -> DataFrame:
         raw = b"".join(g["vec"].to_pylist())
         v = units(np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * len(rep) else np.float64).astype(np.float64).reshape(-1, dim))
         packed = b"".join(g["packed"].to_pylist())
-        c = np.frombuffer(packed, np.int32 if len(packed) == 4 * len(rep) * TABLES * span else np.int64).reshape(len(rep), TABLES, span)
+        hashes, tables = plan[padded(dim)]
+        c = np.frombuffer(packed, packed_type(padded(dim), hashes)).reshape(len(rep), tables, span)
         two = block.max() != block.min()
         base = np.flatnonzero(role == 0)
         found = []
@@ -186,13 +240,13 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     key = [F.xxhash64("embedding").alias("k1"), F.xxhash64("embedding", F.lit(29)).alias("k2")]
     ids = stored(rows.select("vec_id", "ok", *key), "embed-ids")
     classes = stored(ids.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "embed-classes")
-    total = classes.count()
     with_key = rows.where("ok").select("vec_id", "embedding", *key)
     own = with_key.join(classes, (with_key.vec_id == classes.rep) & (with_key.k1 == classes.k1) & (with_key.k2 == classes.k2)).groupBy("rep", "n", classes.k1, classes.k2).agg(F.first("embedding").alias("embedding"))
-    dim = rows.where("ok").select(F.max(F.size("embedding"))).first()[0] or 2
-    axes = 2 * max(2, 1 << (dim - 1).bit_length())
-    hashes = max(1, math.ceil(math.log(max(total, 64) / 64) / math.log(axes)))
-    found = stored(bucket_links(stored(hashed_classes(own, hashes), "embed-hashed"), least), "embed-links")
+    sizes: dict[int, int] = {}
+    for dim, n in own.groupBy(F.size("embedding")).count().collect():
+        sizes[padded(dim)] = sizes.get(padded(dim), 0) + n
+    plan = plan_for(sizes, least)
+    found = stored(bucket_links(stored(hashed_classes(own, plan), "embed-hashed"), plan, least), "embed-links")
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     comps = components(found.where("kind = 1").select("a", "b"), "embed-components")
     return (

@@ -74,6 +74,26 @@ def test_recall_at_the_threshold():
         assert met.mean() >= least, (hashes, met.mean())
 
 
+@pytest.mark.parametrize(("d", "hashes"), [(64, 3), (64, 4), (128, 2), (16, 4)])
+def test_recall_holds_with_more_hashes(d, hashes):
+    """Other pairs than those that set the number of tables, at a cosine of 0.9."""
+    x, y = embed.pairs_at(0.9, d, 1500, 99)
+    plan = embed.tables_for(d, hashes, 0.9)
+    a, b = embed.codes(x, *plan), embed.codes(y, *plan)
+    assert plan[0] == hashes and ((a[:, :, :1] == b).any((1, 2)) | (b[:, :, :1] == a).any((1, 2))).mean() >= 0.985
+
+
+def test_links_hold_with_more_hashes(spark, monkeypatch):
+    """As in a table so large that three hashes are joined; a second dimension has its own numbers."""
+    monkeypatch.setattr(embed, "FILL", 3e-4)
+    x, y = embed.pairs_at(0.905, 64, 300, 7)
+    values = [v.tolist() for v in np.concatenate((x, y))] + [[1.0, 0.1, 0.0], [1.0, 0.0, 0.0]]
+    few = spark.createDataFrame(list(enumerate(values)), "vec_id long, embedding array<double>")
+    assert embed.plan_for({64: 600}, 0.9)[64][0] == 3
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_duplicate_vectors(few).collect()}
+    assert sum(got[300 + i] == (1, i) for i in range(300)) >= 294 and got[601] == (1, 600)
+
+
 def test_top_k(df):
     got = {}
     for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect():
