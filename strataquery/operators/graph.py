@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a reliable checkpoint where the session has a folder for it."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
@@ -15,10 +15,10 @@ def _cut(df: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) of all nodes within max_depth steps from the seeds (node), each at its least depth."""
     e = edges.select("source", "target").distinct()
-    seen = frontier = _cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         nxt = frontier.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = _cut(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -46,7 +46,7 @@ def unconditional(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
 def walk(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes reached over unconditional edges, and what was left out: (reason, node)."""
     free, cond = unconditional(edges, nodes)
-    found = _cut(levels(free, start, max_depth))
+    found = cut(levels(free, start, max_depth))
     inner = found.where(F.col("depth") < max_depth).select("node")
     held = inner.join(nodes.where("marker IS NOT NULL").select("node").distinct(), "node", "left_semi").withColumn("reason", F.lit("conditional-selection"))
     edge = inner.join(held.select("node"), "node", "left_anti").join(cond.select(F.col("source").alias("node")).distinct(), "node", "left_semi").withColumn("reason", F.lit("conditional-edge"))

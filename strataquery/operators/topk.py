@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataquery.operators import graph
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rn") -> DataFrame:
     """The first n rows of each group; Spark cuts each task's groups to n before the shuffle (window group limit)."""
@@ -62,6 +66,28 @@ def within_budget(df: DataFrame, key: str, order: list[str], cost: str, budget:
     return df.groupBy(key).applyInPandas(run, df.schema)
 
 
+def fill_budget(df: DataFrame, key: str, order: list[str], cost: str, budget: int) -> DataFrame:
+    """`within_budget` for groups of any size: `order` is a total order of a group's rows without nulls, costs are whole
+    numbers from 0.
+
+    Each pass takes the rows while their running cost fits; then whatever is dearer than the rest of the budget can't fit
+    any more. Rows of cost 0 always fit, so b + 1 others are enough to find where a budget of b ends."""
+    at = F.struct(*order)
+    rows = graph.cut(df.where((F.col(cost) >= 0) & (F.col(cost) <= budget)))
+    free, left = rows.where(F.col(cost) == 0), rows.where(F.col(cost) > 0).withColumn("_left", F.lit(budget).cast("long"))
+    taken = [free]
+    while True:
+        ahead = top_per_group(left, [key], [at], budget + 1, "_rn")
+        w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        now = graph.cut(ahead.withColumn("_used", F.sum(cost).over(w)).where(F.col("_used") <= F.col("_left")))
+        if now.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
+        taken.append(now.select(*df.columns))
+        spent = now.groupBy(key).agg(F.max("_used").alias("_spent"), F.max(at).alias("_last"))
+        rest = left.join(spent, key).where((at > F.col("_last")) & (F.col(cost) <= F.col("_left") - F.col("_spent")))
+        left = graph.cut(rest.select(*df.columns, (F.col("_left") - F.col("_spent")).alias("_left")))
+
+
 def prefix_budget(df: DataFrame, keys: list[str], order: list, cost: str, budget: int) -> DataFrame:
     """Rows while the running cost stays within the budget."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -69,21 +95,25 @@ def prefix_budget(df: DataFrame, keys: list[str], order: list, cost: str, budget
 
 
 def greedy_cover(df: DataFrame, group: str, item: str, terms: str, n: int) -> DataFrame:
-    """Per group, up to n items, each time the one that covers most terms not yet covered (ties: smaller item)."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = {i: set(t) for i, t in zip(g[item], g[terms], strict=True)}
-        covered: set = set()
-        out = []
-        while rows and len(out) < n:
-            i = min(rows, key=lambda k: (-len(rows[k] - covered), k))
-            gain = len(rows.pop(i))
-            out.append((g[group].iloc[0], i, len(out) + 1, gain))
-            covered |= set(g.loc[g[item] == i, terms].iloc[0])
-        return pd.DataFrame(out, columns=[group, item, "pick", "n_terms"])
-
-    types = dict(df.dtypes)
-    return df.groupBy(group).applyInPandas(run, f"{group} {types[group]}, {item} {types[item]}, pick int, n_terms int")
+    """Per group, up to n items, each time the one that covers most terms not yet covered (ties: smaller item). Groups may
+    be of any size: each pick is one aggregate over what is not covered yet."""
+    left = graph.cut(df.select(group, item, F.explode(terms).alias("_t")).distinct())
+    sizes = df.select(group, item).distinct().join(left.groupBy(group, item).agg(F.count(F.lit(1)).alias("n_terms")), [group, item], "left")
+    items = graph.cut(sizes.select(group, item, F.coalesce("n_terms", F.lit(0)).cast("int").alias("n_terms")))
+    picks = []
+    for k in range(n):
+        gain = left.groupBy(group, item).agg(F.count(F.lit(1)).alias("_gain"))
+        ranked = items.join(gain, [group, item], "left").withColumn("_gain", F.coalesce("_gain", F.lit(0)))
+        pick = graph.cut(best_per_group(ranked, [group], [F.desc("_gain"), item]).select(group, item, F.lit(k + 1).alias("pick"), "n_terms"))
+        if pick.isEmpty():
+            break
+        picks.append(pick)
+        if k + 1 < n:
+            items = items.join(pick.select(group, item), [group, item], "left_anti")
+            covered = left.join(pick.select(group, item), [group, item], "left_semi").select(group, "_t")
+            left = graph.cut(left.join(covered, [group, "_t"], "left_anti"))
+    none = items.select(group, item, F.lit(0).alias("pick"), "n_terms").limit(0)
+    return reduce(DataFrame.unionByName, picks, none)
 
 
 def first_seen_rank(df: DataFrame, keys: list[str], path: str, rank: str) -> DataFrame:

@@ -201,15 +201,19 @@ def prefix_budget(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def skip_budget(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy with skips over each language's 64 largest files."""
-    f = topk.top_per_group(C.files(spark, sf).select("language", "path", "full_tokens"), ["language"], [F.desc("full_tokens"), "path"], 64)
-    return topk.within_budget(f, "language", ["rn"], "full_tokens", 20_000)
+    """Greedy with skips over all files of each language, the largest first; rn is a file's place among them."""
+    f = C.files(spark, sf).select("language", "path", "full_tokens")
+    taken = topk.fill_budget(f.withColumn("_o", -F.col("full_tokens")), "language", ["_o", "path"], "full_tokens", 20_000).drop("_o")
+    sizes = f.groupBy("language", F.col("full_tokens").alias("_size")).agg(F.count(F.lit(1)).alias("_n"))
+    larger = taken.join(sizes, "language").where("_size > full_tokens").groupBy("language", "path").agg(F.sum("_n").alias("_larger"))
+    equal = taken.join(f.withColumnRenamed("path", "_path"), ["language", "full_tokens"]).where("_path <= path").groupBy("language", "path").agg(F.count(F.lit(1)).alias("_equal"))
+    placed = taken.join(larger, ["language", "path"], "left").join(equal, ["language", "path"])
+    return placed.select("language", "path", "full_tokens", (F.coalesce("_larger", F.lit(0)) + F.col("_equal")).cast("int").alias("rn"))
 
 
 @query()
 def diversity_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Per language, files among the 64 largest that cover most terms of a probe list."""
+    """Per language, the files that cover most terms not covered yet, out of all files and all their terms."""
     f = C.files(spark, sf)
-    best = topk.top_per_group(f.select("language", "path", "full_tokens"), ["language"], [F.desc("full_tokens"), "path"], 64)
-    terms = C.postings(f).where(F.length("token") <= 3).groupBy("path").agg(F.collect_set("token").alias("terms"))
-    return topk.greedy_cover(best.join(terms, "path"), "language", "path", "terms", 8)
+    terms = C.postings(f).groupBy("path").agg(F.collect_set("token").alias("terms"))
+    return topk.greedy_cover(f.select("language", "path").join(terms, "path"), "language", "path", "terms", 8)

@@ -86,6 +86,38 @@ def test_bounds(spark):
     assert sorted(r["o"] for r in topk.within_budget(rows, "k", ["o"], "cost", 10).collect()) == [0, 2, 3]
 
 
+def test_whole_groups(spark):
+    """Budget and cover over groups of more than 64 rows, against plain loops."""
+    costs = [(g, i, (i * 37 + len(g)) % 23 + 10 * (i < 70)) for g in ("a", "bb") for i in range(150)]
+    got = topk.fill_budget(spark.createDataFrame(costs, "k string, o int, cost int"), "k", ["o"], "cost", 700).collect()
+    want, used = set(), {"a": 0, "bb": 0}
+    for g, i, c in costs:
+        if used[g] + c <= 700:
+            used[g] += c
+            want.add((g, i, c))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    sets = {i: [f"t{(i * k) % 101}" for k in range(1, 2 + i % 9)] for i in range(120)}
+    frame = spark.createDataFrame([("g", i, v) for i, v in sets.items()], "g string, i int, terms array<string>")
+    covered, want = set(), []
+    for k in range(5):
+        best = min((i for i in sets if i not in {w[1] for w in want}), key=lambda i: (-len(set(sets[i]) - covered), i))
+        want.append(("g", best, k + 1, len(set(sets[best]))))
+        covered |= set(sets[best])
+    assert sorted(map(tuple, topk.greedy_cover(frame, "g", "i", "terms", 5).collect()), key=lambda r: r[2]) == want
+
+
+def test_budget_and_cover_read_whole_tables(spark, tmp_path):
+    """A file of rank 65 and a term of more than three letters take part."""
+    from strataquery.catalog import QUERIES
+
+    docs = [(i, "word " * 1001, "en", "s") for i in range(64)] + [(64, "longer terms make this one the best " * 20, "en", "s"), (65, "tiny", "en", "s")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    picks = {r["pick"]: r["path"] for r in QUERIES["diversity_topk"](spark, str(tmp_path)).collect()}
+    assert picks[1].endswith("/64.txt") and len(picks) == 8
+    fit = {r["path"].split("/")[-1]: r["rn"] for r in QUERIES["skip_budget"](spark, str(tmp_path)).collect()}
+    assert fit["64.txt"] == 65 and fit["65.txt"] == 66
+
+
 def test_versions():
     assert versions.pep440("1.4.0", ">=1.2,<2") == "match" and versions.pep440("x", ">=1") == "unclassified"
     ok = lambda v, s: versions.npm(v, s) == "match"
