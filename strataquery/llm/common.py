@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a temporary folder serves a local
+    master; a cluster has to name one, for its machines don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strataquery-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
         atexit.register(delete, spark, found)
     return re.sub(r"^file:/+", "file:///", found).rstrip("/")
 
@@ -59,17 +62,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
+#: Keys that hold more than one row in HOT are fewer than HOT, whatever the input: a table of them may be broadcast.
+HOT, FEW = 4096, 10_000
+
+
+def skewed_join(rows: DataFrame, per_key: DataFrame, keys: list[str], held: str, total: int) -> DataFrame:
+    """Inner join of rows with a table of one row for each key, whose column `held` tells how many of `total` rows have it.
+
+    Rows of hot keys (fewer than HOT keys) meet a broadcast and stay where they are; the rest is shuffled by key. Both
+    tables are read twice, so they should be stored ones."""
+    limit = max(FEW, total // HOT)
+    hot, cold = per_key.where(F.col(held) > limit), per_key.where(F.col(held) <= limit)
+    there = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return there.unionByName(rest)
+
+
 def hash_cell(cells: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols, F.lit(7)), F.lit(cells))
 
 
-def dense_rank_in(df: DataFrame, group: str, order: list[str], cell_of: str, name: str, cells: int = 4096) -> DataFrame:
+def dense_rank_in(df: DataFrame, group: str, order: list[str], name: str, cells: int = 4096) -> DataFrame:
     """Adds `name`: gapless ranks from 0 inside each value of `group` (few values, any size), by no global sort.
 
-    Rows are dealt to `cells` hash cells of `cell_of`; a rank is the cell's offset plus the rank inside the cell.
-    The table of offsets has at most groups x cells rows, whatever the input.
+    Rows are dealt to `cells` hash cells of the columns of `order`; a rank is the cell's offset plus the rank inside the
+    cell. The table of offsets has at most groups x cells rows, whatever the input. Rows that are equal in all of
+    `order` share a cell.
     """
-    dealt = df.withColumn("_cell", hash_cell(cells, cell_of))
+    dealt = df.withColumn("_cell", hash_cell(cells, *order))
     before = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(group, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
