@@ -16,7 +16,7 @@
 Edge cases: null and wordless texts have an empty set and are linked with nothing; with fewer than five words the whole
 sequence is the one shingle; rows with one doc_id count as one document for linking; a null doc_id is linked with nothing
 (its component_id is null); an empty table gives an empty result; other columns are ignored. Shingles are compared by
-64-bit hashes of their words.
+64-bit hashes of their words, so links are those of the texts but for chance collisions of such hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import components, map_groups, stored
+from strataquery.llm.common import components, map_groups, skewed_join, stored
 from strataquery.llm.shingles import batches_of_sets, mix
 from strataquery.llm.sigtree import spanning_links
 
@@ -197,8 +197,18 @@ def open_groups(found: DataFrame, sizes: DataFrame) -> DataFrame:
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * 80 / 100) / 5)).cast("long")
     may = found.where("n > 0").groupBy("doc_id").agg(F.sum("n").alias("n")).join(sizes.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles")), "doc_id").where(F.col("n") >= least).select("doc_id")
     rows = stored(found.where("n = 0").select("gid", "doc_id").join(may, "doc_id", "left_semi"), "jaccard-members")
-    df = rows.groupBy("gid").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return rows.join(df, "gid")
+    df = stored(rows.groupBy("gid").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-df")
+    return skewed_join(rows, df, ["gid"], "df", rows.count())
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (gid, doc_id, df, ..) with the part of their group, of about `BLOCK`, that they fall into."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("df") / BLOCK)))
+
+
+def in_each_part(per_group: DataFrame) -> DataFrame:
+    """Rows (gid, df, ..) once for each part of the group: a large group meets them in many tasks, not in one."""
+    return per_group.withColumn("part", F.explode(F.expr(f"sequence(0L, ceil(df / {BLOCK}) - 1)"))).drop("df")
 
 
 def cells_of(members: DataFrame, chain: bool) -> DataFrame:
@@ -210,12 +220,13 @@ def cells_of(members: DataFrame, chain: bool) -> DataFrame:
 
 
 def visits(members: DataFrame, visitors: DataFrame) -> DataFrame:
-    """Cells in which visitors (gid, doc_id, component) meet the members of a group, and only those."""
-    sizes = visitors.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_v"))
-    m = members.join(sizes, "gid").withColumn("_n", F.ceil(F.col("df") / BLOCK).cast("int"))
-    shape = m.groupBy("gid").agg(F.max("_n").alias("_n"), F.max("_v").alias("_v"))
+    """Cells in which visitors (gid, doc_id, df, component) meet the members of a group, and only those. df: its members."""
+    count = visitors.groupBy("gid", "df").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = stored(count.select("gid", "df", "_c", F.ceil(F.col("df") / BLOCK).cast("int").alias("_n"), F.ceil(F.col("_c") / BLOCK).cast("int").alias("_v")), "jaccard-visits")
+    m = dealt(members).join(in_each_part(sizes.drop("_c")), ["gid", "part"])
     own = m.select("gid", "doc_id", "component", F.lit(0).cast("long").alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("long").alias("i"), F.explode(F.expr("sequence(0L, _v - 1L)")).alias("j"))
-    other = visitors.join(shape, "gid").select("gid", "doc_id", "component", F.lit(1).cast("long").alias("block"), F.explode(F.expr("sequence(0L, _n - 1L)")).alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("_v")).cast("long").alias("j"))
+    v = skewed_join(visitors.drop("df"), sizes.drop("df"), ["gid"], "_c", visitors.count())
+    other = v.select("gid", "doc_id", "component", F.lit(1).cast("long").alias("block"), F.explode(F.expr("sequence(0L, _n - 1L)")).alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("_v")).cast("long").alias("j"))
     return own.union(other)
 
 
@@ -250,21 +261,23 @@ def links_of(docs: DataFrame, shared: DataFrame) -> DataFrame:
     is still in two components meets when the one of the smaller home class visits the class of the other: so a set
     travels once for each class it has to meet, however many groups the two share."""
     home = shared.groupBy("doc_id").agg(F.max(F.struct("df", "gid"))["gid"].alias("home"))
-    size = home.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
-    home = stored(home.join(size, "home"), "jaccard-home")
+    home = stored(home, "jaccard-homes")
+    size = stored(home.groupBy("home").agg(F.count(F.lit(1)).alias("n")), "jaccard-sizes")
+    home = stored(skewed_join(home, size, ["home"], "n", home.count()).select("doc_id", "home", "n"), "jaccard-home")
     classes = home.select(F.col("home").alias("gid"), "doc_id", F.col("n").alias("df"))
     first = stored(join_cells(docs, cells_of(classes.where("df > 1").withColumn("component", F.col("doc_id")), True)), "jaccard-links")
     now = components(first, "jaccard-components")
     placed = stored(home.join(now, F.col("doc_id") == F.col("node"), "left").select("doc_id", "home", "n", F.coalesce("component", "doc_id").alias("component")), "jaccard-placed")
     members = placed.select(F.col("home").alias("gid"), "doc_id", F.col("n").alias("df"), "component")
-    torn = members.where(F.col("df") > BLOCK).groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
-    second = join_cells(docs, cells_of(members.join(torn, "gid", "left_semi"), False))
-    rows = shared.select("gid", "doc_id").join(placed, "doc_id")
-    met = rows.groupBy("gid", F.col("home").alias("_h"), F.col("n").alias("_m")).agg(F.min("component").alias("_x"), F.max("component").alias("_y"))
+    torn = members.where(F.col("df") > BLOCK).groupBy("gid", "df").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid", "df")
+    second = join_cells(docs, cells_of(dealt(members).join(in_each_part(torn), ["gid", "part"], "left_semi").drop("part"), False))
+    rows = stored(shared.join(placed, "doc_id"), "jaccard-rows")
+    met = stored(rows.groupBy("gid", "df", F.col("home").alias("_h"), F.col("n").alias("_m")).agg(F.min("component").alias("_x"), F.max("component").alias("_y")), "jaccard-met")
     larger = (F.col("n") < F.col("_m")) | ((F.col("n") == F.col("_m")) & (F.col("home") < F.col("_h")))
     open_ = met.groupBy("gid").agg(F.min("_x").alias("x"), F.max("_y").alias("y")).where("x <> y").select("gid")
     apart = (F.col("component") != F.col("_x")) | (F.col("component") != F.col("_y"))
-    visitors = rows.join(open_, "gid", "left_semi").join(met, "gid").where(larger & apart).select(F.col("_h").alias("gid"), "doc_id", "component").distinct()
+    hosts = in_each_part(met.join(open_, "gid", "left_semi"))
+    visitors = dealt(rows).join(hosts, ["gid", "part"]).where(larger & apart).select(F.col("_h").alias("gid"), "doc_id", F.col("_m").alias("df"), "component").distinct()
     third = join_cells(docs, visits(members, stored(visitors, "jaccard-visitors")))
     return first.union(second).union(third)
 

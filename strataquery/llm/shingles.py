@@ -1,7 +1,9 @@
 """Word shingles of whole batches of texts, by array arithmetic on their UTF-8 bytes.
 
-A word's hash is a polynomial of its bytes modulo 2^64, read off prefix sums; a shingle's combines those of its words.
-Texts are handled in blocks of about `BLOCK` bytes cut between words, so memory doesn't follow a text's length."""
+A word's hash runs over its bytes eight at a time, each eight mixed in by a bijection of 64 bits, so words of up to
+eight bytes and equal length never collide and longer ones only by chance; words of more than `LONG` bytes are hashed by
+xxh3. A shingle's hash combines those of its words. Texts are handled in blocks of about `BLOCK` bytes cut between
+words, so memory doesn't follow a text's length."""
 
 from __future__ import annotations
 
@@ -9,15 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-BLOCK = 1 << 20
+BLOCK, LONG = 1 << 20, 64
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(_BASE), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = []
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,14 +30,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """The base's powers and their inverses modulo 2^64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK * 2)
-        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)))) for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))]
-    return _powers
-
-
 def _word_hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words of a block; `first` marks the bytes at which a text begins."""
     word = ~_SPACE[data]
@@ -43,9 +38,16 @@ def _word_hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     last = word.copy()
     last[:-1] &= ~word[1:] | first[1:]
     s, e = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    up, down = powers(len(data))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
-    return s, mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+    low = np.concatenate((_LOWER[data], np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))  # the eight bytes from each byte on
+    size = e - s
+    h = mix(size.astype(np.uint64))
+    for k in range(0, min(int(size.max(initial=0)), LONG), 8):
+        i = np.flatnonzero((size > k) & (size <= LONG))
+        h[i] = mix(h[i] ^ (eights[s[i] + k] & _KEEP[np.minimum(size[i] - k, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(low[s[i] : e[i]].tobytes())
+    return s, h
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -135,11 +135,6 @@ def spanning_links(sets: list[np.ndarray], start: np.ndarray, block: np.ndarray)
             keep = now[a] != now[b]
             a, b = a[keep], b[keep]
 
-    if len(sets) <= FAN:
-        a, b = np.triu_indices(len(sets), 1)
-        keep = (labels.all()[a] != labels.all()[b]) & ((block[a] != block[b]) if block.max() != block.min() else True)
-        settle(a[keep], b[keep])
-        return out
     width = 1 << min(16, max(8, int(4 * sizes.max() - 1).bit_length()))
     bits = bitmaps(sets, width)
     _, label = np.unique(start, return_inverse=True)
