@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections import Counter
@@ -36,6 +37,48 @@ def test_language_accuracy(spark):
     assert len(got) and (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def brute_language(text: str | None, profiles: dict[str, list[str]], size: int) -> tuple[str, float]:
+    """Ranks and out-of-place distances by dictionaries of strings."""
+    own = brute_ranks([text or ""], size)
+    if not own:
+        return "und", 0.0
+    apart = {lang: sum(min(abs(own[g] - ranks[g]), size) if g in ranks else size for g in own) for lang, ranks in profiles.items()}
+    best = min(sorted(apart), key=lambda lang: apart[lang])
+    return best, 1 - apart[best] / (size * len(own))
+
+
+def brute_ranks(texts: list[str], size: int) -> dict[str, int]:
+    counts = Counter()
+    for text in texts:
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        padded = " " + " ".join(words) + " " if words else ""
+        for n in (1, 2, 3):
+            for g in (padded[i : i + n] for i in range(len(padded) - n + 1)):
+                if g.strip() and not (n == 3 and g[1] == " "):
+                    counts[g] += 1
+    # Ties as the operator breaks them: by code points, a blank (1) below every letter (code point + 1), shorter first.
+    code = lambda g: sum((1 if c == " " else ord(c) + 1) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+    return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:size])}
+
+
+def test_language_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", langid.held_out()).collect()]
+    assert max(Counter(r[2] for r in rows).values()) < langid.SAMPLE  # so that all labelled rows are learned from
+    learn: dict[str, list] = {}
+    for _, text, lang, out in rows:
+        if not out and lang is not None and text is not None:
+            learn.setdefault(lang, []).append(text)
+    profiles = {lang: brute_ranks(texts, langid.SIZE) for lang, texts in learn.items()}
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], round(r["score"], 9)) for r in langid.op1_langid(spark, SF).collect()}
+    want = {}
+    for i, text, _, out in rows:
+        lang, score = brute_language(text, profiles, langid.SIZE)
+        want[i] = (out, lang, round(score, 9))
+    assert got == want and {out for out, _, _ in want.values()} == {True, False}
+    assert all(r[3] == (zlib.crc32(str(r[0]).encode()) % 4 == 2) for r in rows)
+
+
 def test_language_cases(spark, docs):
     profiles = langid.learn_profiles(spark.read.parquet(f"{SF}/documents.parquet"))
     out = langid.predict_languages(docs, profiles)
@@ -152,6 +195,19 @@ def test_shingles(texts):
         assert len(s) == len(want)
 
 
+def test_words_of_many_bytes_keep_apart():
+    """Words that differ in letters as the Thue-Morse word and its complement do, and sets themselves, not only sizes."""
+    import pyarrow as pa
+
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    words = [a, b, a[:64], b[:64], a[:63], b[:63], a[:16], b[:16], "x", "y", "xy", "yx"]
+    sets = shingle_sets(pa.array(words + [w.upper() for w in words]))
+    assert len({s.tobytes() for s in sets}) == len(words) and [s.tobytes() for s in sets[: len(words)]] == [s.tobytes() for s in sets[len(words) :]]
+    x, y = shingle_sets(pa.array(["a b c d e f g", "q a b c d e f"]))
+    assert len(np.intersect1d(x, y)) == 2 and shingle_sets(pa.array(["b c d e f"]))[0][0] in x
+
+
 # -- BPE
 
 
@@ -254,7 +310,46 @@ def test_lpt_is_near_equal(spark):
     out = sharding.op7_sharding(spark, SF).toPandas()
     sums = out.groupby("shard")["size"].sum()
     assert len(sums) == 8 and sums.max() - sums.min() <= out.groupby("text_crc32")["size"].sum().max()
-    assert dict(sharding.lpt([(1, 5), (2, 4), (3, 3), (4, 3)], 2)) == {1: 0, 2: 1, 3: 1, 4: 0}
+    assert sharding.lpt_plan([(5, 1), (4, 1), (3, 2)], 2) == [[1, 1], [0, 1], [1, 2]]
+
+
+def heap_loads(sizes: list[int], shards: int) -> list[list[int]]:
+    """Sizes in each shard by one group at a time through a heap."""
+    heap, held = [(0, s) for s in range(shards)], [[] for _ in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, shard = heapq.heappop(heap)
+        held[shard].append(size)
+        heapq.heappush(heap, (load + size, shard))
+    return held
+
+
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 200)), max_size=12), st.integers(1, 6))
+@settings(max_examples=200, deadline=None)
+def test_runs_go_where_single_groups_would(runs, shards):
+    merged = sorted(Counter({s: sum(n for t, n in runs if t == s) for s, _ in runs}).items(), reverse=True)
+    held = [[] for _ in range(shards)]
+    for (size, _), ends in zip(merged, sharding.lpt_plan(merged, shards), strict=True):
+        for s, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            held[s] += [size] * (b - a)
+    assert held == heap_loads([s for s, n in merged for _ in range(n)], shards)
+
+
+def test_sharding_matches_the_heap(spark, monkeypatch):
+    """The whole query's shards hold the groups that one heap over all groups gives them, hot sizes and texts included."""
+    from strataquery.llm import common
+
+    for few in (common.FEW, 2):
+        monkeypatch.setattr(common, "FEW", few)
+        monkeypatch.setattr(sharding, "FEW", few)
+        monkeypatch.setattr(sharding, "HOT", 3 if few == 2 else 4096)
+        monkeypatch.setattr(common, "HOT", 3 if few == 2 else 4096)
+        out = sharding.op7_sharding(spark, SF).toPandas()
+        texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+        sizes = [n * (len(t.encode()) + 1) for t, n in Counter(texts).items()]
+        own = out.groupby(["shard", "text_crc32"])["size"].sum().reset_index()
+        assert [sorted(own[own.shard == s]["size"]) for s in range(8)] == [sorted(x) for x in heap_loads(sizes, 8)]
+        assert sorted(out.doc_id) == sorted(r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+        assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
 
 
 @given(st.lists(st.integers(1, 60), min_size=1, max_size=14), st.integers(1, 4))
@@ -265,7 +360,7 @@ def test_boundaries_are_optimal(lengths, buckets):
     kinds = sorted(set(lengths))
     padding = lambda tops: sum(next(t for t in tops if t >= n) - n for n in lengths)
     best = min(padding(sorted({*c, kinds[-1]})) for r in range(min(buckets, len(kinds))) for c in itertools.combinations(kinds[:-1], r))
-    tops = packing.best_boundaries(kinds, [lengths.count(k) for k in kinds], [k * lengths.count(k) for k in kinds], buckets)
+    tops = packing.best_boundaries(kinds, [lengths.count(k) for k in kinds], buckets)
     assert len(tops) <= buckets and padding(tops) == best
 
 
@@ -279,6 +374,22 @@ def test_packing(spark, docs):
     assert packing.pack(cases.empty(spark), packing.byte_length()).count() == 0
 
 
+def test_packing_matches_brute_force(spark):
+    """The whole query pads as little as a plain program over all distinct lengths, and packs every row once."""
+    lengths = [len((r[0] or "").encode()) + 1 for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    kinds, n = np.unique(lengths, return_counts=True)
+    c, s = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(n * kinds)))
+    best = [0] + [10**15] * len(kinds)
+    for _ in range(16):
+        best = [0] + [min([best[j]] + [best[i] + int(kinds[j - 1] * (c[j] - c[i]) - (s[j] - s[i])) for i in range(j)]) for j in range(1, len(kinds) + 1)]
+    out = packing.op8_packing(spark, SF).toPandas()
+    assert out.padding.sum() == best[-1] and sorted(out.n_tokens) == sorted(lengths) and (out.padding >= 0).all()
+    for _, g in out.groupby("batch"):
+        assert g.bucket_len.nunique() == 1 and len(g) <= max(1, 65536 // g.bucket_len.iloc[0]) and sorted(g.slot) == list(range(len(g)))
+    full = out.groupby(["bucket", "batch"]).size().groupby("bucket").apply(lambda x: (x < x.max()).sum())
+    assert (full <= 1).all() and sorted(out.doc_id) == list(range(len(lengths)))
+
+
 def test_every_column_may_be_null(spark):
     nothing = spark.createDataFrame([(None, None, None, None, None)] * 3, cases.DOCS)
     assert {r["lang_pred"] for r in langid.predict_languages(nothing, {}).collect()} == {"und"}

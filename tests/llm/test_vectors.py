@@ -107,7 +107,7 @@ def test_top_k(df):
 
 def test_top_k_in_blocks(df, monkeypatch):
     whole = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 7 == 0).collect()))
-    for name, size in (("BLOCK", 9), ("QUERIES", 2), ("CHUNK", 3), ("PIVOTS", 2)):
+    for name, size in (("BLOCK", 9), ("LEAST", 3), ("CHUNK", 3), ("PIVOTS", 2), ("LEAF", 2)):
         monkeypatch.setattr(topk, name, size)
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 7 == 0).collect())) == whole
 
@@ -119,6 +119,21 @@ def test_large_components(spark):
     assert got[(0, 40)] == 2**63 - 1
 
 
+def test_components_beyond_single_precision(spark):
+    """No candidate is lost where squares overflow or distances to pivots are far larger than those of the rows."""
+    rows = [(0, [1e37, 1.0]), (1, [2e37, -3.0]), (2, [1e300, 0.0]), (3, [1.7e308, 1.0]), (4, [-1e200, 5.0]), (5, [1.0, 2.0]), (6, [0.5, -2.0]), (20, [1.0, 1.0]), (40, [1e155, -1e155])]
+    rows += [(100 + i, [16000.0 + i / 64, -16000.0 + (i * 7 % 11) / 64]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=60).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    most = 1.7976931348623157e308
+    whole = {i: [int(min(max(math.floor(64 * x) if abs(64 * x) < math.inf else math.copysign(most, x), -most), most)) for x in v] for i, v in rows}
+    for i in (0, 20, 40, 100, 120):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), -(2**63)), 2**63 - 1), j) for j in whole if j != i)
+        assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed.near_duplicate_vectors(none).count() == 0 and topk.top_k(none, F.col("vec_id") % 20 == 0).count() == 0
