@@ -1,20 +1,27 @@
 r"""Personal data: pattern spans, and information-theoretic sanitisation of the terms that give them away.
 
 Everything here is DataFrame and SQL functions. Patterns find base spans of four kinds (email, ip, card, phone). Then
-each found value is a protected entity, and the corpus tells how strongly a term reveals it: with document frequencies
-over distinct texts, PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) is set against the entity's own information
-IC(e) = log2(N / n(e)). A term (a word of at least three letters within `WINDOW` characters of the entity) is
-generalised from a share of `GENERALISE` of that information and removed from `REMOVE` on, provided that it stands by
-the entity in at least `SUPPORT` different contexts, and that the entity's contexts are worth as many independent ones
-(their terms together against the terms of one: copies and near copies of a passage are worth one). Its spans, in every text that
-holds the entity, come beside the base ones, which all stay.
+each found value is a protected entity, and the corpus tells how strongly a term (a word of at least three letters)
+reveals it: PMI(t; e) = log2(N n(t,e) / (n(t) n(e))) is set against the entity's own information IC(e) = log2(N / n(e)).
+From a share of `GENERALISE` of that information on a term is generalised, from `REMOVE` on removed, provided that it
+stands with the entity in at least `SUPPORT` documents. Its spans, in every text that holds the entity, come beside the
+base ones, which all stay.
+
+Counts are of independent documents: equal texts count once, and so do near copies that hold an entity (`families`:
+banded min-hashes of five-word shingles, which bring together 0.91 of pairs at a similarity of 0.8, 0.99 at 0.87 and
+0.006 at 0.3; bands chain, so a large group of near copies counts once). Otherwise different documents with the same signature block stay independent.
+A term stands with an entity anywhere in the text: texts of more than `PASSAGE` characters are covered by overlapping
+passages of twice that, and the two meet if they begin in one passage; no word is cut.
 
 Patterns are written with possessive repetition and look-behind where nothing is gained by trying again, so the time is
-linear and Java's matcher needs no deep recursion on very long runs; the matches are the same.
+linear and Java's matcher needs no deep recursion on very long runs; the matches are the same. Running sums over a
+text's matches are taken in about sqrt(n) blocks, and texts are cut in a fixed-width encoding, so very long texts with
+very many matches cost little more than in proportion.
 
 Edge cases: null texts count as empty and keep null when sanitised; texts without personal data have no spans and stay as
 they are; overlapping spans of different kinds are all reported, and their union is replaced once, by the mark of the
-first; repeated rows get equal results; an empty table gives an empty result; other columns are kept as they are.
+first (of two that begin together, the longer; of equal ones, any); repeated rows get equal results; an empty table
+gives an empty result; other columns, whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -22,9 +29,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import stored
+from strataquery.llm.common import components, skewed_join, stored
 
-WINDOW, SUPPORT, GENERALISE, REMOVE, COPIED = 64, 3, 0.85, 0.98, 20_000
+PASSAGE, SUPPORT, GENERALISE, REMOVE = 8192, 3, 0.85, 0.98
+BANDS, ROWS, SHINGLE = 8, 6, 5
+#: Bytes of a table that are broadcast, by a sum over its rows.
+BROADCAST = 32 << 20
 #: Kinds in their order of output: a cheap test that a text can hold one at all, the pattern, the test of a match.
 KINDS = {
     "email": ("instr({text}, '@') > 0", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "true"),
@@ -44,6 +54,7 @@ KINDS = {
 }
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 SPAN = "struct<k:string,s:int,e:int,v:string>"
+NONE = f"CAST(array() AS array<{SPAN}>)"
 WORD = r"\p{L}{3,}"
 
 
@@ -51,110 +62,200 @@ def literal(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL that computes a value once and uses it by name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def scan(array: str, start: str, over_block: str, step: str, none: str) -> str:
+    """SQL for a running fold over `array` that gives an array: `step` makes, from a.p (the state before x), a struct of
+    the state after x and a.o with x's output appended; `over_block` is the state after block `z` from the state a.p.
+
+    The array is cut into about sqrt(n) blocks: appending copies an output, which would otherwise take n steps squared."""
+    width = "CAST(greatest(1, floor(sqrt(size(p)))) AS INT)"
+    blocks = f"transform(sequence(0, CAST((size(p) - 1) DIV {width} AS INT)), b -> slice(p, b * {width} + 1, {width}))"
+    starts = f"aggregate(q, named_struct('p', {start}, 'o', CAST(array() AS array<int>)), (a, z) -> named_struct('p', {over_block}, 'o', concat(a.o, array(a.p))), a -> a.o)"
+    inner = f"flatten(zip_with(q, {starts}, (z, y) -> aggregate(z, named_struct('p', y, 'o', {none}), (a, x) -> {step}, a -> a.o)))"
+    return let("p", array, f"CASE WHEN size(p) > 0 THEN {let('q', blocks, inner)} ELSE {none} END")
+
+
 def spans(kind: str, pattern: str, valid: str, may: str, text: str) -> Column:
     """Spans of a pattern's matches: what stands between the matches and the matches themselves alternate, and the
     running sum of their lengths (code points) gives each match's place. Each array is computed once for a text."""
-    pieces = f"zip_with(split({text}, {literal(pattern)}, -1), regexp_extract_all({text}, {literal(pattern)}, 0), (g, m) -> named_struct('g', length(g), 'm', m, 'd', regexp_replace(m, '[^0-9]', '')))"
-    none = f"CAST(array() AS array<{SPAN}>)"
+    digits = "regexp_replace(m, '[^0-9]', '')" if "x.d" in valid else "''"
+    pieces = f"zip_with(split({text}, {literal(pattern)}, -1), regexp_extract_all({text}, {literal(pattern)}, 0), (g, m) -> named_struct('g', length(g), 'm', m, 'd', {digits}))"
     span = f"named_struct('k', '{kind}', 's', a.p + x.g, 'e', a.p + x.g + length(x.m), 'v', x.m)"
     step = f"named_struct('p', a.p + x.g + coalesce(length(x.m), 0), 'o', IF(x.m IS NOT NULL AND ({valid}), concat(a.o, array({span})), a.o))"
-    return F.expr(f"CASE WHEN {may} THEN aggregate({pieces}, named_struct('p', 0, 'o', {none}), (a, x) -> {step}, a -> a.o) ELSE {none} END")
+    over = "a.p + aggregate(z, 0, (c, x) -> c + x.g + coalesce(length(x.m), 0))"
+    return F.expr(f"CASE WHEN {may} THEN {scan(pieces, '0', over, step, NONE)} ELSE {NONE} END")
 
 
-def detect(docs: DataFrame) -> DataFrame:
+def detect(rows: DataFrame) -> DataFrame:
     """Adds one array of spans for each kind, `_email` and so on. Reads the column `_text`, which must not be null."""
-    return docs.withColumns({f"_{k}": spans(k, pattern, valid, may.replace("{text}", "_text"), "_text") for k, (may, pattern, valid) in KINDS.items()})
+    return rows.withColumns({f"_{k}": spans(k, pattern, valid, may.replace("{text}", "_text"), "_text") for k, (may, pattern, valid) in KINDS.items()})
 
 
-def all_base() -> Column:
-    return F.concat(*[F.col(f"_{k}") for k in KINDS])
+def keyed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """The given columns with `_text` (never null) and `_key`, its digest."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(*columns, text.alias("_text"), F.md5(text.cast("binary")).alias("_key"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(_key, terms array<struct<t, kind>>) for texts that hold an entity which some term reveals.
+def with_base(rows: DataFrame) -> DataFrame:
+    """Adds `_base`, the spans of all kinds."""
+    return detect(rows).withColumn("_base", F.concat(*[F.col(f"_{k}") for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
 
-    found: distinct texts' (_key, _base with contexts) as `with_contexts` gives them; docs: (_key, _text) of all texts."""
-    n = found.count()
-    seen = found.where(F.size("_base") > 0).select("_key", F.explode("_base").alias("b")).select("_key", F.concat_ws(":", "b.k", F.lower("b.v")).alias("entity"), F.col("b.c").alias("context"))
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(WORD), F.lit(0))))
-    pairs = seen.select("_key", "entity", F.xxhash64("context").alias("context"), words.alias("term"))
-    apart = F.countDistinct("term") * F.countDistinct("context") / F.countDistinct("context", "term")
-    own = stored(pairs.groupBy("entity").agg(F.countDistinct("_key").alias("n_e"), apart.alias("apart")).where(F.col("apart") >= SUPPORT), "pii-entities")
-    joint = pairs.join(own, "entity").groupBy("entity", "term", "n_e").agg(F.countDistinct("_key").alias("n_te"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    # n(t) is at least the number of texts in which t stands by any entity; a term too common for the threshold goes here.
-    by_any = pairs.groupBy("term").agg(F.countDistinct("_key").alias("n_any"))
-    most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - GENERALISE))
-    joint = stored(joint.join(by_any, "term").where(F.col("n_any") <= most).drop("n_any"), "pii-joint")
-    terms = stored(joint.select("term").distinct(), "pii-terms")
-    known = terms.count()
-    near = (lambda df, size: F.broadcast(df) if size <= COPIED else df)
-    if known:
-        every = docs.select(F.xxhash64("_key").alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term"))
-        counts = every.join(near(terms, known), "term", "left_semi").groupBy("term").agg(F.countDistinct("_key").alias("n_t"))
-    else:
-        counts = terms.select("term", F.lit(1).cast("long").alias("n_t"))
-    weighed = joint.join(counts, "term").withColumn("ic", F.log2(F.lit(float(n)) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
-    told = weighed.where((F.col("ic") > 0) & (F.col("pmi") >= GENERALISE * F.col("ic"))).select("entity", "term", F.when(F.col("pmi") >= REMOVE * F.col("ic"), "removed").otherwise("term").alias("kind"))
-    # A term that several entities of a text call for is removed if any of them calls for that.
-    worst = seen.select("_key", "entity").distinct().join(told, "entity").groupBy("_key", "term").agg(F.min("kind").alias("kind"))
-    return worst.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(F.col("term").alias("t"), F.col("kind").alias("kind")))).alias("terms"))
 
+def fits(df: DataFrame, size: Column) -> bool:
+    """Whether a table is small enough to be broadcast, by the sum of `size` (bytes) over its rows."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST
 
-def with_contexts() -> Column:
-    """Base spans with the characters around each."""
-    return F.expr(f"transform(concat({', '.join('_' + k for k in KINDS)}), b -> named_struct('k', b.k, 's', b.s, 'e', b.e, 'v', b.v, 'c', concat_ws('|', substring(_text, greatest(b.s - {WINDOW}, 0) + 1, least({WINDOW}, b.s)), substring(_text, b.e + 1, {WINDOW}))))")
 
+def families(texts: DataFrame) -> DataFrame:
+    """(node, unit) for texts (node, _text) that are near copies of others: one unit for all that share a band of min-hashes."""
+    words = texts.select("node", F.split(F.trim(F.lower("_text")), r"\s+").alias("w"))
+    shingle = f"explode(transform(sequence(0, greatest(size(w) - {SHINGLE}, 0)), i -> xxhash64(slice(w, i + 1, {SHINGLE}))))"
+    least = [F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)]
+    sketch = words.select("node", F.expr(shingle).alias("h")).groupBy("node").agg(*least)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    rows = stored(sketch.select("node", F.explode(bands).alias("band")), "pii-bands")
+    shared = stored(rows.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1"), "pii-shared-bands")
+    edges = skewed_join(rows, shared, ["band"], "n", rows.count()).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return components(edges, "pii-families").select("node", F.col("component").alias("unit"))
 
-def term_spans() -> Column:
-    """Spans of the words of `_text` that `terms` names, outside the base spans `_base`."""
-    raw = spans("term", WORD, "array_contains(transform(terms, y -> y.t), lower(x.m))", "terms IS NOT NULL", "_text")
-    return F.filter(raw, lambda s: ~F.exists("_base", lambda b: (b["s"] < s["e"]) & (s["s"] < b["e"])))
 
+def in_passages(place: str) -> Column:
+    """The passages that a place lies in, one row for each: passage i covers 2 x PASSAGE characters from i x PASSAGE on."""
+    return F.explode(F.expr(f"array_distinct(array({place} DIV {PASSAGE}, greatest({place} DIV {PASSAGE} - 1, 0)))"))
 
-def named(column: str) -> Column:
-    """Term spans with the kind that `terms` gives their word."""
-    return F.expr(f"transform({column}, s -> named_struct('k', element_at(map_from_entries(terms), lower(s.v)), 's', s.s, 'e', s.e, 'v', s.v))")
 
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(_key, node, _text) of distinct texts, for keys (_key, copies) out of rows (_key, _text)."""
+    if fits(keys, F.lit(64)):
+        rows = docs.join(F.broadcast(keys), "_key", "left_semi")
+    else:
+        rows = skewed_join(docs, keys, ["_key"], "copies", keys.agg(F.sum("copies")).first()[0])
+    return rows.groupBy("_key").agg(F.first("_text").alias("_text")).select("_key", F.xxhash64("_key").alias("node"), "_text")
+
+
+def disclosing_terms(once: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(_key, term, kind) for texts that hold an entity which some term reveals, and the texts (_key, _text) that hold
+    one that may be revealed; None where there are none.
+
+    once: distinct texts with base spans (_key, _base, copies); docs: (_key, _text) of all rows."""
+    seen = once.select("_key", F.xxhash64("_key").alias("node"), F.explode("_base").alias("b")).select("_key", "node", F.xxhash64("b.k", F.lower("b.v")).alias("entity"), F.col("b.s").alias("place"))
+    seen = stored(seen, "pii-seen")
+    often = seen.groupBy("entity").agg(F.countDistinct("node").alias("n")).where(F.col("n") >= SUPPORT).select("entity")
+    seen = stored(seen.join(stored(often, "pii-often"), "entity"), "pii-recurring")
+    if seen.isEmpty():
+        return None
+    held = stored(once.select("_key", "copies").join(seen.select("_key").distinct(), "_key"), "pii-held")
+    texts = stored(texts_of(docs, held), "pii-holders")
+    family = stored(families(texts), "pii-units")
+    unit = F.coalesce("unit", "node")
+    seen = stored(seen.join(family, "node", "left").withColumn("unit", unit), "pii-entities")
+    own = stored(seen.groupBy("entity").agg(F.countDistinct("unit").alias("n_e")).where(F.col("n_e") >= SUPPORT), "pii-support")
+    if own.isEmpty():
+        return None
+    places = seen.join(own.select("entity"), "entity", "left_semi").select("node", "entity", in_passages("place").alias("passage")).distinct()
+    found = texts.select("node", F.explode(spans("term", WORD, "true", "true", "_text")).alias("w")).select("node", F.lower("w.v").alias("term"), F.col("w.s").alias("s"))
+    words = stored(found.select("node", "term", in_passages("s").alias("passage")).distinct().join(family, "node", "left").withColumn("unit", unit), "pii-words")
+    # n(t) is at least the number of units that hold t beside an entity; with fewer than SUPPORT there is nothing to tell.
+    by_any = words.groupBy("term").agg(F.countDistinct("unit").alias("n_any")).where(F.col("n_any") >= SUPPORT)
+    pairs = words.join(by_any, "term").join(places, ["node", "passage"])
+    joint = pairs.groupBy("entity", "term", "n_any").agg(F.countDistinct("unit").alias("n_te")).where(F.col("n_te") >= SUPPORT).join(own, "entity")
+    copies = family.agg(F.count(F.lit(1)) - F.countDistinct("unit")).first()[0]
+    n = docs.agg(F.countDistinct("_key")).first()[0] - copies
+    most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - GENERALISE))
+    joint = stored(joint.where(F.col("n_any") <= most).drop("n_any"), "pii-joint")
+    terms = stored(joint.select("term").distinct(), "pii-terms")
+    if terms.isEmpty():
+        return None
+    every = docs.select(F.xxhash64("_key").alias("node"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    few = F.broadcast(terms) if fits(terms, F.octet_length("term") + 64) else terms
+    counts = every.join(few, "term", "left_semi").distinct().join(family, "node", "left").groupBy("term").agg(F.countDistinct(unit).alias("n_t"))
+    weighed = joint.join(counts, "term").withColumn("ic", F.log2(F.lit(float(n)) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
+    told = weighed.where((F.col("ic") > 0) & (F.col("pmi") >= GENERALISE * F.col("ic"))).select("entity", "term", F.when(F.col("pmi") >= REMOVE * F.col("ic"), "removed").otherwise("term").alias("kind"))
+    # A term that several entities of a text call for is removed if any of them calls for that.
+    worst = seen.select("_key", "entity").distinct().join(told, "entity").groupBy("_key", "term").agg(F.min("kind").alias("kind"))
+    return stored(worst, "pii-disclosing"), texts
+
+
+def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_key, extra): spans of the words that `terms` (_key, term, kind) names, outside the base spans, in order."""
+    marked = texts.join(terms.select("_key").distinct(), "_key", "left_semi")
+    words = marked.select("_key", F.explode(spans("term", WORD, "true", "true", "_text")).alias("w")).select("_key", "w", F.lower("w.v").alias("term"))
+    hits = stored(words.join(terms, ["_key", "term"]).select("_key", F.col("w.s").alias("s"), F.col("w.e").alias("e"), F.col("w.v").alias("v"), "kind"), "pii-hits")
+    # A word that meets a base span: both are looked up by the stretches of 64 characters that they touch.
+    touch = lambda s, e: F.explode(F.sequence(F.expr(f"{s} DIV 64"), F.expr(f"({e} - 1) DIV 64"))).alias("at")
+    base = marked.select("_key", F.explode("_base").alias("b")).select("_key", F.col("b.s").alias("bs"), F.col("b.e").alias("be"), touch("b.s", "b.e"))
+    inside = hits.select("_key", "s", "e", touch("s", "e")).join(base, ["_key", "at"]).where("bs < e AND s < be").select("_key", "s", "e").distinct()
+    span = F.struct("s", "e", F.col("kind").alias("k"), "v")
+    free = hits.join(inside, ["_key", "s", "e"], "left_anti").groupBy("_key").agg(F.sort_array(F.collect_list(span)).alias("x"))
+    return free.select("_key", F.transform("x", lambda y: F.struct(y["k"].alias("k"), y["s"].alias("s"), y["e"].alias("e"), y["v"].alias("v"))).alias("extra"))
+
+
+def analyse(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(_key, copies, extra) for each distinct text with base spans; extra is null where no term is disclosing. And
+    whether any is. rows: (_key, _base); docs: (_key, _text), both of all rows."""
+    some = rows.where(F.size("_base") > 0)
+    once = stored(some.groupBy("_key").agg(F.first("_base").alias("_base"), F.count(F.lit(1)).alias("copies")), "pii-once")
+    found = disclosing_terms(once, docs)
+    if found is None or found[0].isEmpty():
+        return once.select("_key", "copies", F.lit(None).cast(f"array<{SPAN}>").alias("extra")), False
+    extra = term_spans(found[1].join(once.select("_key", "_base"), "_key"), found[0])
+    return stored(once.select("_key", "copies").join(extra, "_key", "left"), "pii-extra"), True
+
+
+def with_extra(rows: DataFrame, extra: DataFrame, any_: bool) -> DataFrame:
+    """Rows (.., _key, _base) with their text's extra spans (null for none). Rows without base spans meet nothing."""
+    if not any_:
+        return rows.withColumn("extra", F.lit(None).cast(f"array<{SPAN}>"))
+    told = extra.where("extra IS NOT NULL").select("_key", "extra")
+    if fits(told, F.lit(64) + F.expr("aggregate(extra, 0L, (a, x) -> a + 64 + octet_length(x.v))")):
+        return rows.join(F.broadcast(told), "_key", "left")
+    none = rows.where(F.size("_base") == 0).withColumn("extra", F.lit(None).cast(f"array<{SPAN}>"))
+    some = skewed_join(rows.where(F.size("_base") > 0), extra, ["_key"], "copies", extra.agg(F.sum("copies")).first()[0])
+    return some.drop("copies").unionByName(none)
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_key", F.md5(F.col("_text").cast("binary")))
 
+def joined(*arrays: str) -> Column:
+    return F.concat_ws(",", *[F.transform(a, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))) for a in arrays])
 
-def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Rows' base spans (doc_id, _key, _base), the texts' extra spans (_key, extra), and how many texts have some."""
-    rows = stored(detect(keyed(docs.select("doc_id", "text"))).select("doc_id", "_key", with_contexts().alias("_base")), "pii-base")
-    texts = keyed(docs.select("text")).select("_key", "_text")
-    once = rows.groupBy("_key").agg(F.first("_base").alias("_base"))
-    terms = stored(disclosing_terms(once, texts), "pii-disclosing")
-    many = terms.count()
-    held = terms.join(once, "_key")
-    marked = texts.join(F.broadcast(held) if many <= COPIED else held, "_key")
-    extra = marked.withColumn("_found", term_spans()).select("_key", named("_found").alias("extra")).groupBy("_key").agg(F.first("extra").alias("extra"))
-    return rows, (stored(extra, "pii-extra") if many else extra.limit(0)), many
 
+def replaced(text: str, ordered: str) -> Column:
+    """The text with each union of overlapping spans (sorted) replaced by the mark of the first.
 
-def joined(*arrays: str) -> Column:
-    return F.concat_ws(",", *[F.transform(a, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))) for a in arrays])
+    It is cut in UTF-32, where a place is found without reading up to it, and each piece is read back with a byte order
+    mark of its own, so that one in the text isn't taken for it."""
+    mark = "CASE x.k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MARKS.items()) + " END"
+    cut = lambda a, b: f"decode(concat(X'0000FEFF', substring(u, 4 * {a} + 1, 4 * ({b} - {a}))), 'UTF-32')"
+    piece = "named_struct('f', a.p, 's', x.s, 'k', x.k)"
+    step = f"named_struct('p', greatest(a.p, x.e), 'o', IF(x.s >= a.p, concat(a.o, array({piece})), a.o))"
+    pieces = scan(ordered, "0", "greatest(a.p, array_max(transform(z, x -> x.e)))", step, "CAST(array() AS array<struct<f:int,s:int,k:string>>)")
+    ends = f"array_max(transform({ordered}, x -> x.e))"
+    parts = f"transform({pieces}, x -> concat({cut('x.f', 'x.s')}, {mark}))"
+    return F.expr(let("u", f"encode({text}, 'UTF-32')", f"concat(array_join({parts}, ''), {let('t', ends, cut('t', 'length(' + text + ')'))})"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with spans in `text` replaced by marks; all other columns stay."""
-    _, extra, many = analyse(docs)
-    rows = detect(keyed(docs)).withColumn("_base", all_base())
-    if many:
-        rows = rows.join(F.broadcast(extra) if many <= COPIED else extra, "_key", "left")
-    else:
-        rows = rows.withColumn("extra", F.lit(None).cast(f"array<{SPAN}>"))
-    rows = rows.withColumn("_all", F.expr("array_sort(concat(_base, coalesce(extra, array())), (x, y) -> CASE WHEN x.s <> y.s THEN x.s - y.s ELSE y.e - x.e END)"))
-    mark = "CASE x.k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MARKS.items()) + " END"
-    clean = F.expr(f"aggregate(_all, named_struct('p', 0, 'o', ''), (a, x) -> named_struct('p', greatest(a.p, x.e), 'o', IF(x.s >= a.p, concat(a.o, substring(_text, a.p + 1, x.s - a.p), {mark}), a.o)), a -> concat(a.o, substring(_text, a.p + 1)))")
-    return rows.withColumn("text", F.when(F.size("_all") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    names = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns if c != "text"}
+    row = F.struct(F.lit(None).alias("text"), *[F.col(q).alias(c) for c, q in names.items()]).alias("row")
+    ids = stored(with_base(keyed(docs)).select("_key", "_base"), "pii-base")
+    extra, any_ = analyse(ids, keyed(docs))
+    rows = with_extra(with_base(keyed(docs, row, F.col("text").isNull().alias("null"))), extra, any_)
+    order = "(x, y) -> CASE WHEN x.s <> y.s THEN x.s - y.s ELSE y.e - x.e END"
+    rows = rows.withColumn("all", F.expr(f"array_sort(concat(_base, coalesce(extra, {NONE})), {order})"))
+    text = F.when(F.col("null"), F.lit(None)).when(F.size("all") > 0, replaced("_text", "`all`")).otherwise(F.col("_text"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, extra, many = analyse(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    both = rows.join(F.broadcast(extra) if many <= COPIED else extra, "_key", "left")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = stored(with_base(keyed(docs, "doc_id")).select("doc_id", "_key", "_base"), "pii-base")
+    extra, any_ = analyse(ids, keyed(docs))
+    both = with_extra(ids, extra, any_)
     count = lambda kind: F.size(F.filter("_base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{kind}")
-    base = joined("_base")
-    more = F.expr("concat(filter(extra, x -> x.k = 'term'), filter(extra, x -> x.k = 'removed'))")
-    return both.withColumn("_more", F.coalesce(more, F.expr(f"CAST(array() AS array<{SPAN}>)"))).select("doc_id", *map(count, KINDS), F.sha2(base, 256).alias("base_sha256"), joined("_base", "_more").alias("spans"))
+    more = F.expr(f"coalesce(concat(filter(extra, x -> x.k = 'term'), filter(extra, x -> x.k = 'removed')), {NONE})")
+    return both.withColumn("more", more).select("doc_id", *map(count, KINDS), F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_base", "more").alias("spans"))
