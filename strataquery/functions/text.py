@@ -16,8 +16,8 @@ def identifier_terms(token: Column) -> Column:
 
 
 def line_terms(line: Column) -> Column:
-    """Distinct identifier terms of a line."""
-    return F.array_distinct(F.flatten(F.transform(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)), identifier_terms)))
+    """Distinct identifier terms of a line, or of a whole text."""
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))), identifier_terms)))
 
 
 def token_estimate(text: Column) -> Column:

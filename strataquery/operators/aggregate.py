@@ -10,6 +10,11 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("token").agg(F.countDistinct("path").alias("df"))
 
 
+def term_frequency(file_terms: DataFrame) -> DataFrame:
+    """Document frequencies from (path, token) rows that are distinct already: a plain count, combined before the shuffle."""
+    return file_terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def match_counts(postings: DataFrame, terms: list[str], k: int) -> DataFrame:
     """Paths by the number of distinct terms they hold: the k first."""
     hits = postings.where(F.col("token").isin(terms)).select("token", "path").distinct()

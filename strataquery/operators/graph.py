@@ -3,25 +3,35 @@ written to a checkpoint when it has grown, so plans stay short."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint where the session has a folder for it."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """Cuts the lineage by a reliable checkpoint in the folder of spark.checkpoint.dir, which all executors share; only a
+    local master gets a folder of its own where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="strataquery-graph-"))
+    return df.checkpoint()
 
 
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(node, depth) of all nodes within max_depth steps from the seeds (node), each at its least depth."""
-    e = edges.select("source", "target").distinct()
+    """(node, depth) of all nodes within max_depth steps from the seeds (node), each at its least depth. Distinct edges
+    and what has been seen are written once each, so a level reads tables and repeats nothing."""
+    e = cut(edges.select("source", "target").distinct())
     seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         nxt = frontier.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
         frontier = cut(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = cut(seen.union(frontier))
     return seen
 
 
@@ -56,12 +66,16 @@ def walk(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int) -
 
 
 def simple_paths(edges: DataFrame, start: DataFrame, target: int | str, max_depth: int) -> DataFrame:
-    """Paths without repeated nodes from the start nodes to the target, shortest first by depth: (path, depth)."""
-    e = edges.select("source", "target").distinct()
+    """Paths without repeated nodes from the start nodes to the target, shortest first by depth: (path, depth). All of them:
+    `dependency.bounded_paths` has limits."""
+    e = cut(edges.select("source", "target").distinct())
     now = start.select(F.array("node").alias("path"))
     out = now.where(F.element_at("path", -1) == target).withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        now = now.where(F.element_at("path", -1) != target).join(e, F.element_at("path", -1) == F.col("source")).where(~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path"))
+        step = now.where(F.element_at("path", -1) != target).join(e, F.element_at("path", -1) == F.col("source"))
+        now = cut(step.where(~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path")))
+        if now.isEmpty():
+            break
         out = out.union(now.where(F.element_at("path", -1) == target).withColumn("depth", F.lit(depth)))
     return out
 

@@ -78,28 +78,92 @@ def domain_boost(position: Column, control: Column) -> Column:
     return F.least(F.lit(60), F.greatest(F.lit(16), 42 - 7 * position) + F.when(control, 12).otherwise(0))
 
 
-#: Query intents by their key words, the first that matches.
-INTENTS = [
-    ("verification", ("test", "tests", "verify", "spec")), ("configuration", ("config", "setting", "settings", "option")), ("build", ("build", "compile", "package", "dependency")),
-    ("documentation", ("doc", "docs", "readme", "guide")), ("relationship", ("caller", "callers", "uses", "depends", "references")), ("change", ("change", "changed", "diff", "recent")), ("location", ("where", "find", "locate")),
-]
-
-
-def route(query: str) -> str:
-    words = set(re.findall(r"[a-z]+", query.lower()))
-    return next((name for name, keys in INTENTS if words & set(keys)), "general")
-
-
-def bm25(counts: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of documents from (path, token, tf): lengths and document frequencies over the whole collection."""
-    lengths = counts.groupBy("path").agg(F.sum("tf").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = counts.where(F.col("token").isin(terms))
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    joined = hits.join(F.broadcast(df), "token").join(lengths, "path").crossJoin(F.broadcast(stats))  # one row; a row for each query term
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return joined.groupBy("path").agg(F.round(F.sum(part), 6).alias("bm25"))
+#: Words that tell a query's intent, by intent in the order in which they are tried.
+INTENT_WORDS = {
+    "config": "config configuration manifest makefile dockerfile pyproject package lockfile yaml yml toml json ini setting settings env",
+    "test": "test tests testing spec specs fixture fixtures coverage",
+    "relationship": "caller callers calls called reference references refs import imports imported depend depends dependency dependencies dependent dependents uses usage",
+    "structural": "class function method struct interface enum signature definition definitions symbol symbols export exports",
+    "conceptual": "architecture flow lifecycle authority ownership orchestration pipeline how where why design boundary boundaries overview",
+}
+#: Suffixes of file names in queries.
+NAMED_FILES = "py pyi js jsx ts tsx go rs java kt c h cc cpp hpp cs rb php swift toml yaml yml json ini cfg conf md"
+#: Words that name a domain of the repository, in the order in which domains are preferred.
+DOMAIN_WORDS = {
+    "ownership": "owner owners ownership owns owned authority authoritative responsibility responsibilities responsible governs governed allowed forbidden",
+    "architecture": "architecture architectural design boundary boundaries structure structural shape layer layers",
+    "build": "build make makefile init setup bootstrap package packaging release",
+    "plan": "plan plans template templates orchestration pipeline",
+    "config": "config configuration manifest setting settings yaml yml toml json env lockfile",
+    "script": "script scripts shell bash command commands",
+    "contract": "contract contracts schema schemas invariant invariants policy policies requirement requirements allowed forbidden valid invalid rule rules",
+    "doc": "doc docs documentation readme guide",
+    "test": "test tests testing spec fixture coverage",
+    "source": "class function method symbol implementation code source",
+}
+#: Words of change and consequence, which call for source, architecture and contract.
+IMPACT_WORDS = "lifecycle state terminal cancel cancellation change changes changed break breaks impact happen happens if"
+
+
+def is_identifier(query: str) -> bool:
+    """One name, or two joined by a dot."""
+    parts = query.strip().split(".")
+    return len(parts) <= 2 and all(p.isidentifier() for p in parts)
+
+
+def names_path(query: str) -> bool:
+    """A path with a slash, or a file name with a known suffix."""
+    words = re.split(r"\s+", query.strip())
+    suffixes = set(NAMED_FILES.split())
+    named = lambda w: any(m[1].lower() in suffixes for m in re.finditer(r"[\w-]\.([A-Za-z]+)\b", w))
+    return any(re.match(r"^\.?[\w.-]+/[\w./-]", w) or named(w) for w in words)
+
+
+def preferred_domains(words: set[str]) -> list[str]:
+    found = [d for d, vocabulary in DOMAIN_WORDS.items() if words & set(vocabulary.split())]
+    if words & set(IMPACT_WORDS.split()):
+        found += [d for d in ("source", "architecture", "contract") if d not in found]
+    return found
+
+
+def route(query: str) -> dict[str, object]:
+    """How a query is to be answered: its intent, how sure that is, which stages serve it, the domains it prefers."""
+    if not query.strip():
+        raise ValueError("an empty query has no route")
+    words = {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_-]*|[0-9]+", query)}
+    told = {name: bool(words & set(vocabulary.split())) for name, vocabulary in INTENT_WORDS.items()}
+    tries = [("path", names_path(query)), *((n, told[n]) for n in ("config", "test", "relationship", "structural")), ("identifier", is_identifier(query)), ("conceptual", told["conceptual"])]
+    intent = next((name for name, hit in tries if hit), "hybrid")
+    sure = {"structural": "medium", "conceptual": "medium", "hybrid": "low"}.get(intent, "high")
+    expands = intent not in ("path", "config", "test")
+    return {"intent": intent, "confidence": sure, "native_definitions": expands, "caller_expansion": expands, "domains": preferred_domains(words)}
+
+
+def term_counts(docs: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
+    """path, a length for each field, and an array of each term's occurrences for each field, all inside the row."""
+    count = lambda f, t: F.size(F.filter(f, lambda x: x == t))
+    return docs.select("path", *[F.size(f).alias(f"len_{f}") for f in fields], *[F.array(*[count(f, t) for t in terms]).alias(f"tf_{f}") for f in fields])
+
+
+def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of documents from (path, tokens): lengths and document frequencies over all documents that have tokens."""
+    return fielded_bm25(docs, terms, {"tokens": 1.0}, k1, {"tokens": b})
+
+
+def fielded_bm25(docs: DataFrame, terms: list[str], weights: dict[str, float], k1: float = 1.2, b: dict[str, float] | None = None) -> DataFrame:
+    """BM25F: occurrences in several fields (arrays of tokens) are scaled by the field's length and weight and summed
+    before they are dampened. Statistics are one row, read in one pass over counts made inside each row."""
+    fields = list(weights)
+    rows = term_counts(docs, terms, fields).where(reduce(lambda x, y: x | y, [F.col(f"len_{f}") > 0 for f in fields]))
+    held = lambda i: reduce(lambda x, y: x | y, [F.col(f"tf_{f}")[i] > 0 for f in fields])
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields], *[F.count_if(held(i)).alias(f"df_{i}") for i in range(len(terms))])
+    joined = rows.where(reduce(lambda x, y: x | y, [held(i) for i in range(len(terms))])).crossJoin(F.broadcast(stats))  # one row
+    total = F.lit(0.0)
+    for i in range(len(terms)):
+        tf = sum((weights[f] * F.col(f"tf_{f}")[i] / (1 - (b or {}).get(f, 0.75) + (b or {}).get(f, 0.75) * F.col(f"len_{f}") / F.when(F.col(f"avg_{f}") > 0, F.col(f"avg_{f}")).otherwise(1.0)) for f in fields), F.lit(0.0))
+        weight = F.log(1 + (F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
+        total = total + weight * tf * (k1 + 1) / (tf + k1)
+    return joined.select("path", F.round(total, 6).alias("bm25"))
 
 
 def confidence(best: Column) -> Column:

@@ -55,10 +55,10 @@ def walk_omissions(spark: SparkSession, sf: str) -> DataFrame:
     return graph.walk(C.dependency_edges(spark, sf), C.dependency_nodes(spark, sf), _seeds(spark), 4)[1]
 
 
-@query(f"WITH RECURSIVE {C.DEPS_SQL}, {SEEDS}, {FREE}, {_levels_sql('source', 'target', 6, 'free')} SELECT t.node AS target, l.node IS NOT NULL AS reachable FROM (SELECT node FROM nodes WHERE node % 50 = 3) t LEFT JOIN lv l USING (node)")
+@query(f"WITH RECURSIVE {C.DEPS_SQL}, {SEEDS}, {FREE}, {_levels_sql('source', 'target', 6, 'free')} SELECT t.node AS target, l.node IS NOT NULL AS reachable FROM nodes t LEFT JOIN lv l USING (node)")
 def reachability(spark: SparkSession, sf: str) -> DataFrame:
     found = graph.walk(C.dependency_edges(spark, sf), C.dependency_nodes(spark, sf), _seeds(spark), 6)[0]
-    targets = C.dependency_nodes(spark, sf).where("node % 50 = 3").select("node")
+    targets = C.dependency_nodes(spark, sf).select("node")
     return targets.join(found.select("node", F.lit(True).alias("hit")), "node", "left").select(F.col("node").alias("target"), F.coalesce("hit", F.lit(False)).alias("reachable"))
 
 
@@ -184,9 +184,20 @@ def version_filter(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("node", "version", version_state("version", ">=1.2,<4").alias("pypi"), version_state("version", "^2.3.0", "npm").alias("npm"))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS claim, l_suppkey AS v FROM lineitem WHERE l_linenumber <= 2) SELECT claim, CASE WHEN count(DISTINCT v) = 1 THEN 'resolved-unique' ELSE 'claim-conflict' END AS status, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS v FROM o GROUP BY claim""")
+@query(f"""WITH {C.NODES_SQL}, v AS (SELECT node, CAST(string_split(version, '.')[1] AS INTEGER) AS a, CAST(string_split(version, '.')[2] AS INTEGER) AS b, node % 3 AS pre FROM nodes), w AS (SELECT node, a, b, pre, CASE pre WHEN 0 THEN '' WHEN 1 THEN 'b2' ELSE 'b4' END AS p FROM v)
+SELECT node, CASE WHEN pre = 0 AND (a, b) >= (1, 2) THEN 'match' ELSE 'nonmatch' END AS released, CASE WHEN (a, b) > (1, 2) OR ((a, b) = (1, 2) AND pre = 0) THEN 'match' ELSE 'nonmatch' END AS with_prereleases,
+CASE WHEN pre = 0 AND a = 2 AND b >= 3 OR a = 2 AND b = 3 AND pre = 2 THEN 'match' ELSE 'nonmatch' END AS npm FROM w""")
+def version_prereleases(spark: SparkSession, sf: str) -> DataFrame:
+    from strataquery.functions.versions import version_state
+
+    pre = F.col("node") % 3
+    n = C.dependency_nodes(spark, sf).select("node", F.concat("version", F.when(pre == 0, "").when(pre == 1, "b2").otherwise("b4")).alias("pypi"), F.concat("version", F.when(pre == 0, "").when(pre == 1, "-beta.2").otherwise("-beta.4")).alias("npm"))
+    return n.select("node", version_state("pypi", ">=1.2").alias("released"), version_state("pypi", ">=1.2", prereleases=True).alias("with_prereleases"), version_state("npm", "^2.3.0-beta.3", "npm").alias("npm"))
+
+
+@query("""WITH o AS (SELECT l_orderkey AS claim, l_suppkey AS v FROM lineitem) SELECT claim, CASE WHEN count(DISTINCT v) = 1 THEN 'resolved-unique' ELSE 'claim-conflict' END AS status, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS v FROM o GROUP BY claim""")
 def correlated_claims(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("claim"), F.col("l_suppkey").alias("v"))
+    o = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("claim"), F.col("l_suppkey").alias("v"))
     return evidence.unique_claims(o, "claim", "v")
 
 

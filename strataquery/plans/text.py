@@ -22,28 +22,28 @@ def _postings(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {C.POSTINGS_SQL}, m AS (SELECT path, count(DISTINCT token) AS matches FROM postings WHERE token IN {IN} GROUP BY path ORDER BY matches DESC, path LIMIT 50) SELECT m.path, matches, language, full_tokens FROM m JOIN files USING (path)")
 def lexical_file_candidates(spark: SparkSession, sf: str) -> DataFrame:
     files = C.files(spark, sf)
-    return aggregate.match_counts(C.postings(files), PROBE, 50).join(files.select("path", "language", "full_tokens"), "path")
+    return aggregate.match_counts(C.postings_of(files, PROBE), PROBE, 50).join(files.select("path", "language", "full_tokens"), "path")
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT path, line FROM postings WHERE token IN ('the', 'and') GROUP BY path, line HAVING count(DISTINCT token) = 2")
 def lexical_line_conjunction(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.conjunctive_lines(_postings(spark, sf), ["the", "and"])
+    return aggregate.conjunctive_lines(C.postings_of(C.files(spark, sf), ["the", "and"]), ["the", "and"])
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT token, count(DISTINCT path) AS df FROM postings GROUP BY token")
 def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.document_frequency(_postings(spark, sf))
+    return aggregate.term_frequency(C.file_terms(C.files(spark, sf)))
 
 
 @query(f"WITH {C.POSTINGS_SQL}, d AS (SELECT token, count(DISTINCT path) AS df FROM postings GROUP BY token) SELECT token, df, round(ln((greatest((SELECT count(*) FROM files), 1) + 1) / (df + 1)) + 1, 6) AS idf FROM d WHERE df >= 5")
 def idf_terms(spark: SparkSession, sf: str) -> DataFrame:
     n = C.files(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    return rank.idf(aggregate.document_frequency(_postings(spark, sf)).where("df >= 5").crossJoin(F.broadcast(n)), F.col("n")).select("token", "df", "idf")  # one row
+    return rank.idf(aggregate.term_frequency(C.file_terms(C.files(spark, sf))).where("df >= 5").crossJoin(F.broadcast(n)), F.col("n")).select("token", "df", "idf")  # one row
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT path, string_agg(DISTINCT token, ',' ORDER BY token) AS terms FROM postings WHERE token IN {IN} GROUP BY path")
 def collected_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return _postings(spark, sf).where(F.col("token").isin(PROBE)).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("terms"))
+    return C.postings_of(C.files(spark, sf), PROBE).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("terms"))
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT path, count(DISTINCT CASE WHEN token = 'the' THEN line END) AS with_the, count(DISTINCT line) AS n_lines FROM postings GROUP BY path HAVING count(DISTINCT CASE WHEN token = 'the' THEN line END) >= 3")
@@ -136,8 +136,8 @@ def content_digest(spark: SparkSession, sf: str) -> DataFrame:
 l AS (SELECT path, sum(tf) AS dl FROM c GROUP BY path), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l), d AS (SELECT token, count(*) AS df FROM c WHERE token IN {IN} GROUP BY token)
 SELECT path, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM c JOIN d USING (token) JOIN l USING (path), s GROUP BY path""")
 def bm25(spark: SparkSession, sf: str) -> DataFrame:
-    words = C.files(spark, sf).select("path", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("token"))
-    return rank.bm25(words.groupBy("path", "token").agg(F.count(F.lit(1)).alias("tf")), PROBE)
+    words = C.files(spark, sf).select("path", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)).alias("tokens"))
+    return rank.bm25(words, PROBE)
 
 
 @query(f"""WITH {C.FILES_SQL}, v AS (

@@ -4,6 +4,8 @@ Each has a twin CTE in SQL for the DuckDB oracle."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def postings(files_: DataFrame) -> DataFrame:
     return lines(files_).select("path", "line", F.explode(line_terms(F.col("content"))).alias("token"))
 
 
+def postings_of(files_: DataFrame, terms: list[str]) -> DataFrame:
+    """The postings of some terms. A term is part of the text that it comes from, so only files and lines that hold one,
+    whatever the case, are cut into tokens."""
+    holds = lambda c: reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(t)) for t in terms])
+    some = lines(files_.where(holds("text"))).where(holds("content"))
+    return some.select("path", "line", F.explode(F.filter(line_terms(F.col("content")), lambda t: t.isin(terms))).alias("token"))
+
+
+def file_terms(files_: DataFrame) -> DataFrame:
+    """token, path: distinct terms of each file, found inside the row."""
+    return files_.select("path", F.explode(line_terms(F.col("text"))).alias("token"))
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(

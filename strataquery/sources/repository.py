@@ -86,8 +86,18 @@ def unparsed(files: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def store_blobs(files: DataFrame, path: str) -> None:
-    """Content-addressed store: new contents only, by digest."""
-    files.select("file_digest", "text").dropDuplicates(["file_digest"]).write.mode("append").parquet(path)
+    """Content-addressed store: new contents only, by digest; what is stored already is not written again."""
+    spark = files.sparkSession
+    new = files.select("file_digest", "text").dropDuplicates(["file_digest"])
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        new = new.join(spark.read.parquet(path).select("file_digest"), "file_digest", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def corrupt_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """Digests of stored contents that don't have that digest."""
+    return spark.read.parquet(path).where(F.sha2(F.col("text").cast("binary"), 256) != F.col("file_digest")).select("file_digest")
 
 
 def export_snapshot(df: DataFrame, path: str, kind: str = "parquet") -> None:

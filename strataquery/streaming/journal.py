@@ -65,14 +65,47 @@ def sessions(events: DataFrame, ts: str, key: str, gap_s: int) -> DataFrame:
     return marked.groupBy(key, "_s").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
-def refresh(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str = "path"):
-    """Applies each micro-batch of changed rows to a table of generations: every batch writes gen=N, whole, from the
-    generation before it; readers bind to one generation."""
+BUCKETS = 64
+
+
+def bucket_of(key: str) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def table_of(spark: SparkSession, target: str, schema, before: int | None = None) -> DataFrame:
+    """What `refresh` has written (before a batch): of each bucket its newest version. Only names of folders are listed."""
+    import re
+
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    newest: dict[str, int] = {}
+    for s in fs.listStatus(at(target)) if fs.exists(at(target)) else []:
+        m = re.fullmatch(r"b=(\d+)-v=(\d+)", s.getPath().getName())
+        if m and (before is None or int(m[2]) < before) and fs.exists(at(f"{target}/done-{m[2]}")):
+            newest[m[1]] = max(newest.get(m[1], -1), int(m[2]))
+    paths = [f"{target}/b={b}-v={v}" for b, v in newest.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def refresh(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str = "path", seq: str = "seq"):
+    """Applies each micro-batch of changed rows (key, seq, ..) to a table: of each key the rows of its highest `seq` in
+    the batch, all of them, replace those it had; a row whose other columns are all null only deletes.
+
+    Keys are dealt to hash buckets, and a batch writes only the buckets that it touches, as a new version of each; a
+    marker that is written last makes the batch's versions visible together, so a batch run again does no harm."""
     from strataquery.operators.delta import replace_children
 
     def apply(batch: DataFrame, n: int) -> None:
-        new = batch.dropDuplicates([key])
-        old = spark.read.schema(batch.schema).parquet(f"{target}/gen={n - 1}") if n else batch.limit(0)
-        replace_children(old, new, [key]).write.mode("overwrite").parquet(f"{target}/gen={n}")
+        last = batch.groupBy(key).agg(F.max(seq).alias("_last"))
+        new = batch.join(last, key).where(F.col(seq) == F.col("_last")).drop("_last")
+        touched = [r[0] for r in new.select(bucket_of(key)).distinct().collect()]  # at most BUCKETS
+        old = table_of(spark, target, batch.schema, n)
+        others = [c for c in batch.columns if c not in (key, seq)]
+        given = F.greatest(F.lit(False), *[F.col(c).isNotNull() for c in others]) if others else F.lit(True)
+        after = replace_children(old, new, [key]).where(given).withColumn("_b", bucket_of(key))
+        for b in touched:
+            after.where(F.col("_b") == b).drop("_b").write.mode("overwrite").parquet(f"{target}/b={b}-v={n}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/done-{n}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True).close()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
