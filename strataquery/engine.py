@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.functions import parse
-from strataquery.functions.text import is_test_path, line_terms, short_name
-from strataquery.operators import aggregate, context, delta, graph, lookup, rank, topk
+from strataquery.functions.text import impact_role, is_test_path, line_terms, short_name
+from strataquery.operators import aggregate, context, delta, graph, lookup, rank, retrieval, topk
 from strataquery.sources import repository
+from strataquery.sources.generations import Generations
 
 
 class Engine:
@@ -27,14 +28,16 @@ class Engine:
         files = repository.scan(spark, root, rules).where("evidence_visibility <> 'deny'")
         return cls(files, parse.parse_symbols(files), parse.parse_edges(files))
 
-    def save(self, path: str) -> None:
-        """A new generation; readers bind to one."""
-        for name in ("files", "symbols", "edges"):
-            repository.export_snapshot(getattr(self, name), f"{path}/{name}")
+    def save(self, path: str) -> int:
+        """Publishes the three tables together as the generation after the current one; readers bind to one."""
+        store = Generations(self.spark, path)
+        return store.publish(store.current(), {"files": self.files, "symbols": self.symbols, "edges": self.edges})
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Engine:
-        files, symbols, edges = (spark.read.parquet(f"{path}/{n}") for n in ("files", "symbols", "edges"))
+    def load(cls, spark: SparkSession, path: str, generation: int | None = None) -> Engine:
+        store = Generations(spark, path)
+        at = generation or store.current()
+        files, symbols, edges = (store.table(n, at) for n in ("files", "symbols", "edges"))
         return cls(files, symbols, edges.drop("target_short"))
 
     def stats(self) -> DataFrame:
@@ -70,14 +73,44 @@ class Engine:
     def enclosing(self, path: str, line: int) -> DataFrame:
         return lookup.containing(self.symbols.where(F.col("path") == path), line).orderBy("width", "start_line")
 
-    def find(self, query: str, n: int = 20) -> DataFrame:
-        """Hybrid search: exact and substring symbols, files by terms they hold and by path, scored and diversified."""
-        terms = rank.query_terms(query)
+    def lexical(self, query: str, n: int = 120) -> DataFrame:
+        """(path, boost) of the n files that hold most of a query's terms."""
+        terms = rank.query_terms(query)[:16]
         matched = self.postings.where(F.col("token").isin(terms)).groupBy("path").agg(F.countDistinct("token").alias("matches"))
-        boost = matched.select("path", rank.file_boost(F.col("matches"), max(1, len(terms))).alias("boost"))
-        rows = self.symbols.select("path", "name", "qualname", "signature", "start_line", F.lit("symbol").alias("row_type")).unionByName(self.files.select("path", F.lit("file").alias("row_type")), allowMissingColumns=True)
-        scored = rows.join(boost, "path", "left").withColumn("score", rank.score(query, boost=F.col("boost"))).where("score > 0")
-        return topk.path_diverse(scored.select("path", "qualname", "row_type", "start_line", "score"), "path", "score", ["start_line", "qualname"], n, max(1, n // 2))
+        some = matched.orderBy(F.desc("matches"), "path").limit(n)
+        return some.select("path", rank.file_boost(F.col("matches"), max(1, len(terms))).alias("boost"))
+
+    def find(self, query: str, n: int = 20, definitions: DataFrame | None = None) -> DataFrame:
+        """Hybrid search: symbols by name, files by terms, producers' definitions, callers and types, each path before
+        any path twice."""
+        return retrieval.find(query, self.symbols, self.edges, self.files, n, definitions, self.lexical(query, max(80, 6 * n)))
+
+    def action_map(self, task: str, n: int = 20, per_role: int = 3) -> DataFrame:
+        """Paths of a search by what to do with them: edit, verify, contract, inspect. The search's own order stays."""
+        hits = self.find(task, n).groupBy("path").agg(F.max("score").alias("score"))
+        role = impact_role(F.col("path"))
+        action = F.when(role == "verification", "verify").when(role == "contract", "contract").when(role == "implementation", "edit").otherwise("inspect")
+        return topk.top_per_group(hits.select(action.alias("role"), "path", "score"), ["role"], [F.desc("score"), "path"], per_role)
+
+    def verifiers(self, paths: list[str], depth: int = 8, per_path: int = 16) -> DataFrame:
+        """(path, verifier, distance): the nearest tests that reach each changed path over imports."""
+        found = None
+        for p in paths:
+            one = self.affected([p], depth).where(is_test_path(F.col("node"))).select(F.lit(p).alias("path"), F.col("node").alias("verifier"), F.col("depth").alias("distance"))
+            found = one if found is None else found.union(one)
+        if found is None:
+            raise ValueError("no changed paths")
+        return topk.top_per_group(found, ["path"], ["distance", "verifier"], per_path, "_rn").drop("_rn")
+
+    def brief(self, task: str, paths: list[str], per_section: int = 8) -> DataFrame:
+        """What a change needs at a glance: changed paths with their digests, what they affect by role, where the task
+        points, and the tests to run."""
+        row = lambda df, section, detail: df.select(F.lit(section).alias("section"), "path", detail.cast("string").alias("detail"))
+        changed = row(self.files.where(F.col("path").isin(paths)), "changed", F.col("file_digest"))
+        affected = row(self.impact(paths, per_section), "affected", F.col("role"))
+        points = row(self.action_map(task), "task", F.col("role"))
+        tests = row(self.verifiers(paths).select(F.col("verifier").alias("path"), "distance").groupBy("path").agg(F.min("distance").alias("distance")), "verify", F.col("distance"))
+        return topk.top_per_group(changed.union(affected).union(points).union(tests), ["section"], ["path", "detail"], per_section, "_rn").drop("_rn")
 
     def imports(self) -> DataFrame:
         return context.import_graph(self.files, self.edges)

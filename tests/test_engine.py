@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from strataquery import operations
 from strataquery.engine import Engine
 from strataquery.operators import context
 
@@ -23,10 +24,10 @@ def engine(spark, tmp_path_factory):
     for name, text in FILES.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
-    Engine.build(spark, str(root)).save(str(tmp_path_factory.mktemp("index")) + "/gen=1")
     e = Engine.build(spark, str(root))
-    path = str(tmp_path_factory.mktemp("index2")) + "/gen=1"
-    e.save(path)
+    path = str(tmp_path_factory.mktemp("index"))
+    assert e.save(path) == 1 and e.save(path) == 2
+    assert Engine.load(spark, path, 1).files.count() == 6
     return Engine.load(spark, path)
 
 
@@ -63,3 +64,32 @@ def test_states(spark, engine):
     assert {r["qualname"] for r in touched.collect()} == {"Planner", "Planner.plan"}
     names = spark.createDataFrame([("main",), ("nope",)], "name string")
     assert {(r["name"], r["status"]) for r in context.nominations(engine.symbols, names).collect()} == {("main", "resolved-unique"), ("nope", "unresolved")}
+
+
+def test_search_stages(spark, engine):
+    hits = {(r["row_type"], r["path"], r["qualname"]) for r in engine.find("Planner", 20).collect()}
+    assert ("symbol", "src/core/base.py", "Planner") in hits and ("file", "src/core/fleet.py", "") in hits
+    seen = spark.createDataFrame([("src/app.py", "FleetMain", "scip FleetMain#", 3)], "path string, display_name string, symbol string, line int")
+    assert ("native-definition", "src/app.py", "FleetMain") in {(r["row_type"], r["path"], r["qualname"]) for r in engine.find("FleetMain", 5, definitions=seen).collect()}
+    roles = {(r["role"], r["path"]) for r in engine.action_map("test of FleetPlanResolver main").collect()}
+    assert ("edit", "src/core/fleet.py") in roles and ("verify", "tests/test_app.py") in roles
+    assert [tuple(r) for r in engine.verifiers(["src/core/base.py"]).collect()] == [("src/core/base.py", "tests/test_app.py", 3)]
+    sections = {(r["section"], r["path"]) for r in engine.brief("plan", ["src/core/base.py"]).collect()}
+    assert {("changed", "src/core/base.py"), ("affected", "src/app.py"), ("verify", "tests/test_app.py")} <= sections
+
+
+def test_operations(spark, engine, tmp_path):
+    assert operations.call(engine, "symbol", name="Planner").count() == 1
+    for op, args in (("nothing", {}), ("symbol", {"nom": "x"})):
+        with pytest.raises(ValueError):
+            operations.call(engine, op, **args)
+    kept = operations.Results(engine, 1, str(tmp_path))
+    first = sorted(map(tuple, kept.get("outline", path="src/core/fleet.py").select("qualname").collect()))
+    assert sorted(map(tuple, kept.get("outline", path="src/core/fleet.py").select("qualname").collect())) == first and (kept.hits, kept.misses) == (1, 1)
+    assert operations.action_key(1, "find", {"a": 1, "b": 2}) == operations.action_key(1, "find", {"b": 2, "a": 1}) != operations.action_key(2, "find", {"a": 1, "b": 2})
+    costs = {r["answer"]: (r["n_rows"], r["tokens"] > 0) for r in operations.economics(engine, {"languages": engine.languages(), "refs": engine.refs("x.Planner")}).collect()}
+    assert costs["languages"][1] and costs["refs"] == (engine.refs("x.Planner").count(), True)
+    assert operations.intelligence(engine, "snapshot").count() == 6 and operations.intelligence(engine, "delta", before=engine).where("status <> 'unchanged'").count() == 0
+    assert {r["part"]: r["value"] for r in operations.intelligence(engine, "explain", query="callers of x").collect()}["intent"] == '"relationship"'
+    with pytest.raises(ValueError):
+        operations.intelligence(engine, "delta")

@@ -126,6 +126,49 @@ def test_versions():
     assert ok("1.0.0-rc.1", "1.0.0-rc.1") and not ok("1.0.0-rc.1", "^1.0.0") and versions.npm("git+x", "^1") == "unclassified"
 
 
+@pytest.mark.parametrize(
+    ("version", "spec", "state"),
+    [
+        ("1.2.3-beta.4", "^1.2.3-beta.2", "match"), ("1.2.3-beta.4", ">=1.2.3-beta.1 <2.0.0", "match"), ("1.2.3", ">1.2.3-alpha", "match"), ("1.3.0-beta.1", "^1.2.3", "nonmatch"), ("1.3.0-beta.1", ">=1.2.3-beta.1 <2.0.0", "nonmatch"),
+        ("1.2.3", "1.2.x", "match"), ("1.3.0", "1.2.x", "nonmatch"), ("0.3.0", "^0.2.3", "nonmatch"), ("0.0.4", "^0.0.3", "nonmatch"), ("0.0.9", "^0.0", "match"), ("0.9.0", "^0.x", "match"), ("2.4.0", "1.2.3 - 2.3", "nonmatch"),
+        ("1.2.3", ">1.2", "nonmatch"), ("1.2.9", "<=1.2", "match"), ("1.0.0-a", "*", "nonmatch"), ("1.0.0", "latest", "unclassified"), ("1.2", "*", "unclassified"), ("2.5.0", "1.2.3 || 2", "match"), ("9007199254740992.0.0", "*", "unclassified"),
+    ],
+)
+def test_npm_ranges(version, spec, state):
+    assert versions.npm(version, spec) == state
+
+
+def test_prereleases_are_asked_for():
+    assert versions.pep440("2.0a1", ">=1.0") == "nonmatch" and versions.pep440("2.0a1", ">=1.0", True) == "match"
+
+
+def test_blobs_and_values(spark, tmp_path):
+    from strataquery.sources import repository as R
+
+    files = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "path string, text string").withColumn("file_digest", F.sha2("text", 256))
+    R.store_blobs(files, str(tmp_path / "cas"))
+    R.store_blobs(files.union(spark.createDataFrame([("d", "z", "wrong")], files.schema)), str(tmp_path / "cas"))
+    assert spark.read.parquet(str(tmp_path / "cas")).count() == 3 and [r[0] for r in R.corrupt_blobs(spark, str(tmp_path / "cas")).collect()] == ["wrong"]
+
+
+def test_limits_are_errors_or_omissions(spark):
+    from strataquery.operators import dependency
+
+    edges = spark.createDataFrame([(i, i + 1, None) for i in range(6)] + [(0, 10, "m")], "source long, target long, marker string")
+    nodes = spark.createDataFrame([(i, None) for i in range(12)], "node long, marker string")
+    start = spark.createDataFrame([(0,)], "node long")
+    found, left = dependency.bounded_walk(edges, nodes, start, 4, 2, 100)
+    assert [tuple(r) for r in found.collect()] == [(1, 1), (2, 2)] and {tuple(r) for r in left.collect()} == {("conditional-edge", 0), ("depth-limit", 4), ("result-limit", None)}
+    found, left = dependency.bounded_walk(edges, nodes, start, 4, 9, 2)
+    assert found.count() == 2 and ("visit-limit", None) in {tuple(r) for r in left.collect()}
+    assert dependency.bounded_paths(edges, start, 5, 9, 9, 3)[1] == ["visit-limit"]
+    with pytest.raises(ValueError):
+        dependency.verification_chains(start.withColumn("path", F.lit("p")), edges, spark.createDataFrame([("p", "v")], "path string, verifier string"), 2)
+    with pytest.raises(ValueError):
+        dependency.batch({str(i): start for i in range(33)})
+
+
+
 def test_evidence(spark):
     c = spark.createDataFrame([("a", "g", "complete", "complete"), ("b", "g", "complete", "complete"), ("a", "h", "complete", "cut")], "context string, kind string, completeness string, truncation string")
     d = spark.createDataFrame([("a",), ("b",), ("c",)], "context string")
@@ -136,7 +179,9 @@ def test_evidence(spark):
 def test_rank():
     assert rank.query_terms("FleetPlanResolver x") == ["fleetplanresolver", "resolver", "fleet", "plan"]
     assert rank.formulate({"a": "Ab", "bc": "bc"}, {"a": 1, "bc": 50}, 100) == ["a", "bc"]
-    assert rank.route("who depends on it") == "relationship" and rank.route("hello") == "general"
+    intents = {"who depends on it": "relationship", "hello there": "hybrid", "hello": "identifier", "a.b": "identifier", "fix src/a.py": "path", "the settings of setup.cfg": "path", "env settings": "config", "spec of the class": "test", "which method": "structural", "how does it flow": "conceptual"}
+    assert {q: rank.route(q)["intent"] for q in intents} == intents
+    assert rank.route("what happens if the owner changes")["domains"] == ["ownership", "source", "architecture", "contract"] and not rank.route("a/b.py")["caller_expansion"]
 
 
 def test_merkle(spark):

@@ -75,6 +75,10 @@ def test_streams(spark, tmp_path):
     q = J.journal(stream).writeStream.outputMode("update").format("memory").queryName("journal").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("journal").collect()} == want
-    q = J.refresh(spark, stream.select(F.col("source").alias("path"), "seq"), str(tmp_path / "gens"), str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "gens/gen=0")).count() == 3
+    changes = [(0, "a", 1), (0, "a", 2), (0, "b", 1), (1, "a", 3), (1, "b", None), (2, "c", 9)]
+    schema = "seq long, path string, value long"
+    for n, part in enumerate(([c for c in changes if c[0] == 0], [c for c in changes if c[0] > 0])):
+        spark.createDataFrame(part, schema).repartition(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        J.refresh(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "changes")), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination(120)
+        got = sorted((r["path"], r["value"]) for r in J.table_of(spark, str(tmp_path / "t"), schema).collect())
+        assert got == ([("a", 1), ("a", 2), ("b", 1)] if not n else [("a", 3), ("c", 9)])
