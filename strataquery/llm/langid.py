@@ -6,12 +6,15 @@ differences in rank, or of the profile's length for n-grams that the language's
 predicted; the score is 1 less the distance's share of the largest possible one.
 
 Profiles are learned from labelled rows: a sample of about `sample` rows for each language (a documented bound; all rows
-where there are fewer), drawn by a hash of the row's id; n-gram counts are summed by a shuffle and only the profiles (at
-most `size` rows for each language) reach the driver. Prediction reads the text alone and the whole of it, in blocks.
+where there are fewer), drawn by a hash of the row's id and text, of the `LANGUAGES` most frequent labels (a bound too);
+n-gram counts are summed by a shuffle and only the profiles (at most `size` rows for each language) reach the driver.
+Prediction reads the text alone and the whole of it, in blocks. `acceptance` tells the score from which a text may pass
+for one of the languages: a fixed share of what nearly all labelled texts reach.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; a text none of whose n-grams stands in any
 profile scores 0 and gets the first language in alphabetical order, as do ties; with nothing to learn from, all are `und`;
-repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
+repeated rows get equal results; very long texts are counted block by block; an empty table gives an empty result;
+columns named lang_pred and score are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SIZE, SAMPLE, BLOCK = 400, 5000, 1 << 20
+SIZE, SAMPLE, BLOCK, LANGUAGES = 400, 5000, 1 << 20, 1000
+#: The share of labelled texts that may score less than the level, and the share of that level that is asked for.
+BELOW, ASKED = 0.01, 0.5
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -70,13 +75,13 @@ def ranked(kinds: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 def learn_profiles(docs: DataFrame, size: int = SIZE, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Profiles of the languages of labelled rows (doc_id, text, lang)."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
+    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not totals:
         return {}
     share = F.lit(0.0)
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
+    drawn = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,6 +136,18 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], size: in
     return kept.mapInArrow(run, schema)
 
 
+def acceptance(docs: DataFrame, profiles: dict[str, np.ndarray], sample: int = 4 * SAMPLE) -> float:
+    """`ASKED` of the score that all but `BELOW` of labelled rows (text, lang) reach, by about `sample` of them; 0 where
+    none are labelled. Texts of no learned language lie far below: random letters, codes and other scripts reach about
+    0.1 to 0.3, sentences of a language 0.5 or more."""
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text")
+    n = known.count()
+    drawn = known.where(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1_000_000)) < min(1.0, sample / max(1, n)) * 1_000_000)
+    scores = predict_languages(drawn, profiles).where("lang_pred <> 'und'")
+    level = scores.agg(F.percentile_approx("score", F.lit(BELOW), F.lit(10_000))).first()[0]
+    return ASKED * level if level is not None else 0.0
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 

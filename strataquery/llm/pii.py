@@ -241,7 +241,7 @@ def replaced(text: str, ordered: str) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with spans in `text` replaced by marks; all other columns stay."""
     names = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns if c != "text"}
-    row = F.struct(F.lit(None).alias("text"), *[F.col(q).alias(c) for c, q in names.items()]).alias("row")
+    row = F.struct(F.lit(None).cast("string").alias("text"), *[F.col(q).alias(c) for c, q in names.items()]).alias("row")
     ids = stored(with_base(keyed(docs)).select("_key", "_base"), "pii-base")
     extra, any_ = analyse(ids, keyed(docs))
     rows = with_extra(with_base(keyed(docs, row, F.col("text").isNull().alias("null"))), extra, any_)

@@ -18,4 +18,4 @@ QUERIES = {
     "op10_topk": topk.op10_topk,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op2_jaccard": jaccard.OP2_SQL, "op5_chat": chat.OP5_SQL, "op9_embed": embed.OP9_SQL, "op10_topk": topk.OP10_SQL}
+ORACLE = {"op2_jaccard": jaccard.OP2_SQL, "op5_chat": chat.OP5_SQL, "op6_warc": warc.OP6_SQL, "op9_embed": embed.OP9_SQL, "op10_topk": topk.OP10_SQL}

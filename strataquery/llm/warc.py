@@ -225,3 +225,13 @@ def archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, str]:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, uri = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read_archives(paths, uri, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A digest's 160 bits as base32: each of 32 letters from two of its hexadecimal digits.
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p), l AS (SELECT s, max(page_id) AS lead FROM d GROUP BY s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(s, CAST(5 * i // 4 AS INTEGER) + 1, 2) AS INTEGER) >> (3 - (5 * i) % 4)) & 31) AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM d JOIN l USING (s)
+"""

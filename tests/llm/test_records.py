@@ -5,7 +5,9 @@ import gzip
 import hashlib
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyarrow import fs as pafs
@@ -78,15 +80,59 @@ def test_inflate_streams(monkeypatch):
         assert list(warc.split_records(warc.inflated(io.BytesIO(blob)))) == records
 
 
-def test_pipeline(spark):
-    docs = cases.documents(spark)
+@pytest.mark.parametrize("clash", [False, True], ids=["plain", "clashing columns"])
+def test_pipeline(spark, clash):
+    docs = cases.documents(spark, clash)
+    if clash:
+        names = ["row", "id", "own", "at", "g", "copies", "best", "who", "real", "null", "all", "_base", "_spread", "component_id", "n_shingles", "held_out", "a.b"]
+        docs = docs.drop("score", "rank").selectExpr("*", *[f"doc_id * {i} AS `{n}`" for i, n in enumerate(names)], "0.5D AS score", "map('k', doc_id) AS m")
     kept = docs
     for _, stage in corpus_pipeline.STAGES[:3]:
         kept = stage(spark, kept, "")
-        assert kept.columns == docs.columns
+        assert kept.columns == docs.columns and kept.schema["text"].dataType == docs.schema["text"].dataType
     rows = {r["doc_id"]: r for r in kept.collect()}
-    assert set(rows) == {None, 3, 4, 7, 9, 11, 12, 13} and kept.count() == 8
+    assert set(rows) == {None, 3, 4, 7, 9, 12, 13} and kept.count() == 7  # 11 is one letter repeated
     assert "[EMAIL]" in rows[9]["text"] and rows[9]["n_chars"] == len(rows[9]["text"]) and rows[4]["text"] == cases.COPY
-    assert corpus_pipeline.pack(spark, kept, "").count() == 8
+    if clash:
+        assert all(r["score"] == 0.5 and r["m"] == {"k": i} and [r[n] for n in names] == [i * k if i is not None else None for k in range(len(names))] for i, r in rows.items())
+    assert corpus_pipeline.pack(spark, kept, "").count() == 7
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, cases.empty(spark), "").count() == 0
+
+
+def test_rows_of_one_id_are_apart(spark, monkeypatch):
+    """Different texts of one doc_id are different documents: only what is linked to a kept one goes."""
+    from strataquery.llm import common
+
+    other = " ".join(f"other{i}" for i in range(40))
+    third = " ".join(f"third{i}" for i in range(40))
+    rows = [(1, cases.COPY), (5, cases.NEAR), (5, other), (5, other), (7, other), (8, third), (8, third), (8, ""), (8, None), (None, third), (9, third + " end"), (3, "a lone text of some words")]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], cases.DOCS).repartition(3)
+    for few in (common.FEW, 0):
+        monkeypatch.setattr(common, "FEW", few)
+        got = sorted(((r["doc_id"] or 0), r["text"] or "-" * (r["text"] is None)) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+        assert len(got) in (6, 7) and [x for x in got if x[0] not in (8,)] == sorted([(0, third), (1, cases.COPY), (3, rows[-1][1]), (5, other)])
+        assert (8, third) in got and sum(i == 8 for i, _ in got) in (2, 3)
+
+
+def test_junk_is_no_language(spark):
+    """Random letters, codes and other scripts are rejected, labelled texts stay, short ones too."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = np.random.default_rng(5)
+    junk = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 800)), base64.b64encode(rng.bytes(600)).decode(), rng.bytes(500).hex(), "这是一个测试文档" * 20 + " the", "Это документ на русском языке о погоде " * 9 + "a"]
+    more = spark.createDataFrame([(10_000 + i, t, None, "junk", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(more), "").select("doc_id").collect()}
+    labelled = {r["doc_id"] for r in docs.where("lang IS NOT NULL AND text rlike '[a-z]'").select("doc_id").collect()}
+    assert not kept & {10_000 + i for i in range(len(junk))} and labelled <= kept
+
+
+def test_warc_matches_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = [(r["page_id"], (r["html"] or "").encode()) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    lead: dict[bytes, int] = {}
+    for i, html in pages:
+        lead[html] = max(i, lead.get(html, i))
+    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = {(i, len(h), digest(h), "response" if lead[h] == i else "revisit", None if lead[h] == i else lead[h]) for i, h in pages}
+    got = [tuple(r) for r in warc.op6_warc(spark, sf).collect()]
+    assert set(got) == want and len(got) == len(pages)
