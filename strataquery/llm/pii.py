@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import components, skewed_join, stored
+from strataquery.llm.common import FEW, HOT, components, skewed_join, stored
 
 PASSAGE, SUPPORT, GENERALISE, REMOVE = 8192, 3, 0.85, 0.98
 BANDS, ROWS, SHINGLE = 8, 6, 5
@@ -138,11 +138,33 @@ def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.groupBy("_key").agg(F.first("_text").alias("_text")).select("_key", F.xxhash64("_key").alias("node"), "_text")
 
 
-def disclosing_terms(once: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+def text_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame, held: DataFrame) -> DataFrame:
+    """(term, n): in how many distinct texts of rows (_key, _text) each of some terms stands, those of `held` left out.
+
+    A text of one row is counted where it lies, so only sums by term are shuffled; texts of several rows (`repeated`,
+    (_key, copies)) are first reduced to their distinct terms."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term")
+    few = F.broadcast(terms) if fits(terms, F.octet_length("term") + 64) else terms
+    key = F.xxhash64("_key").alias("node")
+    others = docs.select(key, "_text").join(F.broadcast(held.select(key)) if fits(held, F.lit(24)) else held.select(key), "node", "left_anti")
+    many = repeated.select(key, "copies")
+    if fits(many, F.lit(24)):
+        once, often = others.join(F.broadcast(many), "node", "left_anti"), others.join(F.broadcast(many), "node", "left_semi")
+    else:
+        total = docs.count()
+        often = skewed_join(others, many, ["node"], "copies", total)
+        once = others.join(F.broadcast(many.where(F.col("copies") > max(FEW, total // HOT)).select("node")), "node", "left_anti").join(many, "node", "left_anti")
+    single = once.select(word).join(few, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    several = often.select("node", word).join(few, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return single.union(several).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def disclosing_terms(once: DataFrame, per_key: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """(_key, term, kind) for texts that hold an entity which some term reveals, and the texts (_key, _text) that hold
     one that may be revealed; None where there are none.
 
-    once: distinct texts with base spans (_key, _base, copies); docs: (_key, _text) of all rows."""
+    once: distinct texts with base spans (_key, _base, copies); per_key: all distinct texts (_key, copies); docs: (_key,
+    _text) of all rows."""
     seen = once.select("_key", F.xxhash64("_key").alias("node"), F.explode("_base").alias("b")).select("_key", "node", F.xxhash64("b.k", F.lower("b.v")).alias("entity"), F.col("b.s").alias("place"))
     seen = stored(seen, "pii-seen")
     often = seen.groupBy("entity").agg(F.countDistinct("node").alias("n")).where(F.col("n") >= SUPPORT).select("entity")
@@ -161,20 +183,19 @@ def disclosing_terms(once: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     found = texts.select("node", F.explode(spans("term", WORD, "true", "true", "_text")).alias("w")).select("node", F.lower("w.v").alias("term"), F.col("w.s").alias("s"))
     words = stored(found.select("node", "term", in_passages("s").alias("passage")).distinct().join(family, "node", "left").withColumn("unit", unit), "pii-words")
     # n(t) is at least the number of units that hold t beside an entity; with fewer than SUPPORT there is nothing to tell.
-    by_any = words.groupBy("term").agg(F.countDistinct("unit").alias("n_any")).where(F.col("n_any") >= SUPPORT)
-    pairs = words.join(by_any, "term").join(places, ["node", "passage"])
+    by_any = words.groupBy("term").agg(F.countDistinct("unit").alias("n_any"), F.count(F.lit(1)).alias("rows")).where(F.col("n_any") >= SUPPORT)
+    pairs = skewed_join(words, stored(by_any, "pii-any"), ["term"], "rows", words.count()).join(places, ["node", "passage"])
     joint = pairs.groupBy("entity", "term", "n_any").agg(F.countDistinct("unit").alias("n_te")).where(F.col("n_te") >= SUPPORT).join(own, "entity")
-    copies = family.agg(F.count(F.lit(1)) - F.countDistinct("unit")).first()[0]
-    n = docs.agg(F.countDistinct("_key")).first()[0] - copies
+    n = per_key.count() - family.agg(F.count(F.lit(1)) - F.countDistinct("unit")).first()[0]
     most = F.col("n_te") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - GENERALISE))
-    joint = stored(joint.where(F.col("n_any") <= most).drop("n_any"), "pii-joint")
+    joint = stored(joint.where(F.col("n_any") <= most), "pii-joint")
     terms = stored(joint.select("term").distinct(), "pii-terms")
     if terms.isEmpty():
         return None
-    every = docs.select(F.xxhash64("_key").alias("node"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    few = F.broadcast(terms) if fits(terms, F.octet_length("term") + 64) else terms
-    counts = every.join(few, "term", "left_semi").distinct().join(family, "node", "left").groupBy("term").agg(F.countDistinct(unit).alias("n_t"))
-    weighed = joint.join(counts, "term").withColumn("ic", F.log2(F.lit(float(n)) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
+    others = text_counts(docs, terms, per_key.where("copies > 1"), held)
+    counts = terms.join(others, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n_others"))
+    joint = joint.join(counts, "term").withColumn("n_t", F.col("n_any") + F.col("n_others"))
+    weighed = joint.withColumn("ic", F.log2(F.lit(float(n)) / F.col("n_e"))).withColumn("pmi", F.log2(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))))
     told = weighed.where((F.col("ic") > 0) & (F.col("pmi") >= GENERALISE * F.col("ic"))).select("entity", "term", F.when(F.col("pmi") >= REMOVE * F.col("ic"), "removed").otherwise("term").alias("kind"))
     # A term that several entities of a text call for is removed if any of them calls for that.
     worst = seen.select("_key", "entity").distinct().join(told, "entity").groupBy("_key", "term").agg(F.min("kind").alias("kind"))
@@ -200,7 +221,8 @@ def analyse(rows: DataFrame, docs: DataFrame) -> tuple[DataFrame, bool]:
     whether any is. rows: (_key, _base); docs: (_key, _text), both of all rows."""
     some = rows.where(F.size("_base") > 0)
     once = stored(some.groupBy("_key").agg(F.first("_base").alias("_base"), F.count(F.lit(1)).alias("copies")), "pii-once")
-    found = disclosing_terms(once, docs)
+    per_key = stored(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("copies")), "pii-texts")
+    found = disclosing_terms(once, per_key, docs)
     if found is None or found[0].isEmpty():
         return once.select("_key", "copies", F.lit(None).cast(f"array<{SPAN}>").alias("extra")), False
     extra = term_spans(found[1].join(once.select("_key", "_base"), "_key"), found[0])
