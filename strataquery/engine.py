@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataquery.functions import parse
 from strataquery.functions.text import impact_role, is_test_path, line_terms, short_name
-from strataquery.operators import aggregate, context, delta, graph, lookup, rank, retrieval, topk
+from strataquery.operators import aggregate, context, delta, graph, lookup, rank, retrieval, structure, topk
 from strataquery.sources import repository
 from strataquery.sources.generations import Generations
 
@@ -15,8 +15,9 @@ from strataquery.sources.generations import Generations
 class Engine:
     """Tables of one generation of an index. `build` scans a folder; any tables of the same columns serve."""
 
-    def __init__(self, files: DataFrame, symbols: DataFrame, edges: DataFrame) -> None:
+    def __init__(self, files: DataFrame, symbols: DataFrame, edges: DataFrame, parsed: DataFrame | None = None) -> None:
         self.spark = files.sparkSession
+        self.parsed = parsed if parsed is not None else parse.parse_all(files) if {"text", "language"} <= set(files.columns) else None
         self.files, self.symbols = files, symbols
         self.edges = edges.withColumn("target_short", short_name(F.col("target")))
         lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("_p", "content")).select("path", (F.col("_p") + 1).alias("line"), "content")
@@ -26,7 +27,8 @@ class Engine:
     @classmethod
     def build(cls, spark: SparkSession, root: str, rules: list | None = None) -> Engine:
         files = repository.scan(spark, root, rules).where("evidence_visibility <> 'deny'")
-        return cls(files, parse.parse_symbols(files), parse.parse_edges(files))
+        parsed = graph.cut(parse.parse_all(files))
+        return cls(files, parse.parse_symbols(parsed), parse.parse_edges(parsed), parsed)
 
     def save(self, path: str) -> int:
         """Publishes the three tables together as the generation after the current one; readers bind to one."""
@@ -134,7 +136,21 @@ class Engine:
         return context.pack(hits.join(self.files.select("path", F.col("full_tokens").alias("cost")), "path"), budget)
 
     def findings(self) -> DataFrame:
-        return parse.parse_findings(self.files)
+        return parse.parse_findings(self.parsed)
+
+    def bindings(self) -> DataFrame:
+        return parse.parse_bindings(self.parsed)
+
+    def exports(self) -> DataFrame:
+        return parse.exports(self.bindings())
+
+    def import_owner(self, path: str, name: str, depth: int = 8) -> DataFrame:
+        """Who defines a name that a module lets out, behind re-exports: modules become paths by the table of files."""
+        modules = self.files.where("module_name IS NOT NULL").select(F.col("module_name").alias("module"), F.col("path").alias("owner"))
+        passed = self.bindings().where("kind = 'reexport'").select("path", "name", F.regexp_replace("target", r"\.[^.]*$", "").alias("module"), F.substring_index("target", ".", -1).alias("owner_name"))
+        chains = passed.join(modules, "module").select("path", "name", "owner", "owner_name")
+        defined = self.bindings().where("kind IN ('declaration', 'value')").select("path", "name")
+        return structure.import_owners(self.spark.createDataFrame([(path, name)], "path string, name string"), chains, defined, depth)
 
     def digests(self) -> DataFrame:
         return aggregate.merkle_tree(self.files, "path", "file_digest", "size")

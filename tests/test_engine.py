@@ -93,3 +93,12 @@ def test_operations(spark, engine, tmp_path):
     assert {r["part"]: r["value"] for r in operations.intelligence(engine, "explain", query="callers of x").collect()}["intent"] == '"relationship"'
     with pytest.raises(ValueError):
         operations.intelligence(engine, "delta")
+
+
+def test_owner_behind_reexports(spark, tmp_path):
+    for name, text in {"pkg/__init__.py": "from pkg.mid import Thing\n", "pkg/mid.py": "from pkg.core import Real as Thing\n", "pkg/core.py": "class Real: ...\n"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    e = Engine.build(spark, str(tmp_path))
+    assert tuple(e.import_owner("pkg/__init__.py", "Thing").first())[2:] == ("resolved-unique", "pkg/core.py", "Real")
+    assert e.import_owner("pkg/core.py", "Nothing").first()["status"] == "unresolved"

@@ -36,9 +36,9 @@ def test_scan_and_parse(spark, tmp_path):
     got = {r["path"]: (r["language"], r["evidence_visibility"], r["module_name"]) for r in files.collect()}
     assert got == {"src/a.py": ("python", "source", "a"), "docs/r.md": ("markdown", "outline", None), "go/m.go": ("go", "source", None)}
     symbols = {(r["qualname"], r["kind"]) for r in parse.parse_symbols(files).collect()}
-    assert symbols == {("Base", "class"), ("A", "class"), ("A.m", "method"), ("f", "function"), ("Run", "function"), ("T", "type")}
+    assert symbols == {("Base", "class"), ("A", "class"), ("A.m", "method"), ("f", "function"), ("Run", "function"), ("T", "struct")}
     edges = {(r["source"], r["kind"], r["target"]) for r in parse.parse_edges(files).collect()}
-    assert {(None, "import", "pkg.mod.thing"), ("A", "inherits", "Base"), ("A.m", "call", "t"), ("A.m", "parameter", "pkg.T")} <= edges
+    assert {(None, "import", "pkg.mod.thing"), ("A", "inherits", "Base"), ("A.m", "call", "t"), ("A.m", "parameter-type", "pkg.T")} <= edges
     findings = parse.parse_findings(files)
     kinds = {r["kind"] for r in findings.collect()}
     assert {"dynamic-import", "cache-owner", "cache-invalidation", "filesystem-check", "filesystem-use"} <= kinds
@@ -49,6 +49,81 @@ def test_scan_and_parse(spark, tmp_path):
     assert json.loads(R.as_json(files.select("path", "language").limit(1)).first()[0]).keys() == {"language", "path"}
 
 
+GO = """package m
+import (
+\t"fmt"
+\tx "ex.org/y"
+)
+// func No() {}
+type T struct {
+\ta int
+}
+type (
+\tA interface { M() }
+\tG[K any] struct{ k K }
+)
+func Run(a int, f func() error) (r struct{ x int }, err error) {
+\ts := "func Fake() {"
+}
+func (t *T) M(x int) {}
+func ext(a int) int
+func last() {}
+"""
+RUST = """use std::{io, fmt::{self, Display as D}};
+#[derive(Debug)]
+pub struct S<T> { a: T }
+impl<T: Clone> fmt::Display for S<T> where T: D {
+    fn fmt(&self) -> R { let c = '{'; "fn no() {" ; x }
+    pub async fn go<'a>(x: &'a str) {}
+}
+trait Tr { fn need(&self); }
+mod inner { pub unsafe extern "C" fn f() {} }
+macro_rules! mac { () => { fn hid() {} } }
+const fn cf() -> i32 { 3 }
+"""
+
+
+def test_outlines():
+    found = parse.parse_file("m.go", GO, "go")
+    assert [(r["qualname"], r["kind"], r["start_line"], r["end_line"]) for r in found if r["record"] == "symbol"] == [
+        ("T", "struct", 7, 9), ("A", "interface", 11, 11), ("G", "struct", 12, 12), ("Run", "function", 14, 16), ("T.M", "method", 17, 17), ("ext", "function", 18, 18), ("last", "function", 19, 19)
+    ]
+    assert [r["target"] for r in found if r["record"] == "edge"] == ["fmt", "ex.org/y"]
+    found = parse.parse_file("m.rs", RUST, "rust")
+    assert [(r["qualname"], r["kind"]) for r in found if r["record"] == "symbol"] == [("S", "struct"), ("S.fmt", "method"), ("S.go", "method"), ("Tr", "trait"), ("Tr.need", "method"), ("inner", "module"), ("f", "function"), ("mac", "macro"), ("cf", "function")]
+    assert [r["target"] for r in found if r["record"] == "edge"] == ["std::io", "std::fmt", "std::fmt::Display"]
+    for odd in ("func (", "type (", "import", "func", "impl", "use {", "{{{", "fn", "'", '"', "/*"):
+        parse.parse_file("x", odd, "go"), parse.parse_file("x", odd, "rust")
+
+
+MODULE = '''"""doc"""
+import os.path, json as j
+from .core import Planner as P, plan
+from .other import *
+from .second import plan
+LIMIT: "Optional[pkg.N]" = 3
+type Pair[T] = tuple[T, T]
+__all__ = ["P", "plan", "LIMIT", "run", "gone"]
+
+def run(a: "list[pkg.A] | None", *b: Literal["x"]) -> dict[str, pkg.B]:
+    global LIMIT
+    sys.modules["x"] = None
+'''
+
+
+def test_bindings_and_exports(spark):
+    files = spark.createDataFrame([("m/__init__.py", MODULE, "python"), ("n.py", "import a\n_x = 1\ny = a.b\n", "python"), ("bad.py", "def (", "python")], "path string, text string, language string")
+    parsed = parse.parse_all(files)
+    assert {(r["name"], r["kind"]) for r in parse.parse_symbols(parsed).where("path LIKE 'm/%'").collect()} == {("LIMIT", "binding"), ("Pair", "type"), ("__all__", "binding"), ("run", "function")}
+    typed = {(r["source"], r["kind"], r["target"]) for r in parse.parse_edges(parsed).where("kind LIKE '%type'").collect()}
+    assert typed == {(None, "attribute-type", "Optional"), (None, "attribute-type", "pkg.N"), ("run", "parameter-type", "list"), ("run", "parameter-type", "pkg.A"), ("run", "parameter-type", "Literal"), ("run", "return-type", "dict"), ("run", "return-type", "str"), ("run", "return-type", "pkg.B")}
+    bound = {(r["name"], r["kind"], r["target"]) for r in parse.parse_bindings(parsed).where("path LIKE 'm/%' AND kind <> 'all'").collect()}
+    assert {("os", "module", "os"), ("j", "module", "json"), ("P", "reexport", ".core.Planner"), ("*", "star", ".other"), ("run", "declaration", None)} <= bound
+    out = {(r["path"], r["name"]): (r["kind"], r["target"]) for r in parse.exports(parse.parse_bindings(parsed)).collect()}
+    assert out == {("m/__init__.py", "P"): ("reexport", ".core.Planner"), ("m/__init__.py", "plan"): ("ambiguous", None), ("m/__init__.py", "LIMIT"): ("value", None), ("m/__init__.py", "run"): ("declaration", None), ("m/__init__.py", "gone"): ("unknown", None), ("n.py", "a"): ("module", "a"), ("n.py", "y"): ("value", "a.b")}
+    assert {(r["path"], r["kind"]) for r in parse.parse_findings(parsed).collect()} == {("bad.py", "parse-error"), ("m/__init__.py", "global-write"), ("m/__init__.py", "module-identity")}
+
+
 def test_captures(spark, tmp_path):
     lock = {"lockfileVersion": 3, "packages": {"": {"name": "root", "version": "1.0.0", "dependencies": {"a": "^1", "b": "^2"}}, "node_modules/a": {"version": "1.1.0", "dependencies": {"b": "^1"}}, "node_modules/a/node_modules/b": {"version": "1.5.0"}, "node_modules/b": {"version": "2.0.0"}}}
     (tmp_path / "package-lock.json").write_text(json.dumps(lock))
