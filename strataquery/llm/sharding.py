@@ -2,7 +2,7 @@
 
 Rows with equal texts form a group that stays in one shard. Groups, sorted by size (all their rows' bytes), go to the
 least-loaded shard through a heap. Groups of equal size are alike to the heap, so the driver needs only how many there
-are of each size: it places such a run at once, with the very loads that one group at a time would give (`place_run`),
+are of each size: it places such a run at once, with the very loads that one group at a time would give (`schedule`),
 and tells each shard's share of the run; a group's shard follows from its rank among those of its size.
 
 The driver holds the distinct sizes, at most the square root of twice the bytes of the input (their sum is at most
@@ -16,59 +16,17 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquery.llm.common import FEW, HOT, dense_rank_in, skewed_join, stored
+from strataquery.operators.schedule import lpt_plan
 
 #: Rows of the plan that are broadcast: about 100 bytes each.
 FEW_SIZES = 500_000
 
 
-def place_run(loads: list[int], size: int, n: int) -> list[int]:
-    """How many of n groups of one size each shard gets when each goes to the least-loaded one, ties by shard number.
-
-    The heap hands out the n smallest of the pairs (load + j x size, shard), j = 0, 1, ..; a binary search finds the
-    load up to which all are handed out."""
-    if n <= 4 * len(loads):
-        heap, counts = [(v, s) for s, v in enumerate(loads)], [0] * len(loads)
-        heapq.heapify(heap)
-        for _ in range(n):
-            v, s = heap[0]
-            counts[s] += 1
-            heapq.heapreplace(heap, (v + size, s))
-        return counts
-    taken = lambda top: [max(0, (top - v) // size + 1) if top >= v else 0 for v in loads]
-    low, high = min(loads) - 1, max(loads) + size * n
-    while high - low > 1:  # the largest load up to which at most n are taken
-        mid = (low + high) // 2
-        low, high = (mid, high) if sum(taken(mid)) <= n else (low, mid)
-    counts = taken(low)
-    rest = n - sum(counts)
-    for s, v in enumerate(loads):
-        if rest and v <= high and (high - v) % size == 0:
-            counts[s] += 1
-            rest -= 1
-    return counts
-
-
-def lpt_plan(runs: list[tuple[int, int]], shards: int) -> list[list[int]]:
-    """For runs (size, groups) in descending order of size: the rank below which each shard's share of the run ends."""
-    loads, out = [0] * shards, []
-    for size, n in runs:
-        counts = place_run(loads, size, n)
-        ends, at = [], 0
-        for s, c in enumerate(counts):
-            loads[s] += c * size
-            at += c
-            ends.append(at)
-        out.append(ends)
-    return out
-
-
 def rank_in_size(groups: DataFrame, runs: DataFrame, total: int) -> DataFrame:
     """Adds `rank` (from 0, by digest) among the groups of one size. A size that very many groups share is cut by hash
     into parts ranked apart; there are fewer than HOT such sizes, and parts follow from counts."""

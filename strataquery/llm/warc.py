@@ -9,7 +9,9 @@ others are revisits of it.
 
 Edge cases: null html is an empty payload; rows that share the largest page_id of equal payloads are all responses; a
 null page_id sorts below every number (and stays null when read back), and where all are null each is a response; line
-breaks in a url are percent-encoded, a null url gives no target header; an empty table gives empty archives and no rows.
+breaks in a url are percent-encoded, a null url gives no target header; repeated rows are records of their own; a very
+long payload is held once by the task that writes or reads it; an empty table gives empty archives and no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.llm.common import delete, fresh_path, stored
+from strataquery.llm.common import delete, fresh_path, skewed_join, stored
 
 CHUNK = 1 << 20
 #: Revisits that are broadcast; where a count shows more, pages and revisits are shuffled by page.
@@ -204,18 +206,21 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("n"))
     seen = stored(keyed.where(F.col("n") >= least).distinct(), "warc-digests")
-    lead = seen.groupBy("sha1", "n").agg(F.max("page_id").alias("lead"))
-    roles = seen.join(lead, ["sha1", "n"]).where("lead IS NOT NULL AND NOT page_id <=> lead").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "lead")
+    lead = stored(seen.groupBy("sha1", "n").agg(F.max("page_id").alias("lead"), F.count(F.lit(1)).alias("held")), "warc-leads")
+    roles = skewed_join(seen, lead, ["sha1", "n"], "held", seen.count()).where("lead IS NOT NULL AND NOT page_id <=> lead").select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "lead")
     roles = stored(roles, "warc-revisits")
     roles = F.broadcast(roles) if roles.count() <= COPIED else roles
     own = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha1"))
     return own.join(roles, own.page_id.eqNullSafe(roles._id) & (own.sha1 == roles._sha1), "left").select("page_id", "url", "html", "sha1", F.col("lead").alias("revisit_of"))
 
 
-def archive(pages: DataFrame, least: int = 0) -> tuple[DataFrame, str]:
-    """Writes normalised archives of pages (page_id, url, html); returns their paths and the folder."""
+def archive(pages: DataFrame, least: int = 0, target: str | None = None) -> tuple[DataFrame, str]:
+    """Writes normalised archives of pages (page_id, url, html); returns their paths and the folder.
+
+    The folder is `target`, which the caller owns and keeps; without one, a new folder in the shared one, which is deleted
+    when the driver's Python ends."""
     spark = pages.sparkSession
-    raw, out = fresh_path(spark, "warc-raw"), fresh_path(spark, "warc")
+    raw, out = fresh_path(spark, "warc-raw"), target or fresh_path(spark, "warc")
     written = stored(write_monolithic(with_revisits(pages, least).sortWithinPartitions("page_id"), raw), "warc-paths")
     done = stored(normalise(written, raw, out), "warc-paths")
     delete(spark, raw)

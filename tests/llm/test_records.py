@@ -44,7 +44,7 @@ def test_chat_cases(spark):
     assert one["formatted"] == "<|im_start|>\né\U0001f600<|im_end|>\n" and one["loss_starts"] == []
 
 
-def test_warc_cases(spark):
+def test_warc_cases(spark, tmp_path):
     html = ["<p>a</p>", None, "", "<p>a</p>", "<p>a</p>", "é" * 1000, "\r\n\r\nWARC/1.1\r\n", "<p>a</p>"]
     rows = [(i, f"http://x/{i} \n" if i != 2 else None, h, "payload") for i, h in enumerate(html)] + [(7, "http://again", "<p>a</p>", "p"), (None, "u", "<p>a</p>", "p"), (None, "u", "lonely", "p")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string").repartition(3)
@@ -66,6 +66,8 @@ def test_warc_cases(spark):
             assert z.decompress(rest).startswith(b"WARC/1.1\r\n")
             n, rest = n + 1, z.unused_data
         assert n == len(fs.open_input_file(p + ".idx").read().splitlines()) and (not data or gzip.decompress(data))
+    own = "file://" + str(tmp_path / "kept")
+    assert warc.archive(df, target=own)[1] == own and len(list((tmp_path / "kept").glob("*.warc.gz.idx"))) == len(list((tmp_path / "kept").glob("*.warc.gz"))) > 0
     empty, at = warc.archive(df.limit(0))
     assert warc.read_archives(empty, at).count() == 0
     assert {r["record_type"] for r in warc.read_archives(*warc.archive(df, least=9)).where("payload_bytes = 8").collect()} == {"response"}
