@@ -42,6 +42,16 @@ class Engine:
         files, symbols, edges = (store.table(n, at) for n in ("files", "symbols", "edges"))
         return cls(files, symbols, edges.drop("target_short"))
 
+    def refreshed(self, root: str, paths: list[str], rules: list | None = None) -> tuple[Engine, DataFrame]:
+        """The engine after some paths have changed, and what changed: only these are read and parsed again; those that
+        are gone or no longer admitted lose their rows."""
+        new = graph.cut(repository.scan(self.spark, root, rules, only=paths).where("evidence_visibility <> 'deny'"))
+        parsed = graph.cut(parse.parse_all(new))
+        changed = self.spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
+        swap = lambda old, rows: delta.delete_paths(old, changed).unionByName(rows.select(old.columns))
+        after = Engine(swap(self.files, new), swap(self.symbols, parse.parse_symbols(parsed)), swap(self.edges.drop("target_short"), parse.parse_edges(parsed)), swap(self.parsed, parsed))
+        return after, after.delta(self).join(changed, "path", "left_semi").where("status <> 'unchanged'")
+
     def stats(self) -> DataFrame:
         one = lambda name, df: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
         return one("files", self.files).union(one("symbols", self.symbols)).union(one("edges", self.edges))

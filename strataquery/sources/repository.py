@@ -45,9 +45,20 @@ def walk(root: str) -> Iterator[tuple[str, int, float]]:
                 yield f.path[len(base.rstrip("/")) + 1 :], f.size, f.mtime.timestamp() if f.mtime else 0.0
 
 
-def scan(spark: SparkSession, root: str, rules: list | None = None, partitions: int | None = None) -> DataFrame:
-    """Admitted files below a folder: path, language, module, visibility, size, digest, tokens, text."""
-    listed = spark.createDataFrame(list(walk(root)), "path string, size long, modificationTime double")
+def named(root: str, paths: list[str]) -> Iterator[tuple[str, int, float]]:
+    """What `walk` gives, for some paths only: those that are files now."""
+    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+    base = base.rstrip("/")
+    inside = [p for p in sorted(set(paths)) if not set(p.split("/")[:-1]) & set(PRUNED) and ".." not in p.split("/")]
+    for f in fs.get_file_info([f"{base}/{p}" for p in inside]):
+        if f.type == pafs.FileType.File:
+            yield f.path[len(base) + 1 :], f.size, f.mtime.timestamp() if f.mtime else 0.0
+
+
+def scan(spark: SparkSession, root: str, rules: list | None = None, partitions: int | None = None, only: list[str] | None = None) -> DataFrame:
+    """Admitted files below a folder (or only some paths of it): path, language, module, visibility, size, digest, tokens,
+    text. The driver lists names and sizes; contents are read by the tasks."""
+    listed = spark.createDataFrame(list(walk(root) if only is None else named(root, only)), "path string, size long, modificationTime double")
     index, visible = admission(F.col("path"), rules or [])
     rows = listed.withColumn("evidence_visibility", visible).where(index)
 

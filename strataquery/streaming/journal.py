@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 JOURNAL = "source string, state string, generation long, pending long"
 
 
+def watched(spark: SparkSession, folder: str) -> DataFrame:
+    """Change events (source, seq, path) as a watcher drops them into a folder, one JSON object a line: a stream for
+    `journal`. An event without a path says that the source has been reconciled; a gap in the numbers, as after an
+    overflow of the watcher's queue, makes it UNKNOWN."""
+    return spark.readStream.schema("source string, seq long, path string").json(folder)
+
+
 def journal(events: DataFrame) -> DataFrame:
     """Per source, from numbered events (source, seq, path): CLEAN, DIRTY or, after any gap in the numbers, UNKNOWN
     (which asks for a full rescan). The generation grows with every event; a path of '' reconciles.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strataquery import operations
 from strataquery.engine import Engine
-from strataquery.operators import context
+from strataquery.operators import context, graph
 
 FILES = {
     "src/core/base.py": "class Planner:\n    def plan(self, fleet):\n        return fleet\n",
@@ -102,3 +102,16 @@ def test_owner_behind_reexports(spark, tmp_path):
     e = Engine.build(spark, str(tmp_path))
     assert tuple(e.import_owner("pkg/__init__.py", "Thing").first())[2:] == ("resolved-unique", "pkg/core.py", "Real")
     assert e.import_owner("pkg/core.py", "Nothing").first()["status"] == "unresolved"
+
+
+def test_refresh_of_changed_paths(spark, tmp_path):
+    for name, text in {"a.py": "def f(): ...\n", "b.py": "def g(): ...\n", "c.py": "X = 1\n"}.items():
+        (tmp_path / name).write_text(text)
+    before = Engine.build(spark, str(tmp_path))
+    before.files = graph.cut(before.files)
+    (tmp_path / "a.py").write_text("import b\ndef h(): b.g()\n")
+    (tmp_path / "b.py").unlink()
+    (tmp_path / "d.py").write_text("def d(): ...\n")
+    after, changes = before.refreshed(str(tmp_path), ["a.py", "b.py", "d.py", "../x"])
+    assert {(r["path"], r["status"]) for r in changes.collect()} == {("a.py", "changed"), ("b.py", "removed"), ("d.py", "added")}
+    assert {r["qualname"] for r in after.symbols.collect()} == {"h", "d", "X"} and {r["target"] for r in after.edges.where("kind = 'call'").collect()} == {"b.g"}

@@ -150,6 +150,11 @@ def test_streams(spark, tmp_path):
     q = J.journal(stream).writeStream.outputMode("update").format("memory").queryName("journal").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("journal").collect()} == want
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "1.json").write_text("\n".join(json.dumps(dict(zip(("source", "seq", "path"), r, strict=True))) for r in rows))
+    q = J.journal(J.watched(spark, str(tmp_path / "w"))).writeStream.outputMode("update").format("memory").queryName("watched").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("watched").collect()} == want
     changes = [(0, "a", 1), (0, "a", 2), (0, "b", 1), (1, "a", 3), (1, "b", None), (2, "c", 9)]
     schema = "seq long, path string, value long"
     for n, part in enumerate(([c for c in changes if c[0] == 0], [c for c in changes if c[0] > 0])):
