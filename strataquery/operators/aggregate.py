@@ -27,14 +27,23 @@ def conjunctive_lines(postings: DataFrame, terms: list[str]) -> DataFrame:
     return hits.where(F.col("n") == len(set(terms))).select("path", "line")
 
 
-def interval_union(spans: DataFrame, key: str = "path") -> DataFrame:
-    """Total length of the union of closed integer intervals per key; adjacent intervals join."""
-    w = Window.partitionBy(key).orderBy("start_line", "end_line")
-    before = F.max("end_line").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("_new", (before.isNull() | (F.col("start_line") > before + 1)).cast("int"))
+def interval_union(spans: DataFrame, key: str = "path", width: int = 4096) -> DataFrame:
+    """Total length of the union of closed integer intervals per key, and its islands; adjacent intervals join.
+
+    Intervals are cut at the borders of line buckets of `width` and merged inside each, so a key with very many intervals
+    is spread; lengths add up over buckets, and islands that touch across a border are one."""
+    low, high = F.col("_b") * width, F.col("_b") * width + width - 1
+    cut = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))))
+    parts = cut.select(key, "_b", F.greatest("start_line", low).alias("_s"), F.least("end_line", high).alias("_e"))
+    w = Window.partitionBy(key, "_b").orderBy("_s", "_e")
+    before = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = parts.withColumn("_new", (before.isNull() | (F.col("_s") > before + 1)).cast("int"))
     islands = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy(key, "_island").agg((F.max("end_line") - F.min("start_line") + 1).alias("_len"))
-    return merged.groupBy(key).agg(F.sum("_len").cast("long").alias("covered"), F.count(F.lit(1)).alias("islands"))
+    merged = islands.groupBy(key, "_b", "_island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    bucket = merged.groupBy(key, "_b").agg(F.sum(F.col("_e") - F.col("_s") + 1).alias("_len"), F.count(F.lit(1)).alias("_n"), (F.min("_s") == F.first(low)).alias("_left"), (F.max("_e") == F.first(high)).alias("_right"))
+    row = Window.partitionBy(key).orderBy("_b")
+    joined = F.col("_left") & (F.lag("_b").over(row) == F.col("_b") - 1) & F.lag("_right").over(row)
+    return bucket.withColumn("_joined", F.coalesce(joined.cast("int"), F.lit(0))).groupBy(key).agg(F.sum("_len").cast("long").alias("covered"), F.sum(F.col("_n") - F.col("_joined")).cast("long").alias("islands"))
 
 
 def fuse_ranks(ranked: DataFrame, weights: dict[str, float], k: float = 60.0) -> DataFrame:

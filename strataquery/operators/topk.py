@@ -88,10 +88,17 @@ def fill_budget(df: DataFrame, key: str, order: list[str], cost: str, budget: in
         left = graph.cut(rest.select(*df.columns, (F.col("_left") - F.col("_spent")).alias("_left")))
 
 
-def prefix_budget(df: DataFrame, keys: list[str], order: list, cost: str, budget: int) -> DataFrame:
-    """Rows while the running cost stays within the budget."""
+def prefix_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
+    """Rows while the running cost (whole numbers from 0) stays within the budget, with the cost `used` up to each.
+
+    The first budget + 1 rows that cost something tell where each group ends, and Spark cuts groups to so many before the
+    shuffle; only rows before that place are added up."""
+    at = F.struct(*order)
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
+    ahead = top_per_group(df.where(F.col(cost) > 0), keys, order, budget + 1, "_rn").withColumn("used", F.sum(cost).over(w))
+    stop = ahead.where(F.col("used") > budget).groupBy(*keys).agg(F.min(at).alias("_stop"))
+    kept = df.join(stop, keys, "left").where(F.col("_stop").isNull() | (at < F.col("_stop"))).drop("_stop")
+    return kept.withColumn("used", F.sum(cost).over(w))
 
 
 def greedy_cover(df: DataFrame, group: str, item: str, terms: str, n: int) -> DataFrame:

@@ -169,5 +169,5 @@ def unique_occurrence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {C.EDGES_SQL}, x AS (SELECT view, path, min(r) AS first FROM (SELECT kind AS view, path, row_number() OVER (PARTITION BY kind ORDER BY line, path, source, target) AS r FROM edges) GROUP BY view, path), y AS (SELECT view, path, row_number() OVER (PARTITION BY view ORDER BY first, path) AS path_rank FROM x) SELECT view, path, path_rank FROM y WHERE path_rank <= 50""")
 def first_seen_paths(spark: SparkSession, sf: str) -> DataFrame:
-    e = C.edges(spark, sf).select(F.col("kind").alias("view"), "path", F.row_number().over(Window.partitionBy("kind").orderBy("line", "path", "source", "target")).alias("r"))
+    e = C.edges(spark, sf).select(F.col("kind").alias("view"), "path", F.struct("line", "path", "source", "target").alias("r"))
     return topk.first_seen_rank(e, ["view"], "path", "r").where("path_rank <= 50")

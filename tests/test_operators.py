@@ -190,3 +190,30 @@ def test_merkle(spark):
     assert set(t) == {"", "a", "a/b"} and t[""]["size"] == 6 and t[""]["children"] == 2
     again = {r["path"]: r["digest"] for r in aggregate.merkle_tree(df.orderBy("size"), "path", "digest", "size").collect()}
     assert {k: r["digest"] for k, r in t.items()} == again
+
+
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 40), st.integers(0, 15)), min_size=1, max_size=25), st.integers(1, 9))
+@settings(max_examples=12, deadline=None)
+def test_interval_union_over_buckets(spark, spans, width):
+    df = spark.createDataFrame([(str(k), s, s + n) for k, s, n in spans], "path string, start_line int, end_line int")
+    want = {}
+    for k in {str(k) for k, _, _ in spans}:
+        held = sorted({x for j, s, n in spans if str(j) == k for x in range(s, s + n + 1)})
+        want[k] = (len(held), sum(x - 1 not in held for x in held))
+    assert {r["path"]: (r["covered"], r["islands"]) for r in aggregate.interval_union(df, width=width).collect()} == want
+
+
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 6)), min_size=1, max_size=25), st.integers(0, 12))
+@settings(max_examples=12, deadline=None)
+def test_prefix_budget(spark, rows, budget):
+    df = spark.createDataFrame([(k, n, c) for n, (k, c) in enumerate(rows)], "k int, n int, c int")
+    want = set()
+    for k in (0, 1):
+        used = 0
+        for n, (j, c) in enumerate(rows):
+            if j == k:
+                used += c
+                if used > budget:
+                    break
+                want.add((n, used))
+    assert {(r["n"], r["used"]) for r in topk.prefix_budget(df, ["k"], ["n"], "c", budget).collect()} == want
