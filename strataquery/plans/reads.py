@@ -175,3 +175,50 @@ def instruction_scopes(spark: SparkSession, sf: str) -> DataFrame:
     roots = f.select("surface").distinct()
     i = roots.select(F.concat("surface", F.lit("/AGENTS.md")).alias("path")).union(roots.select(F.concat("surface", F.lit("/en/AGENTS.override.md")))).union(spark.range(1).select(F.lit("AGENTS.md")))
     return context.instruction_scope(f.select("path"), i)
+
+
+@query(f"""WITH {C.FILES_SQL}, t AS (SELECT path, regexp_extract_all(lower(text), '[a-z0-9_]+') AS b, regexp_extract_all(lower(path), '[a-z0-9_]+') AS p FROM files), x AS (SELECT path, len(b) AS lb, len(p) AS lp, list_transform(['the', 'en', 'license'], lambda w: len(list_filter(b, lambda y: y = w))) AS tb, list_transform(['the', 'en', 'license'], lambda w: len(list_filter(p, lambda y: y = w))) AS tp FROM t WHERE len(b) > 0 OR len(p) > 0),
+s AS (SELECT count(*) AS n, avg(lb) AS ab, avg(lp) AS ap, [count(*) FILTER (WHERE tb[1] > 0 OR tp[1] > 0), count(*) FILTER (WHERE tb[2] > 0 OR tp[2] > 0), count(*) FILTER (WHERE tb[3] > 0 OR tp[3] > 0)] AS df FROM x),
+k AS (SELECT path, n, df, i, 1.0 * tb[i] / (0.25 + 0.75 * lb / ab) + 3.0 * tp[i] / (0.25 + 0.75 * lp / ap) AS tf FROM x, s, (SELECT unnest([1, 2, 3]) AS i))
+SELECT path, round(sum(ln(1 + (n - df[i] + 0.5) / (df[i] + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS bm25 FROM k GROUP BY path HAVING sum(tf) > 0""")
+def fielded_bm25(spark: SparkSession, sf: str) -> DataFrame:
+    from strataquery.operators import rank
+
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0))
+    docs = C.files(spark, sf).select("path", tokens("text").alias("body"), tokens("path").alias("place"))
+    return rank.fielded_bm25(docs, ["the", "en", "license"], {"body": 1.0, "place": 3.0})
+
+
+@query(f"WITH {C.POSTINGS_SQL}, m AS (SELECT path, count(DISTINCT token) AS n FROM postings WHERE token IN ('the', 'license', 'copyright') GROUP BY path) SELECT path, round(least(72, 6.0 * n + 30.0 * n / 3), 6) AS boost FROM m")
+def lexical_boost(spark: SparkSession, sf: str) -> DataFrame:
+    from strataquery.operators import rank
+
+    words = ["the", "license", "copyright"]
+    m = C.postings_of(C.files(spark, sf), words).groupBy("path").agg(F.count_distinct("token").alias("n"))
+    return m.select("path", F.round(rank.file_boost(F.col("n"), 3), 6).alias("boost"))
+
+
+@query("SELECT event_id, CAST(least(60, greatest(16, 42 - 7 * (event_id % 7)) + CASE WHEN event_id % 3 = 0 THEN 12 ELSE 0 END) AS INTEGER) AS boost FROM events")
+def domain_boosts(spark: SparkSession, sf: str) -> DataFrame:
+    from strataquery.operators import rank
+
+    i = F.col("event_id")
+    return table(spark, sf, "events").select("event_id", rank.domain_boost(i % 7, i % 3 == 0).cast("int").alias("boost"))
+
+
+@query(f"WITH RECURSIVE {C.DEPS_SQL}, e AS (SELECT DISTINCT source, target FROM deps), w AS (SELECT node, 0 AS depth FROM nodes WHERE node IN (1, 7, 50) UNION SELECT e.source, w.depth + 1 FROM w JOIN e ON e.target = w.node WHERE w.depth < 6) SELECT 'tests/test_m' || node || '.py' AS path, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE depth > 0 AND node % 4 = 0 AND node NOT IN (1, 7, 50) GROUP BY node")
+def affected_tests(spark: SparkSession, sf: str) -> DataFrame:
+    from strataquery.operators import graph
+
+    found = graph.closure(C.dependency_edges(spark, sf), spark.createDataFrame([(1,), (7,), (50,)], "node long"), 6, reverse=True)
+    path = F.when(F.col("node") % 4 == 0, F.concat(_str("tests/test_m", "node"), F.lit(".py"))).otherwise(F.concat(_str("src/m", "node"), F.lit(".py")))
+    return found.select(path.alias("path"), "depth").where(T.is_test_path(F.col("path")))
+
+
+@query(f"WITH {C.LINES_SQL} SELECT path, line, CAST(instr(lower(content), 'license') AS INTEGER) AS at_column, CAST((length(content) - length(replace(lower(content), 'license', ''))) // 7 AS INTEGER) AS n FROM lines WHERE contains(lower(content), 'license')")
+def literal_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a literal stands: line, first column, and how often in the line. Files without it aren't cut into lines."""
+    files = C.files(spark, sf).where(F.contains(F.lower("text"), F.lit("license")))
+    low = F.lower("content")
+    hit = C.lines(files).where(F.contains(low, F.lit("license")))
+    return hit.select("path", "line", F.instr(low, "license").alias("at_column"), (F.size(F.split(low, "license", -1)) - 1).alias("n"))
