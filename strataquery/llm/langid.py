@@ -5,11 +5,10 @@ profile is compared with each language's by out-of-place distance: the sum, over
 differences in rank, or of the profile's length for n-grams that the language's profile lacks. The nearest language is
 predicted; the score is 1 less the distance's share of the largest possible one.
 
-Profiles are learned from labelled rows: a sample of about `sample` rows for each language (a documented bound; all rows
-where there are fewer), drawn by a hash of the row's id and text, of the `LANGUAGES` most frequent labels (a bound too);
-n-gram counts are summed by a shuffle and only the profiles (at most `size` rows for each language) reach the driver.
-Prediction reads the text alone and the whole of it, in blocks. `acceptance` tells the score from which a text may pass
-for one of the languages: a fixed share of what nearly all labelled texts reach.
+Profiles are learned from all labelled rows of all labels: n-grams are counted where the texts lie, the counts are summed
+by a shuffle and only the profiles (at most `size` n-grams for each language) reach the driver. Prediction reads the text
+alone and the whole of it, in blocks. `acceptance` tells the score from which a text may pass for one of the languages: a
+fixed share of what nearly all labelled texts reach, by all of their scores.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; a text none of whose n-grams stands in any
 profile scores 0 and gets the first language in alphabetical order, as do ties; with nothing to learn from, all are `und`;
@@ -19,6 +18,7 @@ columns named lang_pred and score are replaced, other columns stay.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SIZE, SAMPLE, BLOCK, LANGUAGES = 400, 5000, 1 << 20, 1000
+from strataquery.llm.common import stored
+
+SIZE, BLOCK = 400, 1 << 20
+#: The labelled rows of a language that profiles are learned from: all.
+SAMPLE = math.inf
+#: n-grams with counts that a task holds before it merges and sends them; cells of a histogram of scores.
+HELD, CELLS = 1 << 20, 4096
 #: The share of labelled texts that may score less than the level, and the share of that level that is asked for.
 BELOW, ASKED = 0.01, 0.5
 
@@ -72,52 +78,61 @@ def ranked(kinds: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return kinds[np.argsort(-counts, kind="stable")[:size]]
 
 
-def learn_profiles(docs: DataFrame, size: int = SIZE, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Profiles of the languages of labelled rows (doc_id, text, lang)."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not totals:
-        return {}
-    share = F.lit(0.0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1_000_000)) < share * 1_000_000)
+def learn_profiles(docs: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
+    """Profiles of the languages of labelled rows (text, lang)."""
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own: dict[str, list] = {}
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own.setdefault(lang, []).append(ngram_counts(text))
+        own: dict[str, list] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
             for lang, found in own.items():
                 kinds, where = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
                 counts = np.bincount(where, np.concatenate([c for _, c in found]), len(kinds)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kinds), pa.string()), pa.array(kinds), pa.array(counts)], ["lang", "gram", "n"])
 
-    summed = drawn.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        for b in batches:
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = ngram_counts(text)
+                own.setdefault(lang, []).append(found)
+                held += len(found[0])
+                if held > HELD:
+                    yield from flush()
+                    own, held = {}, 0
+        yield from flush()
+
+    summed = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = summed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
-    out: dict[str, list] = {}
-    for r in sorted(best.collect(), key=lambda r: (r["lang"], r["rank"])):
-        out.setdefault(r["lang"], []).append(r["gram"])
-    return {k: np.array(v, np.int64) for k, v in sorted(out.items())}
+    told = best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "gram")))["gram"].alias("grams")).toArrow()
+    return {k: v.values.to_numpy() for k, v in sorted(zip(told["lang"].to_pylist(), told["grams"], strict=True))}
 
 
 class Classifier:
+    """Profiles by n-gram: that at `grams[i]` stands in languages `lang[starts[i] : starts[i + 1]]`, at these ranks."""
+
     def __init__(self, profiles: dict[str, np.ndarray], size: int) -> None:
         self.langs, self.size = sorted(profiles), size
-        self.grams = np.unique(np.concatenate([*profiles.values(), np.zeros(0, np.int64)]))
-        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int64)
-        for j, lang in enumerate(self.langs):
-            self.ranks[np.searchsorted(self.grams, profiles[lang]), j] = np.arange(len(profiles[lang]))
+        own = [profiles[k] for k in self.langs]
+        grams = np.concatenate([*own, np.zeros(0, np.int64)])
+        order = np.argsort(grams, kind="stable")
+        self.grams, starts = np.unique(grams[order], return_index=True)
+        self.starts = np.append(starts, len(grams))
+        self.lang = np.repeat(np.arange(len(own)), [len(x) for x in own])[order]
+        self.rank = np.concatenate([*map(np.arange, map(len, own)), np.zeros(0, np.int64)])[order].astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         kinds, counts = ngram_counts(text) if text else (np.zeros(0, np.int64), None)
         if not len(kinds) or not self.langs:
             return "und", 0.0
         own = ranked(kinds, counts, self.size)
-        at = np.searchsorted(self.grams, own)
-        at = np.where((at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == own), at, len(self.grams))
-        theirs = self.ranks[at]
-        apart = np.where(theirs < 0, self.size, np.minimum(np.abs(theirs - np.arange(len(own))[:, None]), self.size)).sum(0)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        rank = np.flatnonzero(self.grams[at] == own)
+        at = at[rank]
+        many = self.starts[at + 1] - self.starts[at]
+        theirs = np.repeat(self.starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        near = np.maximum(self.size - np.abs(self.rank[theirs] - np.repeat(rank, many)), 0)
+        apart = self.size * len(own) - np.bincount(self.lang[theirs], near, len(self.langs))
         best = int(np.argmin(apart))
         return self.langs[best], 1.0 - float(apart[best]) / (self.size * len(own))
 
@@ -136,15 +151,30 @@ def predict_languages(docs: DataFrame, profiles: dict[str, np.ndarray], size: in
     return kept.mapInArrow(run, schema)
 
 
-def acceptance(docs: DataFrame, profiles: dict[str, np.ndarray], sample: int = 4 * SAMPLE) -> float:
-    """`ASKED` of the score that all but `BELOW` of labelled rows (text, lang) reach, by about `sample` of them; 0 where
-    none are labelled. Texts of no learned language lie far below: random letters, codes and other scripts reach about
-    0.1 to 0.3, sentences of a language 0.5 or more."""
+def least_reached(scores: DataFrame, share: float) -> float | None:
+    """The exact quantile of a stored column `score` without nulls: the least score that at least `share` of the rows don't
+    exceed. A histogram between the least and the largest score left names the cell that holds it, until that cell is one
+    score; the driver gets at most `CELLS` rows each time, whatever the input."""
+    n, low, high = scores.agg(F.count(F.lit(1)), F.min("score"), F.max("score")).first()
+    left = max(1, math.ceil(share * n))
+    while n and low < high:
+        part = scores.where(F.col("score").between(low, high))
+        cell = F.least(F.floor((F.col("score") - low) / (high - low) * CELLS), F.lit(CELLS - 1)).alias("cell")
+        for r in sorted(part.groupBy(cell).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()):
+            if left <= r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            left -= r["n"]
+    return low
+
+
+def acceptance(docs: DataFrame, profiles: dict[str, np.ndarray]) -> float:
+    """`ASKED` of the score that all but `BELOW` of labelled rows (text, lang) reach; 0 where none are labelled. Texts of
+    no learned language lie far below: random letters, codes and other scripts reach about 0.1 to 0.3, sentences of a
+    language 0.5 or more."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text")
-    n = known.count()
-    drawn = known.where(F.pmod(F.xxhash64("text", F.lit(13)), F.lit(1_000_000)) < min(1.0, sample / max(1, n)) * 1_000_000)
-    scores = predict_languages(drawn, profiles).where("lang_pred <> 'und'")
-    level = scores.agg(F.percentile_approx("score", F.lit(BELOW), F.lit(10_000))).first()[0]
+    scores = predict_languages(known, profiles).where("lang_pred <> 'und'").select("score")
+    level = least_reached(stored(scores, "langid-scores"), BELOW)
     return ASKED * level if level is not None else 0.0
 
 

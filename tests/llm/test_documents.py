@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import time
 import zlib
@@ -89,6 +90,31 @@ def test_language_cases(spark, docs):
     assert langid.learn_profiles(cases.empty(spark)) == {} and langid.predict_languages(cases.empty(spark), profiles).count() == 0
 
 
+def test_profiles_and_level_are_of_all_rows(spark, monkeypatch):
+    """No row, label or score is left out: letters and labels of one row count, and the level is an exact quantile."""
+    rows = [("the weather" if i % 500 else "the weather " + chr(0x3B1 + i // 500), "en") for i in range(10_000)]
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(rows + [(f"word {chr(0x4E00 + i)}", f"l{i}") for i in range(1001)])], "doc_id long, text string, lang string").repartition(3)
+    for held in (langid.HELD, 50):
+        monkeypatch.setattr(langid, "HELD", held)
+        profiles = langid.learn_profiles(docs)
+        assert len(profiles) == 1002
+        code = lambda g: sum((1 if c == " " else ord(c) + 1) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+        assert profiles["en"].tolist() == [code(g) for g in brute_ranks([t for t, _ in rows], langid.SIZE)]
+        assert profiles["l7"].tolist() == [code(g) for g in brute_ranks([f"word {chr(0x4E00 + 7)}"], langid.SIZE)]
+    english = {"en": profiles["en"]}
+    texts = ["the weather "[: 3 + i % 9] + np.base_repr(i * 7919, 26).translate(str.maketrans("0123456789", "qrstuvwxyz")) for i in range(25_000)]
+    model = langid.Classifier(english, langid.SIZE)
+    scores = sorted(model.predict(t)[1] for t in texts)
+    monkeypatch.setattr(langid, "ASKED", 1.0)
+    many = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(4)
+    for cells in (langid.CELLS, 3):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        assert langid.acceptance(many, english) == scores[math.ceil(langid.BELOW * len(scores)) - 1]
+    column = spark.createDataFrame([(s,) for s in scores[:101]], "score double")
+    assert [langid.least_reached(column, q) for q in (0.0, 0.5, 1.0)] == [scores[0], scores[50], scores[100]]
+    assert langid.least_reached(column.limit(0), 0.5) is None and langid.acceptance(many.limit(0), english) == 0.0
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=200, deadline=None)
 def test_ngram_counts(text):
