@@ -4,8 +4,10 @@ ranks without a global sort, and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -43,12 +45,27 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Seconds between two collections of the driver's garbage, and when the last one ended.
+RELEASE_S, _released = 5.0, [0.0]
+
+
+def release(spark: SparkSession) -> None:
+    """Frees what finished steps left: the driver's heap shrinks, and Spark's cleaner drops their shuffle files and
+    broadcasts, for it follows collections of the driver's garbage. A chain of many short steps fills the heap to its limit
+    otherwise, though little of it is in use."""
+    if time.monotonic() - _released[0] >= RELEASE_S:
+        gc.collect()  # Python's handles keep the JVM's objects
+        spark._jvm.System.gc()
+        _released[0] = time.monotonic()
+
+
 class Stored:
     """A table written once to the shared folder, so that lost executors don't cost its lineage."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark, self.path, self.schema = df.sparkSession, fresh_path(df.sparkSession, name), df.schema
         df.write.parquet(self.path)
+        release(self.spark)
 
     @property
     def df(self) -> DataFrame:

@@ -117,6 +117,19 @@ def test_rows_of_one_id_are_apart(spark, monkeypatch):
         assert (8, third) in got and sum(i == 8 for i, _ in got) in (2, 3)
 
 
+def test_stored_tables_release_the_drivers_memory(spark, monkeypatch):
+    """What finished steps left in the driver's heap goes with the next table, not when the heap is full."""
+    from strataquery.llm import common
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for every, collects in ((0.0, True), (1e9, False)):
+        monkeypatch.setattr(common, "RELEASE_S", every)
+        before = whole()
+        assert common.stored(spark.range(3), "release").count() == 3
+        assert (whole() > before) == collects
+
+
 def test_junk_is_no_language(spark):
     """Random letters, codes and other scripts are rejected, labelled texts stay, short ones too."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
