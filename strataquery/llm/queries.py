@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strataquery.llm import bpe, chat, embed, jaccard, langid, packing, pii, sharding, topk, warc
+from strataquery.llm import bestfit, bpe, chat, divergence, embed, jaccard, langid, packing, pii, sharding, topk, trie, warc
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_embed": embed.op9_embed,
     "op10_topk": topk.op10_topk,
+    "op11_divergence": divergence.op11_divergence,
+    "op12_bestfit": bestfit.op12_bestfit,
+    "op13_trie": trie.op13_trie,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op2_jaccard": jaccard.OP2_SQL, "op5_chat": chat.OP5_SQL, "op6_warc": warc.OP6_SQL, "op9_embed": embed.OP9_SQL, "op10_topk": topk.OP10_SQL}
+ORACLE = {"op2_jaccard": jaccard.OP2_SQL, "op5_chat": chat.OP5_SQL, "op6_warc": warc.OP6_SQL, "op9_embed": embed.OP9_SQL, "op10_topk": topk.OP10_SQL, "op11_divergence": divergence.OP11_SQL, "op13_trie": trie.OP13_SQL}
