@@ -199,7 +199,7 @@ def rank_in_length(rows: DataFrame, counts: dict[int, int], order: list[str]) ->
     offsets = held.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = F.row_number().over(Window.partitionBy("length", "_part").orderBy(*order)) - 1
     ranked = dealt.withColumn("_rank", inside).join(F.broadcast(offsets), ["length", "_part"])
-    return ranked.withColumn("rank", F.col("_rank") + F.col("_offset")).drop("_part", "_rank", "_offset")
+    return ranked.select(*rows.columns, (F.col("_rank") + F.col("_offset")).alias("rank"))
 
 
 def pack_pieces(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
