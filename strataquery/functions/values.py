@@ -27,21 +27,6 @@ def nonblank(value: Column) -> Column:
     return F.coalesce(F.trim(value) != "", F.lit(False))
 
 
-def json_kind(value: Column) -> Column:
-    """The kind of a JSON scalar's or container's text; null for what isn't JSON, NaN and infinities included."""
-    v = F.trim(value)
-    return (
-        F.when(v.isin("true", "false"), "boolean").when(v == "null", "null").when(v.rlike(r"^-?(0|[1-9][0-9]*)$"), "integer")
-        .when(v.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), "float").when(v.rlike(r'^".*"$'), "string").when(v.rlike(r"^\[.*\]$"), "array").when(v.rlike(r"^\{.*\}$"), "object")
-    )
-
-
-def json_equal(a: Column, b: Column) -> Column:
-    """Equal kind and equal text: 1, 1.0 and true are three values. Null where either isn't JSON."""
-    x, y = json_kind(a), json_kind(b)
-    return F.when(x.isNotNull() & y.isNotNull(), (x == y) & (F.trim(a) == F.trim(b)))
-
-
 #: Bits of the packed fields, low to high.
 PACKED = {"size": 40, "mode": 12, "flags": 8}
 

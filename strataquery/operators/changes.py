@@ -3,9 +3,13 @@ comparisons by key; what can't be compared is said, never guessed."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataquery.functions.jsons import json_changes
+
 #: The axes along which two observations of one thing may differ.
 AXES = "repository_identity repository_generation definition resolution observation adapter provenance inputs topology content qualification coverage ownership".split()
 
@@ -23,36 +27,22 @@ def change_axes(before: DataFrame, after: DataFrame, key: str, axes: list[str])
     return both.select(key, F.explode(rows).alias("x")).select(key, "x.axis", "x.state")
 
 
-def flattened(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, path, value) of the leaves of a column of flat or nested JSON objects; arrays are leaves, as a whole.
-
-    Each round opens one level of objects; the depth is that of the data."""
-    from strataquery.operators.graph import cut
-
-    rows = df.select(key, F.lit("").alias("path"), F.col(value).alias("value"))
-    leaves = None
-    while True:
-        isobj = F.col("value").rlike(r"^\s*\{")
-        done = rows.where(~F.coalesce(isobj, F.lit(False)))
-        leaves = done if leaves is None else leaves.union(done)
-        inner = rows.where(isobj).select(key, "path", F.explode_outer(F.from_json("value", "map<string,string>")).alias("_name", "_value"))
-        rows = cut(inner.select(key, F.concat("path", F.lit("/"), F.coalesce("_name", F.lit(""))).alias("path"), F.col("_value").alias("value")))
-        if rows.isEmpty():
-            return leaves
-
-
 def semantic_changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, path, op, value): what sets or deletes leaves so that the JSON before becomes the JSON after."""
-    l = flattened(before, key, value).select(key, "path", F.struct("value").alias("_l"))  # noqa: E741
-    r = flattened(after, key, value).select(key, "path", F.struct("value").alias("_r"))
-    both = l.join(r, [key, "path"], "full_outer").where(~F.col("_l").eqNullSafe(F.col("_r")))
-    return both.select(key, "path", F.when(F.col("_r").isNull(), "delete").when(F.col("_l").isNull(), "add").otherwise("replace").alias("op"), F.col("_r.value").alias("value"))
+    """(key, path, op, value): what adds, replaces or deletes parts of the JSON before so that it becomes the JSON after,
+    by JSON pointers and canonical values. A key of one side only adds or deletes the whole document, at the path ''; a
+    null key is a key. Keys should be unique on either side."""
+    l = before.select(F.col(key).alias("_key"), F.col(value).alias("_l"))  # noqa: E741
+    r = after.select(F.col(key).alias("_other"), F.col(value).alias("_r"))
+    both = l.join(r, F.col("_key").eqNullSafe(F.col("_other")), "full_outer")
+    return json_changes(both.select(F.coalesce("_key", "_other").alias(key), "_l", "_r"), key, "_l", "_r")
 
 
 def binding_delta(before: DataFrame, after: DataFrame, keys: list[str], state: str, values: list[str]) -> DataFrame:
-    """Bindings by key: added, removed, state-changed (another resolution), changed (another target) or unchanged."""
-    l = before.select(*keys, F.struct(state, *values).alias("_l"))  # noqa: E741
-    both = l.join(after.select(*keys, F.struct(state, *values).alias("_r")), keys, "full_outer")
+    """Bindings by key: added, removed, state-changed (another resolution), changed (another target) or unchanged. A null
+    in a key is a value like any other."""
+    l = before.select(F.struct(*keys).alias("_k"), F.struct(state, *values).alias("_l"))  # noqa: E741
+    r = after.select(F.struct(*keys).alias("_o"), F.struct(state, *values).alias("_r"))
+    both = l.join(r, reduce(lambda a, b: a & b, [F.col("_k")[k].eqNullSafe(F.col("_o")[k]) for k in keys]), "full_outer").select(*[F.coalesce(F.col("_k")[k], F.col("_o")[k]).alias(k) for k in keys], "_l", "_r")
     same = lambda names: F.struct(*[F.col("_l")[n] for n in names]).eqNullSafe(F.struct(*[F.col("_r")[n] for n in names]))
     status = F.when(F.col("_l").isNull(), "added").when(F.col("_r").isNull(), "removed").when(~same([state]), "state-changed").when(~same(values), "changed").otherwise("unchanged")
     return both.select(*keys, status.alias("status"))

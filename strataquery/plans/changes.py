@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataquery.functions import jsons as J
 from strataquery.functions import values as V
 from strataquery.operators import changes, dependency
 from strataquery.plans.registry import query
@@ -31,21 +32,28 @@ def change_axes(spark: SparkSession, sf: str) -> DataFrame:
     return changes.change_axes(*_sides(spark, sf), "k", ["definition", "resolution", "inputs"])
 
 
-JSONS = """a AS (SELECT event_id AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS n FROM events), b AS (SELECT k, n, k % 3 AS m FROM a),
-l AS (SELECT k, '/n' AS path, CAST(n AS VARCHAR) AS value FROM b UNION ALL SELECT k, '/in/m', CAST(m AS VARCHAR) FROM b UNION ALL SELECT k, '/in/t', '[' || m || ',2]' FROM b),
-r AS (SELECT k, '/n' AS path, CAST(n + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS value FROM b UNION ALL SELECT k, '/in/m', CAST(m AS VARCHAR) FROM b WHERE k % 4 <> 0 UNION ALL SELECT k, '/in/t', '[' || m || ',' || CASE WHEN k % 7 = 0 THEN 3 ELSE 2 END || ']' FROM b UNION ALL SELECT k, '/w', 'new' FROM b WHERE k % 11 = 0)"""
+JSONS = """e AS (SELECT event_id AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS n, event_id % 3 AS m FROM events),
+d AS (
+SELECT k, '/n' AS path, 'replace' AS op, CAST(n + 1 AS VARCHAR) AS value FROM e WHERE k % 5 = 0
+UNION ALL SELECT k, '/in/m', CASE WHEN k % 4 = 1 THEN 'replace' ELSE 'delete' END, CASE WHEN k % 4 = 1 THEN '"' || m || '"' END FROM e WHERE k % 4 < 2
+UNION ALL SELECT k, '/in/t', 'replace', '[' || m || ',2' || CASE WHEN k % 7 = 0 THEN '.0' ELSE ',null' END || ']' FROM e WHERE k % 7 < 2
+UNION ALL SELECT k, '/w', 'add', '{"x":[],"y":"{z"}' FROM e WHERE k % 11 = 0
+UNION ALL SELECT k, '/a~1b~0', 'delete', NULL FROM e WHERE k % 13 = 0 UNION ALL SELECT k, '/a', 'add', '{"b~":null}' FROM e WHERE k % 13 = 0
+UNION ALL SELECT k, '/f', 'replace', CASE k % 17 WHEN 0 THEN '1' WHEN 1 THEN '100.0' ELSE '{}' END FROM e WHERE k % 17 < 3)"""
 
 
-@query(f"WITH {JSONS} SELECT k, path, CASE WHEN r.value IS NULL THEN 'delete' WHEN l.value IS NULL THEN 'add' ELSE 'replace' END AS op, r.value AS value FROM l FULL JOIN r USING (k, path) WHERE l.value IS DISTINCT FROM r.value")
+@query(f"""WITH {JSONS} SELECT k, path, op, value FROM d WHERE k % 19 > 2 UNION ALL SELECT k, '', CASE k % 19 WHEN 0 THEN 'not-json' WHEN 1 THEN 'delete' ELSE 'add' END, CASE WHEN k % 19 = 2 THEN '[' || n || ']' END FROM e WHERE k % 19 < 3""")
 def semantic_change_set(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("event_id")
-    e = table(spark, sf, "events").select(k, F.from_json("props", "k long")["k"].cast("string").alias("n"), (k % 3).cast("string").alias("m"))
-    before = e.select(k.alias("k"), F.concat(F.lit('{"n": '), "n", F.lit(', "in": {"m": '), "m", F.lit(', "t": ['), "m", F.lit(",2]}}")).alias("value"))
-    bumped = (F.col("n").cast("long") + F.when(k % 5 == 0, 1).otherwise(0)).cast("string")
-    after = e.select(
-        k.alias("k"),
-        F.concat(F.lit('{"n": '), bumped, F.lit(', "in": {'), F.when(k % 4 != 0, F.concat(F.lit('"m": '), "m", F.lit(", "))).otherwise(""), F.lit('"t": ['), "m", F.lit(","), F.when(k % 7 == 0, "3").otherwise("2"), F.lit("]}"), F.when(k % 11 == 0, ', "w": "new"').otherwise(""), F.lit("}")).alias("value"),
-    )
+    """Documents before and after: numbers that change value or only their kind or their writing, keys in another order,
+    names with slashes, texts that look like objects, documents that come, go or aren't JSON."""
+    k = F.col("k")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("k"), F.from_json("props", "k long")["k"].alias("n"), (F.col("event_id") % 3).alias("m"))
+    before = e.where("k % 19 <> 2").select("k", F.format_string('{"n": %d, "in": {"m": %d, "t": [%d,2]}, "f": 1.0, "a/b~": null, "s": "{x"}', "n", "m", "m").alias("value"))
+    m = F.when(k % 4 == 0, "").when(k % 4 == 1, F.format_string('"m": "%d",', "m")).otherwise(F.format_string('"m":%d,', "m"))
+    t = F.concat(F.lit("["), F.col("m").cast("string"), F.when(k % 7 == 0, ",2.0]").when(k % 7 == 1, ",2,null]").otherwise(", 2 ]"))
+    f = F.when(k % 17 == 0, "1").when(k % 17 == 1, "1e2").when(k % 17 == 2, "{}").otherwise("1.00")
+    parts = [F.lit('{"s":"\\u007bx","in":{'), m, F.lit('"t":'), t, F.lit('},"f":'), f, F.when(k % 11 == 0, ',"w":{"y":"{z","x":[]}').otherwise(""), F.when(k % 13 == 0, ',"a":{"b~":null}').otherwise(',"a/b~":null'), F.lit(',"n":'), (F.col("n") + (k % 5 == 0).cast("long")).cast("string"), F.when(k % 19 == 0, ",,}").otherwise("}")]
+    after = e.where("k % 19 <> 1").select("k", F.when(k % 19 == 2, F.format_string("[%d]", "n")).otherwise(F.concat(*parts)).alias("value"))
     return changes.semantic_changes(before, after, "k", "value")
 
 
@@ -105,16 +113,18 @@ def portable_scalars(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", V.portable_integer(i - 100).alias("portable"), V.nonblank(F.when(i % 3 == 0, "  ").when(i % 3 == 1, "").otherwise(F.col("event_type"))).alias("said"))
 
 
-#: Texts of JSON values and what isn't JSON.
-TEXTS = ["1", "1.0", "true", '"1"', "NaN", "[1]", "null", "01"]
-KIND = "CASE WHEN {v} IN ('true') THEN 'b' WHEN {v} = 'null' THEN 'n' WHEN {v} = '1' THEN 'i' WHEN {v} = '1.0' THEN 'f' WHEN {v} = '\"1\"' THEN 's' WHEN {v} = '[1]' THEN 'a' END"
-
-
-@query(f"WITH t AS (SELECT event_id, ['1', '1.0', 'true', '\"1\"', 'NaN', '[1]', 'null', '01'][event_id % 8 + 1] AS a, ['1', '1.0', 'true', '\"1\"', 'NaN', '[1]', 'null', '01'][(event_id // 8) % 8 + 1] AS b FROM events) SELECT event_id, CASE WHEN {KIND.format(v='a')} IS NOT NULL AND {KIND.format(v='b')} IS NOT NULL THEN a = b END AS same FROM t")
+@query("SELECT event_id, CASE event_id % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN event_type = 'view' WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE amount = floor(amount) END AS same, CASE event_id % 8 WHEN 3 THEN 'array' WHEN 4 THEN 'string' WHEN 5 THEN NULL WHEN 7 THEN 'float' ELSE 'object' END AS kind FROM (SELECT event_id, event_type, CAST(value AS DECIMAL(12, 2)) AS amount FROM events)")
 def json_values_equal(spark: SparkSession, sf: str) -> DataFrame:
-    texts = F.array(*map(F.lit, TEXTS))
-    i = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", V.json_equal(F.element_at(texts, (i % 8 + 1).cast("int")), F.element_at(texts, (F.expr("event_id DIV 8") % 8 + 1).cast("int"))).alias("same"))
+    """Documents made of each event, against the same in another writing or with a small change: keys in another order,
+    1.50 for 1.5, an integer for a float, another order in an array, escapes, what isn't JSON."""
+    i, amount = F.col("event_id"), F.col("value").cast("decimal(12, 2)")
+    kind, whole = F.col("event_type"), F.floor(amount).cast("string")
+    pick = lambda *cases: F.element_at(F.array(*cases), (i % 8 + 1).cast("int"))
+    doc = F.concat(F.lit('{"p":'), "props", F.lit(',"t":"'), kind, F.lit('","v":'), amount.cast("string"), F.lit("}"))
+    turned = F.concat(F.lit('{ "v":'), amount.cast("string"), F.lit('0, "t" : "'), kind, F.lit('","p":'), "props", F.lit("}"))
+    left = pick(doc, doc, F.lit('{"v":1}'), F.concat(F.lit("[1,"), i.cast("string"), F.lit(",null]")), F.concat(F.lit('"'), kind, F.lit('"')), F.lit("[1,,}"), doc, amount.cast("string"))
+    right = pick(doc, turned, F.lit('{"v":1.0}'), F.concat(F.lit("[null,"), i.cast("string"), F.lit(",1]")), F.lit('"\\u0076iew"'), F.lit("[1,,}"), F.concat(doc, F.lit(" x")), F.concat(whole, F.lit(".0")))
+    return table(spark, sf, "events").select("event_id", J.json_equal(left, right).alias("same"), J.kind_of(left).alias("kind"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey + 1099511627776 * l_linenumber + 4503599627370496 * (l_suppkey % 200) AS packed, l_partkey AS size, CAST(l_linenumber AS BIGINT) AS mode, l_suppkey % 200 AS flags FROM lineitem")
