@@ -10,13 +10,15 @@ from strataquery.functions.text import impact_role, is_test_path, line_terms, sh
 from strataquery.operators import aggregate, context, delta, graph, lookup, rank, retrieval, structure, topk
 from strataquery.sources import repository
 from strataquery.sources.generations import Generations
+from strataquery.sources.postings import Postings
+from strataquery.sources.stored import fresh_path
 
 
 class Engine:
     """Tables of one generation of an index. `build` scans a folder; any tables of the same columns serve."""
 
-    def __init__(self, files: DataFrame, symbols: DataFrame, edges: DataFrame, parsed: DataFrame | None = None) -> None:
-        self.spark = files.sparkSession
+    def __init__(self, files: DataFrame, symbols: DataFrame, edges: DataFrame, parsed: DataFrame | None = None, index: Postings | None = None) -> None:
+        self.spark, self.index = files.sparkSession, index
         self.parsed = parsed if parsed is not None else parse.parse_all(files) if {"text", "language"} <= set(files.columns) else None
         self.files, self.symbols = files, symbols
         self.edges = edges.withColumn("target_short", short_name(F.col("target")))
@@ -24,6 +26,12 @@ class Engine:
         self.lines = lines
         self.postings = lines.select("path", "line", F.explode(line_terms(F.col("content"))).alias("token"))
 
+    def indexed(self, path: str | None = None) -> Engine:
+        """The engine with stored postings, at a path or in the shared folder for as long as the application lives: lexical
+        questions then read the row groups of their terms, not the texts."""
+        index = Postings.write(self.files.select("path", "text"), path or fresh_path(self.spark, "postings"))
+        return Engine(self.files, self.symbols, self.edges.drop("target_short"), self.parsed, index)
+
     @classmethod
     def build(cls, spark: SparkSession, root: str, rules: list | None = None) -> Engine:
         files = repository.scan(spark, root, rules).where("evidence_visibility <> 'deny'")
@@ -76,6 +84,8 @@ class Engine:
     def grep(self, literal: str, n: int = 100) -> DataFrame:
         """Lines that hold a literal, case-insensitively; only files that hold it are cut into lines."""
         files = self.files.where(F.contains(F.lower("text"), F.lit(literal.lower())))
+        may_hold = self.index.files_with(literal) if self.index else None
+        files = files if may_hold is None else files.join(may_hold, "path", "left_semi")
         lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("_p", "content")).select("path", (F.col("_p") + 1).alias("line"), "content")
         return topk.bounded(lines.where(F.contains(F.lower("content"), F.lit(literal.lower()))), ["path", "line"], n)
 
@@ -88,7 +98,10 @@ class Engine:
     def lexical(self, query: str, n: int = 120) -> DataFrame:
         """(path, boost) of the n files that hold most of a query's terms."""
         terms = rank.query_terms(query)[:16]
-        matched = self.postings.where(F.col("token").isin(terms)).groupBy("path").agg(F.countDistinct("token").alias("matches"))
+        if self.index:
+            matched = self.index.of(terms).groupBy("path").agg(F.count(F.lit(1)).alias("matches"))
+        else:
+            matched = self.postings.where(F.col("token").isin(terms)).groupBy("path").agg(F.countDistinct("token").alias("matches"))
         some = matched.orderBy(F.desc("matches"), "path").limit(n)
         return some.select("path", rank.file_boost(F.col("matches"), max(1, len(terms))).alias("boost"))
 

@@ -16,8 +16,10 @@ def identifier_terms(token: Column) -> Column:
 
 
 def line_terms(line: Column) -> Column:
-    """Distinct identifier terms of a line, or of a whole text."""
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0))), identifier_terms)))
+    """Distinct identifier terms of a line, or of a whole text. Only tokens with capitals, digits or underscores are taken
+    apart: the others are their own and only part."""
+    tokens = F.array_distinct(F.regexp_extract_all(line, F.lit(TOKEN), F.lit(0)))
+    return F.array_distinct(F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("^[a-z]+$"), F.array(t)).otherwise(identifier_terms(t)))))
 
 
 def token_estimate(text: Column) -> Column:

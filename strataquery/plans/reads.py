@@ -194,7 +194,7 @@ def lexical_boost(spark: SparkSession, sf: str) -> DataFrame:
     from strataquery.operators import rank
 
     words = ["the", "license", "copyright"]
-    m = C.postings_of(C.files(spark, sf), words).groupBy("path").agg(F.count_distinct("token").alias("n"))
+    m = C.index(spark, sf).of(words).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
     return m.select("path", F.round(rank.file_boost(F.col("n"), 3), 6).alias("boost"))
 
 

@@ -53,10 +53,8 @@ def native_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {C.POSTINGS_SQL}, t AS (SELECT token, count(DISTINCT path) AS df FROM postings GROUP BY token HAVING count(DISTINCT path) <= 2) SELECT path, count(DISTINCT token) AS rare_terms FROM postings WHERE token IN (SELECT token FROM t) GROUP BY path")
 def rare_anchors(spark: SparkSession, sf: str) -> DataFrame:
-    from strataquery.operators.aggregate import term_frequency
-
-    p = C.file_terms(C.files(spark, sf))
-    return retrieval.rare_anchor(term_frequency(p), p, 2)
+    index = C.index(spark, sf)
+    return retrieval.rare_anchor(index.terms(), index.rows(), 2)
 
 
 @query("""WITH o AS (SELECT o_custkey, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 46) THEN 'tests/o' ELSE 'src/o' END || o_orderkey || '.py' AS path FROM orders), p AS (SELECT 'k' || o_custkey AS token, path FROM o UNION ALL SELECT 'z' || o_custkey % 50, path FROM o),

@@ -15,53 +15,50 @@ PROBE = ["the", "license", "and"]
 IN = "('the', 'license', 'and')"
 
 
-def _postings(spark: SparkSession, sf: str) -> DataFrame:
-    return C.postings(C.files(spark, sf))
-
-
 @query(f"WITH {C.POSTINGS_SQL}, m AS (SELECT path, count(DISTINCT token) AS matches FROM postings WHERE token IN {IN} GROUP BY path ORDER BY matches DESC, path LIMIT 50) SELECT m.path, matches, language, full_tokens FROM m JOIN files USING (path)")
 def lexical_file_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    files = C.files(spark, sf)
-    return aggregate.match_counts(C.postings_of(files, PROBE), PROBE, 50).join(files.select("path", "language", "full_tokens"), "path")
+    files = C.files(spark, sf).select("path", "language", "full_tokens")
+    return aggregate.match_counts(C.index(spark, sf).of(PROBE), PROBE, 50).join(files, "path")
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT path, line FROM postings WHERE token IN ('the', 'and') GROUP BY path, line HAVING count(DISTINCT token) = 2")
 def lexical_line_conjunction(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.conjunctive_lines(C.postings_of(C.files(spark, sf), ["the", "and"]), ["the", "and"])
+    return aggregate.conjunctive_lines(C.index(spark, sf).lines_of(["the", "and"]), ["the", "and"])
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT token, count(DISTINCT path) AS df FROM postings GROUP BY token")
 def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregate.term_frequency(C.file_terms(C.files(spark, sf)))
+    return C.index(spark, sf).terms().select("token", "df")
 
 
 @query(f"WITH {C.POSTINGS_SQL}, d AS (SELECT token, count(DISTINCT path) AS df FROM postings GROUP BY token) SELECT token, df, round(ln((greatest((SELECT count(*) FROM files), 1) + 1) / (df + 1)) + 1, 6) AS idf FROM d WHERE df >= 5")
 def idf_terms(spark: SparkSession, sf: str) -> DataFrame:
     n = C.files(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    return rank.idf(aggregate.term_frequency(C.file_terms(C.files(spark, sf))).where("df >= 5").crossJoin(F.broadcast(n)), F.col("n")).select("token", "df", "idf")  # one row
+    return rank.idf(C.index(spark, sf).terms().where("df >= 5").crossJoin(F.broadcast(n)), F.col("n")).select("token", "df", "idf")  # one row
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT path, string_agg(DISTINCT token, ',' ORDER BY token) AS terms FROM postings WHERE token IN {IN} GROUP BY path")
 def collected_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return C.postings_of(C.files(spark, sf), PROBE).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("terms"))
+    return C.index(spark, sf).of(PROBE).groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("terms"))
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT path, count(DISTINCT CASE WHEN token = 'the' THEN line END) AS with_the, count(DISTINCT line) AS n_lines FROM postings GROUP BY path HAVING count(DISTINCT CASE WHEN token = 'the' THEN line END) >= 3")
 def conditional_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    p = _postings(spark, sf).groupBy("path").agg(F.countDistinct(F.when(F.col("token") == "the", F.col("line"))).alias("with_the"), F.countDistinct("line").alias("n_lines"))
+    rows = C.index(spark, sf).rows().select("path", F.when(F.col("token") == "the", F.size("lines")).alias("the"), F.explode("lines").alias("line"))
+    p = rows.groupBy("path").agg(F.coalesce(F.max("the"), F.lit(0)).cast("long").alias("with_the"), F.countDistinct("line").alias("n_lines"))
     return p.where("with_the >= 3")
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT token, count(*) AS n FROM postings GROUP BY token ORDER BY n DESC, token LIMIT 25")
 def top_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return _postings(spark, sf).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(25)
+    return C.index(spark, sf).rows().groupBy("token").agg(F.sum(F.size("lines")).alias("n")).orderBy(F.desc("n"), "token").limit(25)
 
 
 @query(f"WITH {C.LINES_SQL}, c AS (SELECT path, line, content, lag(content) OVER w AS before, lead(content) OVER w AS after FROM lines WINDOW w AS (PARTITION BY path ORDER BY line)) SELECT path, line, content, before, after FROM c WHERE contains(lower(content), 'licensed under')")
 def grep_context(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("path").orderBy("line")
-    files = C.files(spark, sf).where(F.contains(F.lower("text"), F.lit("licensed under")))  # only files with a hit are cut into lines
-    c = C.lines(files).withColumn("before", F.lag("content").over(w)).withColumn("after", F.lead("content").over(w))
+    files = C.files(spark, sf).join(C.index(spark, sf).files_with("licensed under"), "path", "left_semi")
+    c = C.lines(files.where(F.contains(F.lower("text"), F.lit("licensed under")))).withColumn("before", F.lag("content").over(w)).withColumn("after", F.lead("content").over(w))
     return c.where(F.contains(F.lower("content"), F.lit("licensed under"))).select("path", "line", "content", "before", "after")
 
 

@@ -4,13 +4,13 @@ Each has a twin CTE in SQL for the DuckDB oracle."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import line_terms, short_name, token_estimate
 from strataquery.session import table
+from strataquery.sources.postings import Postings
+from strataquery.sources.stored import fresh_path
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +31,15 @@ def postings(files_: DataFrame) -> DataFrame:
     return lines(files_).select("path", "line", F.explode(line_terms(F.col("content"))).alias("token"))
 
 
-def postings_of(files_: DataFrame, terms: list[str]) -> DataFrame:
-    """The postings of some terms. A term is part of the text that it comes from, so only files and lines that hold one,
-    whatever the case, are cut into tokens."""
-    holds = lambda c: reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(t)) for t in terms])
-    some = lines(files_.where(holds("text"))).where(holds("content"))
-    return some.select("path", "line", F.explode(F.filter(line_terms(F.col("content")), lambda t: t.isin(terms))).alias("token"))
+_indexed: dict[tuple[str, str], Postings] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Postings:
+    """The stored postings of the documents, written by the application's first question about them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexed:
+        _indexed[key] = Postings.write(files(spark, sf_dir), fresh_path(spark, "postings"))
+    return _indexed[key]
 
 
 def file_terms(files_: DataFrame) -> DataFrame:
