@@ -22,6 +22,8 @@ all of these are alike; an empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import functools
+import re
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -30,10 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataquery.llm.bpe import byte_chars
 from strataquery.llm.common import FEW, HOT, stored
 
 CAPACITY, END_ID = 2048, 0
-CACHE, CACHED_CHARS = 500_000, 200
+CACHE, CACHED_CHARS = 700_000, 200
+#: Letters whose lower case and composed form are one letter each, whatever stands beside them.
+LATIN = "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+WORD = re.compile(rf"([A-Za-z{LATIN}]+)([.,;:!?]{{0,4}})")
 #: Characters of new cuts that the library encodes in one call.
 CALL = 1_000_000
 
@@ -49,16 +55,41 @@ class Tokens:
         self.model.no_padding()
         self.mark = next((t.content for t in self.model.get_added_tokens_decoder().values() if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
         self.mark_id = self.model.token_to_id(self.mark) if self.mark else None
+        #: Ids of cuts, of words, and of the (at most four) marks that may follow a word.
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        stands_for = {b: c for c, b in byte_chars().items()}
+        self.stand_in = {ord(c): "".join(stands_for[b] for b in c.encode()) for c in LATIN}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, cuts: list[str]) -> None:
-        """The library reads many cuts in one text, with a special token between them, at which it cuts by itself."""
-        plain = [c for c in cuts if self.mark and self.mark not in c]
-        for c in set(cuts).difference(plain):
-            self.known[c] = self.ids(c).tobytes()
+    def word(self, word: str) -> bytes:
+        """A lower-cased word of Latin letters, which the model takes as it is: its bytes, each as the letter that stands for
+        it. Nothing else of the library's pipeline changes such a word."""
+        ids = [t.id for t in self.model.model.tokenize(word if word.isascii() else word.translate(self.stand_in))]
+        found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def learn(self, cuts: set[str]) -> None:
+        """Words with or without punctuation behind them are looked up by the word. The library reads the others, many in
+        one text, with a special token between them, at which it cuts by itself."""
+        if len(self.words) + len(cuts) > CACHE:
+            self.words = {}
+        plain, known, words, marks, cut = [], self.known, self.words, self.marks, WORD.fullmatch
+        for c in cuts:
+            m = cut(c) if len(c) <= CACHED_CHARS else None
+            if m:
+                word, mark = m.groups()
+                word = word.lower()
+                if mark not in marks:
+                    marks[mark] = self.ids(mark).tobytes()
+                known[c] = (words.get(word) or self.word(word)) + marks[mark]
+            elif not self.mark or self.mark in c:
+                self.known[c] = self.ids(c).tobytes()
+            else:
+                plain.append(c)
         at = 0
         while at < len(plain):
             size, first = 0, at
@@ -73,13 +104,13 @@ class Tokens:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen = {c for cuts in cut for c in cuts}
+        seen = set().union(*cut)
         new = seen - self.known.keys()
         if len(self.known) + len(new) > CACHE:
             self.known, new = {"": b""}, seen - {""}
-        self.learn(sorted(new))
+        self.learn(new)
         known = self.known
-        out = [b"".join([known[c] for c in cuts]) for cuts in cut]
+        out = [b"".join(map(known.__getitem__, cuts)) for cuts in cut]
         for c in new:
             if len(c) > CACHED_CHARS:
                 del known[c]
