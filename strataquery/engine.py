@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions import parse
@@ -110,6 +110,21 @@ class Engine:
         any path twice."""
         return retrieval.find(query, self.symbols, self.edges, self.files, n, definitions, self.lexical(query, max(80, 6 * n)))
 
+    def find_task(self, task: str, n: int = 20) -> DataFrame:
+        """Retrieval for a whole task description: by a rare identifier, by a small island of files, or by fusing the
+        searches of several views of it. Needs an engine with stored postings (`indexed`)."""
+        from strataquery.operators import task as tasks
+
+        if self.index is None:
+            raise ValueError("find_task asks stored postings: use indexed() first")
+
+        def search(view: tasks.View) -> DataFrame:
+            hits = self.find(" ".join(view.terms), view.fetch)
+            place = F.row_number().over(Window.orderBy("tier", F.desc("score"), "path", "row_type", "qualname", "start_line"))  # over `fetch` rows
+            return hits.select(F.lit(view.name).alias("view"), place.alias("place"), "path", "score", "qualname", "start_line")
+
+        return tasks.find_task(task, self.index, self.files.select("path"), self.symbols, search, n)
+
     def action_map(self, task: str, n: int = 20, per_role: int = 3) -> DataFrame:
         """Paths of a search by what to do with them: edit, verify, contract, inspect. The search's own order stays."""
         hits = self.find(task, n).groupBy("path").agg(F.max("score").alias("score"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions import text as T
 from strataquery.operators import aggregate, lookup, rank, topk
+from strataquery.operators import task as tasks
 from strataquery.plans.registry import query
 from strataquery.session import table
 from strataquery.sources import corpus as C
@@ -196,6 +199,30 @@ def prefix_budget(spark: SparkSession, sf: str) -> DataFrame:
     return topk.prefix_budget(C.files(spark, sf).select("language", "path", "full_tokens"), ["language"], ["full_tokens", "path"], "full_tokens", 4000)
 
 
+TASK = "Which public license and copyright notice should software include, que der the license of einer"
+#: What the task's cues add to its terms.
+ADDED = "('governance', 'ownership'), ('governance', 'authority'), ('governance', 'architecture'), ('governance', 'contract'), ('governance', 'agents'), ('governance', 'readme'), ('evidence', 'privacy'), ('evidence', 'security'), ('evidence', 'confidentiality'), ('evidence', 'redaction'), ('evidence', 'exposure')"
+
+
+@query(f"""WITH {C.POSTINGS_SQL}, d AS (SELECT token, count(DISTINCT path) AS df FROM postings WHERE token IN ('public', 'license', 'copyright', 'notice', 'software', 'que', 'der', 'einer') GROUP BY token),
+b AS (SELECT token FROM d ORDER BY ln(((SELECT count(*) FROM files) + 1) / (df + 1)) DESC, length(token) DESC, token DESC LIMIT 4),
+w AS (SELECT * FROM (VALUES ('base', 1.2, 80, 0), ('governance', 1.0, 80, 1), ('evidence', 0.8, 40, 2)) t(view, weight, most, nr)),
+v AS (SELECT view, token FROM b, w UNION SELECT view, token FROM (VALUES {ADDED}) t(view, token)),
+h AS (SELECT view, path, line, count(*) AS score FROM postings JOIN v USING (token) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY score DESC, path, line) AS place FROM h), k AS (SELECT r.*, weight, nr FROM r JOIN w USING (view) WHERE place <= most),
+f AS (SELECT view, weight, path, row_number() OVER (PARTITION BY view ORDER BY min(place)) AS path_rank FROM k GROUP BY view, weight, path),
+s AS (SELECT path, round(sum(weight / (60 + path_rank)) * 1000, 6) AS score, count(*) AS views FROM f GROUP BY path),
+m AS (SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY score DESC, nr, place) AS rn FROM k)
+SELECT s.path, score, views, line FROM s JOIN m ON m.path = s.path AND rn = 1 ORDER BY score DESC, path LIMIT 20""")
+def task_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Three views of a task over all documents: its four most telling words, then with what its cues ask for."""
+    index = C.index(spark, sf)
+    df = {r["token"]: r["df"] for r in index.frequencies(list(tasks.words(TASK))).collect()}
+    chosen = tasks.views(TASK, df, C.files(spark, sf).count(), 20, 4)
+    hits = reduce(DataFrame.unionByName, [tasks.line_hits(index, v) for v in chosen])
+    return tasks.fused(hits, chosen, 20).select("path", "score", "views", "line")
+
+
 @query()
 def skip_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy with skips over all files of each language, the largest first; rn is a file's place among them."""
