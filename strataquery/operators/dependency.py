@@ -6,12 +6,16 @@ reach it."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.functions.versions import version_state
 from strataquery.operators.graph import cut, unconditional
 from strataquery.operators.topk import top_per_group
+from strataquery.sources.stored import Parts
 
 
 def canonical_name(ecosystem: Column, name: Column) -> Column:
@@ -57,36 +61,76 @@ def inventory_assessment(coverage: DataFrame, contexts: DataFrame) -> DataFrame:
     return contexts.select("context").distinct().join(rows, "context", "left").select("context", state.alias("completeness"), admissible.alias("negative_evidence"))
 
 
-def bounded_walk(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int, max_results: int, max_visits: int, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Nodes reached over unconditional edges (node, depth), at their least depth, the first max_results by depth and
-    node; and omissions (reason, node). A level whose edges would take the visits past max_visits is not walked."""
+#: Fixed value: queries of one call.
+QUERIES = 32
+
+
+@dataclass(frozen=True)
+class Walk:
+    """Limits of one query of a batch."""
+
+    max_depth: int
+    max_results: int
+    max_visits: int
+    reverse: bool = False
+
+
+def batched_walks(edges: DataFrame, nodes: DataFrame, starts: DataFrame, walks: dict[str, Walk]) -> tuple[DataFrame, DataFrame]:
+    """Many bounded walks over unconditional edges at once: (query, node, depth), each query's nodes at their least depth,
+    the first max_results by depth and node; and omissions (query, reason, node).
+
+    starts: (query, node). All queries share one frontier keyed by query and node, so a level is one join and one job
+    for all of them, whatever their number (`QUERIES` at most); its writer also counts each query's edges. A level whose
+    edges would take a query's visits past its max_visits isn't walked for that query; the others go on. Where edges and
+    nodes have a column `context`, node ids are taken to be of one context each, as observations give them."""
+    if len(walks) > QUERIES:
+        raise ValueError(f"{len(walks)} queries; {QUERIES} are allowed")
+    spark = starts.sparkSession
     free, cond = unconditional(edges, nodes)
-    if reverse:
-        free, cond = (e.select(F.col("target").alias("source"), F.col("source").alias("target")) for e in (free, cond))
-    free, cond = cut(free), cut(cond)
-    seen = frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    visits, limits = 0, []
-    for depth in range(1, max_depth + 1):
-        out = frontier.join(free, F.col("node") == F.col("source")).select("target")
-        n = out.count()
-        if visits + n > max_visits:
-            limits.append("visit-limit")
-            break
-        visits += n
-        frontier = cut(out.select(F.col("target").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+    ways = [w for w in (False, True) if w in {x.reverse for x in walks.values()}] or [False]
+    turned = lambda e, way: e.select(F.lit(way).alias("way"), *(F.col(c).alias(n) for c, n in zip(("target", "source") if way else ("source", "target"), ("source", "target"), strict=True)))
+    free, cond = (cut(reduce(DataFrame.unionByName, [turned(e, w) for w in ways])) for e in (free, cond))
+    rows = [(q, w.reverse, w.max_depth, w.max_results) for q, w in walks.items()]
+    asked = F.broadcast(spark.createDataFrame(rows, "query string, way boolean, max_depth int, max_results int"))  # at most QUERIES rows
+    seen, allowed = Parts(spark, "walks"), [set(walks)]
+    known = seen.add(starts.select("query", "node").distinct().join(asked.select("query"), "query", "left_semi").withColumns({"depth": F.lit(0), "new": F.lit(True), "edges": F.lit(0).cast("long")}))
+    visits, limits = dict.fromkeys(walks, 0), []
+    walked = lambda: reduce(DataFrame.unionByName, [seen.part(i).where(F.col("new") & F.col("query").isin(sorted(q))) for i, q in enumerate(allowed)]).select("query", "node", "depth")
+    depth = 0
+    while known and depth < max((w.max_depth for w in walks.values()), default=0):
+        depth += 1
+        going = [q for q in sorted(allowed[-1]) if walks[q].max_depth >= depth]
+        if not going:
             break
-        seen = cut(seen.union(frontier))
-    found = seen.where("depth > 0")
-    kept = found.orderBy("depth", "node").limit(max_results)
-    if found.count() > max_results:
-        limits.append("result-limit")
-    left = seen.where(F.col("depth") < max_depth).join(cond.select(F.col("source").alias("node")).distinct(), "node", "left_semi").select(F.lit("conditional-edge").alias("reason"), "node")
-    last = seen.where(F.col("depth") == max_depth).join(free.union(cond).select(F.col("source").alias("node")).distinct(), "node", "left_semi").select(F.lit("depth-limit").alias("reason"), "node")
-    names = start.sparkSession.createDataFrame([(r, None) for r in limits], f"reason string, node {dict(start.dtypes)['node']}")
+        frontier = seen.part(-1).where(F.col("new") & F.col("query").isin(going)).join(asked, "query")
+        out = frontier.join(free, (F.col("node") == F.col("source")) & (frontier["way"] == free["way"])).groupBy("query", F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("edges"))
+        step = out.join(walked().select("query", "node", F.lit(False).alias("_old")), ["query", "node"], "left").select("query", "node", F.lit(depth).alias("depth"), F.coalesce("_old", F.lit(True)).alias("new"), "edges")
+        counts = [F.sum(F.when(F.col("query") == q, F.col("edges"))).alias(f"n{i}") for i, q in enumerate(going)]
+        known, told = seen.add(step, counts)
+        over = {q for i, q in enumerate(going) if visits[q] + (told[f"n{i}"] or 0) > walks[q].max_visits}
+        limits += [(q, "visit-limit") for q in sorted(over)]
+        for i, q in enumerate(going):
+            visits[q] += told[f"n{i}"] or 0
+        allowed.append(set(going) - over)
+    reached = cut(walked())
+    found = reached.where("depth > 0").join(asked, "query")
+    most = max((w.max_results for w in walks.values()), default=0)
+    kept = top_per_group(found, ["query"], ["depth", "node"], most, "_rn").where("_rn <= max_results").select("query", "node", "depth")
+    many = found.groupBy("query", "max_results").agg(F.count(F.lit(1)).alias("n")).where("n > max_results").select("query", F.lit("result-limit").alias("reason"))
+    ends = reached.join(asked, "query")
+    out = lambda e: e.select(F.col("way"), F.col("source").alias("node")).distinct()
+    left = ends.where("depth < max_depth").join(out(cond), ["way", "node"], "left_semi").select("query", F.lit("conditional-edge").alias("reason"), "node")
+    last = ends.where("depth = max_depth").join(out(free.union(cond)), ["way", "node"], "left_semi").select("query", F.lit("depth-limit").alias("reason"), "node")
+    names = spark.createDataFrame(limits, "query string, reason string").union(many).withColumn("node", F.lit(None).cast(dict(starts.dtypes)["node"]))
     return kept, left.union(last).union(names)
 
 
+def bounded_walk(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int, max_results: int, max_visits: int, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One bounded walk (`batched_walks`) from the start nodes (node): (node, depth), and omissions (reason, node)."""
+    kept, left = batched_walks(edges, nodes, start.select(F.lit("one").alias("query"), "node"), {"one": Walk(max_depth, max_results, max_visits, reverse)})
+    return kept.drop("query"), left.drop("query")
+
+
 def bounded_paths(edges: DataFrame, start: DataFrame, target: int | str, max_depth: int, max_results: int, max_visits: int) -> tuple[DataFrame, list[str]]:
     """Simple paths to the target, shortest first and then by their nodes, max_results of them, and the limits met.
 
@@ -119,7 +163,7 @@ def bounded_paths(edges: DataFrame, start: DataFrame, target: int | str, max_dep
     return rows.orderBy("depth", "path").limit(max_results), limits
 
 
-def batch(queries: dict[str, DataFrame], most: int = 32) -> DataFrame:
+def batch(queries: dict[str, DataFrame], most: int = QUERIES) -> DataFrame:
     """Several answers of one shape in one table, each row with its query's name; `most` queries a call."""
     if len(queries) > most:
         raise ValueError(f"{len(queries)} queries; {most} are allowed")

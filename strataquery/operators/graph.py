@@ -1,38 +1,31 @@
 """Bounded graph questions over edge tables (source, target). Loops run on the driver, one join per level; each level is
-written to a checkpoint when it has grown, so plans stay short."""
+written as a table of its own, so plans stay short and nothing is written twice."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataquery.sources.stored import Parts, stored
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the folder of spark.checkpoint.dir, which all executors share; only a
-    local master gets a folder of its own where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="strataquery-graph-"))
-    return df.checkpoint()
+    """The table, written to the folder that all executors share and read from there: its lineage ends, and plans over it
+    know its size."""
+    return stored(df, "graph")
 
 
 def levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth) of all nodes within max_depth steps from the seeds (node), each at its least depth. Distinct edges
-    and what has been seen are written once each, so a level reads tables and repeats nothing."""
+    are written once; each level is one job, which writes its new nodes as a part of the answer and tells their number."""
     e = cut(edges.select("source", "target").distinct())
-    seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = Parts(e.sparkSession, "levels")
+    seen.add(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
-        nxt = frontier.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier = cut(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        nxt = seen.part(-1).join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        if not seen.add(nxt.join(seen.df.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))):
             break
-        seen = cut(seen.union(frontier))
-    return seen
+    return seen.df
 
 
 def reverse_levels(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
@@ -56,7 +49,7 @@ def unconditional(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFr
 def walk(edges: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes reached over unconditional edges, and what was left out: (reason, node)."""
     free, cond = unconditional(edges, nodes)
-    found = cut(levels(free, start, max_depth))
+    found = levels(free, start, max_depth)
     inner = found.where(F.col("depth") < max_depth).select("node")
     held = inner.join(nodes.where("marker IS NOT NULL").select("node").distinct(), "node", "left_semi").withColumn("reason", F.lit("conditional-selection"))
     edge = inner.join(held.select("node"), "node", "left_anti").join(cond.select(F.col("source").alias("node")).distinct(), "node", "left_semi").withColumn("reason", F.lit("conditional-edge"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,11 +87,36 @@ def paths_bounded(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "depth")
 
 
-@query(f"WITH RECURSIVE {C.DEPS_SQL}, {SEEDS}, {FREE}, {_walk_sql('source', 'target', 3, 100000)}, u AS (SELECT node, 'first' AS query FROM kept WHERE depth BETWEEN 1 AND 2 UNION ALL SELECT node, 'second' FROM kept WHERE depth > 0) SELECT query, node FROM u")
+#: Six queries over one graph: both directions, other seeds, other limits of depth, results and visits.
+WALKS = {"first": (1, 0, 2, 100_000, 100_000), "second": (1, 0, 3, 100_000, 100_000), "up": (1, 1, 4, 25, 100_000), "dear": (2, 0, 6, 100_000, 40), "cheap": (3, 1, 1, 2, 100_000), "still": (2, 0, 0, 5, 5)}
+WALKS_SQL = ", ".join(f"('{q}', {m}, {r}, {d}, {n}, {v})" for q, (m, r, d, n, v) in WALKS.items())
+BATCH = f"""asked AS (SELECT * FROM (VALUES {WALKS_SQL}) t(query, every, back, max_depth, max_results, max_visits)),
+starts AS (SELECT query, node FROM asked, seeds WHERE node % every = 0), steps AS (SELECT 0 AS back, source AS a, target AS b FROM free UNION ALL SELECT 1, target, source FROM free),
+w AS (SELECT query, node, 0 AS depth FROM starts UNION SELECT w.query, s.b, w.depth + 1 FROM w JOIN asked USING (query) JOIN steps s ON s.a = w.node AND s.back = asked.back WHERE w.depth < max_depth),
+lv AS (SELECT query, node, min(depth) AS depth FROM w GROUP BY ALL), cost AS (SELECT l.query, l.depth + 1 AS depth, count(*) AS n FROM lv l JOIN asked q USING (query) JOIN steps s ON s.a = l.node AND s.back = q.back WHERE l.depth < max_depth GROUP BY ALL),
+used AS (SELECT query, depth, sum(n) OVER (PARTITION BY query ORDER BY depth) AS total FROM cost), stop AS (SELECT query, min(depth) AS depth FROM used JOIN asked USING (query) WHERE total > max_visits GROUP BY query),
+kept AS (SELECT l.* FROM lv l LEFT JOIN stop USING (query) WHERE stop.depth IS NULL OR l.depth < stop.depth), found AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY depth, node) AS rn FROM kept WHERE depth > 0)"""
+
+
+def _batch(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Every query in one call: one frontier, one job for each level."""
+    starts = reduce(DataFrame.unionByName, [_seeds(spark).where(F.col("node") % every == 0).select(F.lit(q).alias("query"), "node") for q, (every, *_) in WALKS.items()])
+    walks = {q: dependency.Walk(depth, results, visits, bool(back)) for q, (_, back, depth, results, visits) in WALKS.items()}
+    return dependency.batched_walks(C.dependency_edges(spark, sf), C.dependency_nodes(spark, sf), starts, walks)
+
+
+@query(f"WITH RECURSIVE {C.DEPS_SQL}, {SEEDS}, {FREE}, {BATCH} SELECT query, node, CAST(depth AS INTEGER) AS depth FROM found JOIN asked USING (query) WHERE rn <= max_results")
 def batch_queries(spark: SparkSession, sf: str) -> DataFrame:
-    e, n = C.dependency_edges(spark, sf), C.dependency_nodes(spark, sf)
-    ask = {name: dependency.bounded_walk(e, n, _seeds(spark), depth, 100_000, 100_000)[0].select("node") for name, depth in (("first", 2), ("second", 3))}
-    return dependency.batch(ask).select("query", "node")
+    return _batch(spark, sf)[0]
+
+
+@query(f"""WITH RECURSIVE {C.DEPS_SQL}, {SEEDS}, {FREE}, {BATCH}, ends AS (SELECT k.query, k.node, k.depth, max_depth, back FROM kept k JOIN asked USING (query)),
+bound AS (SELECT source, target FROM cond EXCEPT SELECT source, target FROM free), held2 AS (SELECT 0 AS back, source AS a FROM bound UNION SELECT 1, target FROM bound)
+SELECT query, 'conditional-edge' AS reason, node FROM ends e WHERE depth < max_depth AND EXISTS (SELECT 1 FROM held2 h WHERE h.a = e.node AND h.back = e.back)
+UNION ALL SELECT query, 'depth-limit', node FROM ends e WHERE depth = max_depth AND (EXISTS (SELECT 1 FROM held2 h WHERE h.a = e.node AND h.back = e.back) OR EXISTS (SELECT 1 FROM steps s WHERE s.a = e.node AND s.back = e.back))
+UNION ALL SELECT query, 'visit-limit', NULL FROM stop UNION ALL SELECT query, 'result-limit', NULL FROM found JOIN asked USING (query) GROUP BY query, max_results HAVING count(*) > max_results""")
+def batch_omissions(spark: SparkSession, sf: str) -> DataFrame:
+    return _batch(spark, sf)[1]
 
 
 USES = "uses AS (SELECT DISTINCT 'order/' || l_orderkey AS path, l_partkey AS node FROM lineitem WHERE l_linenumber = 1)"

@@ -8,7 +8,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,16 +46,14 @@ class Parts:
         self.spark, self.base, self.schema = spark, fresh_path(spark, name), None
         self.rows: list[int] = []
 
-    def add(self, df: DataFrame) -> int:
-        """Writes a part; how many rows it has, as its writer counted them."""
-        from pyspark.sql import Observation
-        from pyspark.sql import functions as F
-
+    def add(self, df: DataFrame, sums: list[Column] | None = None) -> int | tuple[int, dict]:
+        """Writes a part; how many rows it has, and the named sums if any are asked for, as its writer saw them."""
         seen = Observation()
         self.schema = df.schema
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.base}/{len(self.rows)}")
-        self.rows.append(int(seen.get["n"]))
-        return self.rows[-1]
+        df.observe(seen, F.count(F.lit(1)).alias("n"), *(sums or [])).write.parquet(f"{self.base}/{len(self.rows)}")
+        told = seen.get
+        self.rows.append(int(told["n"]))
+        return self.rows[-1] if sums is None else (self.rows[-1], told)
 
     def part(self, i: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.base}/{range(len(self.rows))[i]}")
