@@ -7,26 +7,71 @@ terms of the posting's file, for scores that need its length."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.functions.text import TOKEN, line_terms
+from strataquery.functions.text import TOKEN
+from strataquery.sources.stored import stored
 
 #: Bytes of a row group: small, for one holds the postings of some hundred thousand files of a token, or of many rare ones.
 ROW_GROUP = 4 << 20
 
 
+POSTING = "token string, path string, lines array<int>, file_terms int"
+#: Tokens whose parts a task keeps, and postings of one batch.
+KEPT, BATCH = 500_000, 50_000
+
+
+def token_terms(token: str) -> tuple[str, ...]:
+    """What `identifier_terms` gives for a token."""
+    parts = re.findall("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", re.sub("([A-Z])([A-Z][a-z])", r"\1_\2", token))
+    return tuple(dict.fromkeys([token.lower(), *(p.lower() for p in parts if len(p) >= 2)]))
+
+
+def file_postings(text: str, find: Callable[[str], list[str]], known: dict[str, tuple[str, ...]]) -> dict[str, list[int]]:
+    """A file's terms, each with its lines in order."""
+    out: dict[str, list[int]] = {}
+    for line, content in enumerate(text.split("\n"), 1):
+        for token in set(find(content)):
+            if token not in known:
+                if len(known) >= KEPT:
+                    known.clear()
+                known[token] = token_terms(token)
+            for term in known[token]:
+                lines = out.setdefault(term, [])
+                if not lines or lines[-1] != line:
+                    lines.append(line)
+    return out
+
+
 def postings_rows(files: DataFrame) -> DataFrame:
-    """token, path, lines (ascending), file_terms out of files (path, text)."""
-    terms = F.transform(F.split("text", "\n"), line_terms)
-    cut = files.select("path", terms.alias("terms"))
-    counted = cut.select("path", F.size(F.array_distinct(F.flatten("terms"))).alias("file_terms"), F.posexplode("terms").alias("at", "tokens"))
-    flat = counted.select("path", "file_terms", (F.col("at") + 1).alias("line"), F.explode("tokens").alias("token"))
-    # Ranges of (token, path) keep equal ones together, so grouping needs no shuffle of its own.
-    dealt = flat.repartitionByRange("token", "path")
-    return dealt.groupBy("token", "path").agg(F.sort_array(F.collect_list("line")).alias("lines"), F.first("file_terms").alias("file_terms"))
+    """token, path, lines (ascending), file_terms out of files (path, text): a file is cut once, in one pass of its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known = re.compile(TOKEN).findall, {}
+        held: tuple[list, list, list, list] = ([], [], [], [])
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32())
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], ["token", "path", "lines", "file_terms"])
+            for c in held:
+                c.clear()
+            return made
+
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                terms = file_postings(text or "", find, known)
+                for column, values in zip(held, (terms.keys(), [path] * len(terms), terms.values(), [len(terms)] * len(terms)), strict=True):
+                    column.extend(values)
+                if len(held[0]) >= BATCH:
+                    yield out()
+        yield out()
+
+    return files.select("path", "text").mapInArrow(run, POSTING)
 
 
 class Postings:
@@ -37,7 +82,11 @@ class Postings:
 
     @classmethod
     def write(cls, files: DataFrame, path: str, row_group: int = ROW_GROUP) -> Postings:
-        out = postings_rows(files).sortWithinPartitions("token", "path")
+        cores = files.sparkSession.sparkContext.defaultParallelism
+        spread = files if files.rdd.getNumPartitions() >= cores else files.repartition(cores, "path")
+        # Written as they come, so that the texts are cut once: dealing by ranges reads its rows twice.
+        rows = stored(postings_rows(spread), "postings")
+        out = rows.repartitionByRange("token", "path").sortWithinPartitions("token", "path")
         out.write.option("parquet.block.size", row_group).option("parquet.page.row.count.limit", 10_000).parquet(f"{path}/postings")
         index = cls(files.sparkSession, path)
         df = index.rows().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
