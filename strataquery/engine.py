@@ -182,13 +182,13 @@ class Engine:
     def exports(self) -> DataFrame:
         return parse.exports(self.bindings())
 
-    def import_owner(self, path: str, name: str, depth: int = 8) -> DataFrame:
+    def import_owner(self, path: str, name: str) -> DataFrame:
         """Who defines a name that a module lets out, behind re-exports: modules become paths by the table of files."""
         modules = self.files.where("module_name IS NOT NULL").select(F.col("module_name").alias("module"), F.col("path").alias("owner"))
         passed = self.bindings().where("kind = 'reexport'").select("path", "name", F.regexp_replace("target", r"\.[^.]*$", "").alias("module"), F.substring_index("target", ".", -1).alias("owner_name"))
         chains = passed.join(modules, "module").select("path", "name", "owner", "owner_name")
         defined = self.bindings().where("kind IN ('declaration', 'value')").select("path", "name")
-        return structure.import_owners(self.spark.createDataFrame([(path, name)], "path string, name string"), chains, defined, depth)
+        return structure.import_owners(self.spark.createDataFrame([(path, name)], "path string, name string"), chains, defined)
 
     def digests(self) -> DataFrame:
         return aggregate.merkle_tree(self.files, "path", "file_digest", "size")

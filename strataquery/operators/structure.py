@@ -7,35 +7,62 @@ from pyspark.sql import functions as F
 
 from strataquery.operators.graph import cut
 from strataquery.operators.topk import best_per_group, top_per_group
+from strataquery.sources.stored import Parts
 
 
-def import_owners(requests: DataFrame, exports: DataFrame, definitions: DataFrame, max_depth: int = 8) -> DataFrame:
+def jumps(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where chains of single steps (k, t) end: (k, at) by pointer doubling, log(length) rounds; and the keys (k) whose
+    chain runs into a circle. An end may be any key that is no k.
+
+    A round makes every pointer as long again. While a chain is left, each round settles some of it, so when a round
+    settles none the rest are circles and what leads to them."""
+    spark, parts = single.sparkSession, []
+    now, left = single.select("k", F.col("t").alias("at"), F.lit(False).alias("done")), None
+    while True:
+        ahead = now.select(F.col("k").alias("at"), F.col("at").alias("_at"), F.col("done").alias("_done"))
+        step = now.where("NOT done").join(ahead, "at", "left").select("k", F.coalesce("_at", "at").alias("at"), (F.col("_at").isNull() | F.col("_done")).alias("done"))
+        parts.append(Parts(spark, "jumps"))
+        _, told = parts[-1].add(now.where("done").unionByName(step), [F.count_if(~F.col("done")).alias("open")])
+        now = parts[-1].df
+        if told["open"] in (0, left):
+            return now.where("done").select("k", "at"), now.where("NOT done").select("k")
+        left = told["open"]
+
+
+def import_owners(requests: DataFrame, exports: DataFrame, definitions: DataFrame) -> DataFrame:
     """(path, name, status, owner, owner_name): who defines a name imported from a facade (path, name).
 
     exports: (path, name, owner, owner_name), what a module passes on; definitions: (path, name). A walk ends at a
-    definition; it is resolved-unique with one end and no loose end (none to follow, a cycle, or max_depth)."""
-    ends = exports.select(F.col("path").alias("at"), F.col("name").alias("at_name"), "owner", "owner_name").distinct()
-    defined = definitions.select(F.col("path").alias("at"), F.col("name").alias("at_name"), F.lit(True).alias("_def")).distinct()
-    now = requests.select("path", "name").distinct().select("path", "name", F.col("path").alias("at"), F.col("name").alias("at_name"))
-    seen, found, loose = now, None, None
-    for depth in range(max_depth + 1):
-        here = cut(now.join(defined, ["at", "at_name"], "left"))
-        hit = here.where("_def").select("path", "name", "at", "at_name")
-        open_ = here.where("_def IS NULL").drop("_def")
-        step = open_.join(ends, ["at", "at_name"], "left")
-        lost = step.where("owner IS NULL" if depth < max_depth else "true").select("path", "name")
-        nxt = step.where("owner IS NOT NULL" if depth < max_depth else "false").select("path", "name", F.col("owner").alias("at"), F.col("owner_name").alias("at_name"))
-        again = nxt.join(seen, ["path", "name", "at", "at_name"], "left_semi").select("path", "name")
-        now = cut(nxt.distinct().join(seen, ["path", "name", "at", "at_name"], "left_anti"))
-        found = hit if found is None else found.union(hit)
-        loose = lost.union(again) if loose is None else loose.union(lost).union(again)
-        if now.isEmpty():
-            break
-        seen = cut(seen.union(now))
-    owners = found.groupBy("path", "name").agg(F.count_distinct("at", "at_name").alias("n"), F.min(F.struct("at", "at_name")).alias("o"))
-    rows = requests.select("path", "name").distinct().join(owners, ["path", "name"], "left").join(loose.distinct().withColumn("_loose", F.lit(True)), ["path", "name"], "left")
-    status = F.when(F.col("n").isNull(), "unresolved").when((F.col("n") == 1) & F.col("_loose").isNull(), "resolved-unique").otherwise("ambiguous")
-    return rows.select("path", "name", status.alias("status"), F.when(status == "resolved-unique", F.col("o.at")).alias("owner"), F.when(status == "resolved-unique", F.col("o.at_name")).alias("owner_name"))
+    definition; it is resolved-unique with one end and no loose end (nothing to follow, or a circle), ambiguous with several
+    ends or a loose one besides, else unresolved. Each (module, name) is resolved once for all who ask: chains of any
+    length by pointer doubling, names that several modules pass on in the order in which all they pass on is known; what
+    is left then runs in circles. All ends of a name are told apart by the least and the greatest."""
+    at = lambda p, n: F.struct(F.col(p).alias("path"), F.col(n).alias("name"))
+    ends = cut(definitions.select(at("path", "name").alias("k")).distinct())
+    steps = cut(exports.select(at("path", "name").alias("k"), at("owner", "owner_name").alias("t")).distinct().join(ends, "k", "left_anti"))
+    counted = cut(steps.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t")))
+    chains, circles = jumps(counted.where("n = 1").select("k", "t"))
+    several = counted.where("n > 1").select("k")
+    # The steps of names passed on by several, each followed to the end of its chain.
+    led = steps.join(several, "k", "left_semi").join(chains.select(F.col("k").alias("t"), "at"), "t", "left").join(circles.select(F.col("k").alias("t"), F.lit(True).alias("_circle")), "t", "left")
+    led = led.select("k", F.coalesce("at", "t").alias("t"), F.coalesce("_circle", F.lit(False)).alias("_circle")).distinct()
+    led = led.join(ends.select(F.col("k").alias("t"), F.lit(True).alias("_end")), "t", "left").join(several.select(F.col("k").alias("t"), F.lit(True).alias("_more")), "t", "left")
+    open_ = cut(led.select("k", F.when(F.col("_more"), F.col("t")).alias("next"), F.when(F.col("_end"), F.col("t")).alias("end"), (F.col("_circle") | (F.col("_end").isNull() & F.col("_more").isNull())).alias("loose")))
+    known = Parts(steps.sparkSession, "owners")
+    known.add(open_.limit(0).select("k", F.col("end").alias("low"), F.col("end").alias("high"), "loose"))
+    values = lambda rows: rows.groupBy("k").agg(F.min(F.least("end", "low")).alias("low"), F.max(F.greatest("end", "high")).alias("high"), F.bool_or(F.coalesce("loose", F.lit(False)) | F.coalesce("_loose", F.lit(False))).alias("loose"), F.bool_and(F.col("next").isNull() | F.col("_known")).alias("_all"))
+    upon = lambda: known.df.select(F.col("k").alias("next"), "low", "high", F.col("loose").alias("_loose"), F.lit(True).alias("_known"))
+    waiting = lambda: open_.join(known.df.select("k"), "k", "left_anti").join(upon(), "next", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    while known.add(values(waiting()).where("_all").drop("_all")):
+        pass
+    # What is left leads to a circle: loose, and with an end if any name on the way has one.
+    while known.add(values(waiting()).where("low IS NOT NULL").select("k", "low", "high", F.lit(True).alias("loose"))):
+        pass
+    asked = requests.select("path", "name").distinct().withColumn("k", at("path", "name")).join(chains, "k", "left").withColumn("at", F.coalesce("at", "k"))
+    rows = asked.join(ends.select(F.col("k").alias("at"), F.lit(True).alias("_end")), "at", "left").join(known.df.select(F.col("k").alias("at"), "low", "high", "loose"), "at", "left")
+    low, high = F.coalesce("low", F.when(F.col("_end"), F.col("at"))), F.coalesce("high", F.when(F.col("_end"), F.col("at")))
+    status = F.when(low.isNull(), "unresolved").when((low == high) & ~F.coalesce("loose", F.lit(False)), "resolved-unique").otherwise("ambiguous")
+    return rows.select("path", "name", status.alias("status"), F.when(status == "resolved-unique", low["path"]).alias("owner"), F.when(status == "resolved-unique", low["name"]).alias("owner_name"))
 
 
 def first_owned(candidates: DataFrame, owners: DataFrame) -> DataFrame:
@@ -47,9 +74,10 @@ def first_owned(candidates: DataFrame, owners: DataFrame) -> DataFrame:
 
 def call_symbols(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(path, target, owner): calls (path, target) to symbols (path, name) of the same last name in files that the
-    caller's file imports (path, imported)."""
+    caller's file imports (path, imported): by the imported file and the name, never by the name alone."""
     short = calls.select("path", "target", F.substring_index("target", ".", -1).alias("name")).distinct()
-    return short.join(symbols.select(F.col("path").alias("owner"), "name").distinct(), "name").join(imports.select("path", F.col("imported").alias("owner")).distinct(), ["path", "owner"], "left_semi").select("path", "target", "owner")
+    seen = short.join(imports.select("path", F.col("imported").alias("owner")).distinct(), "path")
+    return seen.join(symbols.select(F.col("path").alias("owner"), "name").distinct(), ["owner", "name"], "left_semi").select("path", "target", "owner")
 
 
 def limited_levels(edges: DataFrame, seeds: DataFrame, max_depth: int, per_node: int, order: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -93,19 +93,20 @@ def balanced_parts(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.balanced(items, "key", "weight", 5).groupBy("part").agg(F.sum("weight").alias("load"), F.count(F.lit(1)).alias("n"))
 
 
-EXPORTS = "ex AS (SELECT source AS path, target AS owner FROM deps WHERE source % 13 <> 0 AND (marker IS NULL OR source % 2 = 0)), req AS (SELECT node AS path FROM nodes)"
+OWNED = "def AS (SELECT p_partkey AS path FROM part WHERE p_size % 3 = 0), ex AS (SELECT DISTINCT source AS path, target AS owner FROM deps WHERE marker IS NULL AND source NOT IN (SELECT path FROM def))"
 
 
-@query(f"""WITH RECURSIVE {C.DEPS_SQL}, {EXPORTS}, w AS (SELECT path, path AS pos, 0 AS d FROM req UNION SELECT w.path, e.owner, w.d + 1 FROM w JOIN ex e ON e.path = w.pos WHERE w.d < 4 AND w.pos % 13 <> 0),
-f AS (SELECT path, pos, min(d) AS d FROM w GROUP BY path, pos), hit AS (SELECT path, count(*) AS n, min(pos) AS owner FROM f WHERE pos % 13 = 0 GROUP BY path),
-loose AS (SELECT DISTINCT path FROM f WHERE pos % 13 <> 0 AND (d = 4 OR pos NOT IN (SELECT path FROM ex)) UNION SELECT f.path FROM f JOIN ex e ON e.path = f.pos JOIN f g ON g.path = f.path AND g.pos = e.owner WHERE f.pos % 13 <> 0 AND f.d < 4 AND g.d <= f.d)
-SELECT r.path, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 AND l.path IS NULL THEN 'resolved-unique' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 AND l.path IS NULL THEN owner END AS owner FROM req r LEFT JOIN hit USING (path) LEFT JOIN loose l USING (path)""")
+@query(f"""WITH RECURSIVE {C.DEPS_SQL}, {OWNED}, w AS (SELECT node AS path, node AS pos FROM nodes UNION SELECT w.path, e.owner FROM w JOIN ex e ON e.path = w.pos),
+plus AS (SELECT path, owner AS pos FROM ex UNION SELECT p.path, e.owner FROM plus p JOIN ex e ON e.path = p.pos), circle AS (SELECT path FROM plus WHERE path = pos),
+hit AS (SELECT path, count(*) AS n, min(pos) AS owner FROM w WHERE pos IN (SELECT path FROM def) GROUP BY path),
+loose AS (SELECT DISTINCT path FROM w WHERE pos IN (SELECT path FROM circle) OR (pos NOT IN (SELECT path FROM def) AND pos NOT IN (SELECT path FROM ex)))
+SELECT node AS path, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 AND l.path IS NULL THEN 'resolved-unique' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 AND l.path IS NULL THEN owner END AS owner FROM nodes LEFT JOIN hit ON hit.path = node LEFT JOIN loose l ON l.path = node""")
 def import_owners(spark: SparkSession, sf: str) -> DataFrame:
-    e = C.dependency_edges(spark, sf).where("source % 13 <> 0 AND (marker IS NULL OR source % 2 = 0)")
+    """Every node asks who owns its name, over all unconditional edges."""
     name = F.lit("f").alias("name")
-    exports = e.select(F.col("source").alias("path"), name, F.col("target").alias("owner"), F.lit("f").alias("owner_name"))
-    n = C.dependency_nodes(spark, sf).select(F.col("node").alias("path"), name)
-    return structure.import_owners(n, exports, n.where("path % 13 = 0"), 4).select("path", "status", "owner")
+    exports = C.dependency_edges(spark, sf).where("marker IS NULL").select(F.col("source").alias("path"), name, F.col("target").alias("owner"), F.lit("f").alias("owner_name"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("path"), name, "p_size")
+    return structure.import_owners(p, exports, p.where("p_size % 3 = 0")).select("path", "status", "owner")
 
 
 @query("WITH c AS (SELECT DISTINCT l_orderkey AS context, l_linenumber AS ord, l_partkey AS module FROM lineitem), o AS (SELECT DISTINCT p_partkey AS module, p_size % 4 AS node FROM part WHERE p_size % 3 = 0), b AS (SELECT context, module, row_number() OVER (PARTITION BY context ORDER BY ord, module) AS rn FROM c WHERE module IN (SELECT module FROM o)) SELECT context, module, node FROM b JOIN o USING (module) WHERE rn = 1")
@@ -114,9 +115,9 @@ def import_correspondence(spark: SparkSession, sf: str) -> DataFrame:
     return structure.first_owned(c, table(spark, sf, "part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("module"), (F.col("p_size") % 4).alias("node")))
 
 
-@query(f"WITH {C.EDGES_SQL}, {SUPPLIERS}, imp AS (SELECT DISTINCT 'order/' || l_orderkey AS path, 'sup/' || l_suppkey AS owner FROM lineitem WHERE l_linenumber <= 2) SELECT DISTINCT e.path, e.target, s.path AS owner FROM edges e JOIN sup s ON s.name = e.target_short JOIN imp i ON i.path = e.path AND i.owner = s.path")
+@query(f"WITH {C.EDGES_SQL}, {SUPPLIERS}, imp AS (SELECT DISTINCT 'order/' || l_orderkey AS path, 'sup/' || l_suppkey AS owner FROM lineitem) SELECT DISTINCT e.path, e.target, s.path AS owner FROM edges e JOIN sup s ON s.name = e.target_short JOIN imp i ON i.path = e.path AND i.owner = s.path")
 def call_symbols(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "lineitem").where("l_linenumber <= 2")  # noqa: E741
+    l = table(spark, sf, "lineitem")  # noqa: E741
     imports = l.select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), F.concat(F.lit("sup/"), F.col("l_suppkey").cast("string")).alias("imported"))
     return structure.call_symbols(C.edges(spark, sf), _suppliers(spark, sf), imports)
 

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from strataquery.functions import manifests
-from strataquery.operators import binding
+from strataquery.operators import binding, structure
 from strataquery.sources.generations import Generations
 
 
@@ -15,6 +17,57 @@ def test_calls_are_bound(spark):
     assert got == {1: ("resolved", "self", "a.py"), 2: ("resolved", "local", "a.py"), 3: ("resolved", "import", "b.py"), 4: ("resolved", "unique", "d.py"), 5: ("ambiguous", "unique", None), 6: ("unresolved", None, None)}
 
 
+def test_calls_through_named_imports_and_from_outside(spark):
+    symbols = spark.createDataFrame([("b.py", "load", "load"), ("c.py", "load", "load"), ("f.py", "real", "real")] + [(f"m{i}.py", "hot", "hot") for i in range(50)], "path string, name string, qualname string")
+    imports = spark.createDataFrame([("a.py", "b.py"), ("a.py", "c.py")], "source string, target string")
+    named = spark.createDataFrame([("a.py", "load", "c.py", "load"), ("a.py", "alias", "f.py", "real"), ("a.py", "lost", "f.py", "none")], "path string, name string, to_path string, to_name string")
+    external = spark.createDataFrame([("a.py", "numpy"), ("b.py", "numpy")], "path string, name string")
+    calls = spark.createDataFrame([("a.py", None, t, i) for i, t in enumerate(["load", "x.alias", "numpy.array", "lost", "hot", "numpy.load"])] + [("z.py", None, "numpy.array", 9)], "path string, source string, target string, line int")
+    bound = binding.bind_calls(calls, symbols, imports, named, external)
+    got = {r["line"]: (r["status"], r["rule"], r["to_path"], r["to"]) for r in bound.collect()}
+    assert got == {
+        0: ("resolved", "named", "c.py", "load"), 1: ("resolved", "named", "f.py", "real"), 2: ("external", None, None, None), 3: ("unresolved", None, None, None), 4: ("ambiguous", "unique", None, None),
+        5: ("resolved", "named", "c.py", "load"), 9: ("unresolved", None, None, None),
+    }
+    plain = {r["line"]: r["status"] for r in binding.bind_calls(calls, symbols, imports).collect()}
+    assert plain == {0: "ambiguous", 1: "unresolved", 2: "unresolved", 3: "unresolved", 4: "ambiguous", 5: "ambiguous", 9: "unresolved"}
+
+
+def brute_owner(key, exports, defined):
+    ends, loose, seen, open_ = set(), False, set(), [(key, ())]
+    while open_:
+        k, way = open_.pop()
+        if k in defined:
+            ends.add(k)
+        elif k in way or not exports.get(k):
+            loose = True
+        elif (k, way[-1:]) not in seen:
+            seen.add((k, way[-1:]))
+            open_ += [(t, (*way, k)) for t in exports[k]]
+    if not ends:
+        return "unresolved", None, None
+    return ("resolved-unique", *ends.pop()) if len(ends) == 1 and not loose else ("ambiguous", None, None)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_owners_behind_facades(spark, seed):
+    pick = random.Random(seed)
+    key = lambda i: (f"m{i}", "n")
+    exports = {key(i): [key(i + 1)] for i in range(100, 140)}  # a chain of 40, to a definition
+    exports |= {key(i): [key(200 + (i + 1) % 7)] for i in range(200, 207)}  # a circle, and a chain into it
+    exports |= {key(300): [key(301)], key(301): [key(203)], key(302): [key(100), key(120)], key(303): [key(302), key(300)], key(304): [key(302)], key(305): [key(305)]}
+    for i in range(25):
+        exports[key(i)] = [key(pick.randrange(30)) for _ in range(pick.choice([1, 1, 1, 2, 3]))]
+    defined = {key(140), key(7), key(27), key(28)}
+    exports = {k: sorted(set(v)) for k, v in exports.items()}
+    e = spark.createDataFrame([(*k, *t) for k, v in exports.items() for t in v], "path string, name string, owner string, owner_name string").repartition(3)
+    d = spark.createDataFrame(sorted(defined), "path string, name string")
+    asked = sorted({*exports, *defined, key(999)})
+    got = {(r["path"], r["name"]): (r["status"], r["owner"], r["owner_name"]) for r in structure.import_owners(spark.createDataFrame(asked, "path string, name string"), e, d).collect()}
+    assert got == {k: brute_owner(k, exports, defined) for k in asked}
+    assert got[key(100)] == ("resolved-unique", "m140", "n") and got[key(304)] == ("resolved-unique", "m140", "n") and got[key(300)][0] == "unresolved" and got[key(303)][0] == "ambiguous"
+
+
 def test_occurrences_and_claims(spark):
     o = spark.createDataFrame([("a", "s", 1, "definition"), ("b", "s", 2, "reference"), ("b", "s", 2, "reference"), ("b", "t", 3, "reference")], "path string, symbol string, line int, role string")
     d, located, other = binding.stage_occurrences(o)
