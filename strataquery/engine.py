@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from strataquery.functions import parse
 from strataquery.functions.text import impact_role, is_test_path, line_terms, short_name
-from strataquery.operators import aggregate, context, delta, graph, lookup, rank, retrieval, structure, topk
+from strataquery.operators import aggregate, context, delta, graph, incremental, lookup, rank, retrieval, structure, topk
 from strataquery.sources import repository
+from strataquery.sources.corpus import file_terms
 from strataquery.sources.generations import Generations
 from strataquery.sources.postings import Postings
 from strataquery.sources.stored import fresh_path
@@ -60,6 +61,21 @@ class Engine:
         after = Engine(swap(self.files, new), swap(self.symbols, parse.parse_symbols(parsed)), swap(self.edges.drop("target_short"), parse.parse_edges(parsed)), swap(self.parsed, parsed))
         return after, after.delta(self).join(changed, "path", "left_semi").where("status <> 'unchanged'")
 
+    def _counted(self) -> dict[str, tuple[DataFrame, list[str]]]:
+        return {"terms": (file_terms(self.files), ["token"]), "languages": (self.files.select("path", "language"), ["language"]), "targets": (self.edges.select("path", "target_short"), ["target_short"])}
+
+    def kept_counts(self) -> dict[str, incremental.KeptCounts]:
+        """Document frequencies of terms, files of languages and references to names, to be kept by `refresh_counts`."""
+        return {name: incremental.KeptCounts(rows, keys) for name, (rows, keys) in self._counted().items()}
+
+    def refresh_counts(self, before: Engine, counts: dict[str, incremental.KeptCounts], paths: list[str]) -> dict[str, int]:
+        """Brings the counts of the engine before up to this one, which differs from it in some paths: only their rows are
+        read, and only the differences are written. By how many keys each differs. The engine before has to be a stored
+        one (`load`): one that was just built reads its files as they are now."""
+        changed = self.spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
+        rows = lambda e: {name: df for name, (df, _) in e._counted().items()}
+        return incremental.refresh_all(counts, rows(before), rows(self), changed)
+
     def stats(self) -> DataFrame:
         one = lambda name, df: df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
         return one("files", self.files).union(one("symbols", self.symbols)).union(one("edges", self.edges))

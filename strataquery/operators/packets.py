@@ -124,21 +124,22 @@ def changed_set(changed: DataFrame, reach: DataFrame, verifiers: DataFrame, per_
 
 
 def evaluated(nodes: DataFrame, edges: DataFrame, value: str, combine: Callable[[Column, Column], Column], rounds: int) -> DataFrame:
-    """(node, value, settled): a node's value out of its own and its dependencies', by a caller's function of (own, sorted
-    array of theirs), level by level from the leaves; nodes not settled after `rounds`, those on cycles included, keep null."""
+    """(node, value, settled, height): a node's value out of its own and its dependencies', by a caller's function of (own,
+    sorted array of theirs), level by level from the leaves (height 0); nodes not settled after `rounds`, those on cycles
+    included, keep null. `incremental.recomputed` brings the values up to date."""
     from strataquery.operators.graph import cut
 
     e = cut(edges.select("source", "target").distinct())
     need = e.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("_need"))
     base = cut(nodes.select("node", value).join(need, "node", "left").na.fill(0, ["_need"]))
-    done = cut(base.where("_need = 0").select("node", combine(F.col(value), F.array().cast(f"array<{dict(nodes.dtypes)[value]}>")).alias("v")))
-    for _ in range(rounds):
+    done = cut(base.where("_need = 0").select("node", combine(F.col(value), F.array().cast(f"array<{dict(nodes.dtypes)[value]}>")).alias("v"), F.lit(0).alias("height")))
+    for height in range(1, rounds + 1):
         ready = e.join(done.select(F.col("node").alias("target"), "v"), "target").groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("_have"), F.array_sort(F.collect_list("v")).alias("_vs"))
-        new = cut(base.join(ready, "node").where("_have = _need").join(done.select("node"), "node", "left_anti").select("node", combine(F.col(value), F.col("_vs")).alias("v")))
+        new = cut(base.join(ready, "node").where("_have = _need").join(done.select("node"), "node", "left_anti").select("node", combine(F.col(value), F.col("_vs")).alias("v"), F.lit(height).alias("height")))
         if new.isEmpty():
             break
         done = cut(done.union(new))
-    return nodes.select("node").join(done, "node", "left").select("node", F.col("v").alias("value"), F.col("v").isNotNull().alias("settled"))
+    return nodes.select("node").join(done, "node", "left").select("node", F.col("v").alias("value"), F.col("v").isNotNull().alias("settled"), "height")
 
 
 def retried(run: Callable[[], DataFrame], passing: tuple[type[Exception], ...], times: int = 3) -> DataFrame:

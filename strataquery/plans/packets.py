@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataquery.operators import packets
+from strataquery.operators import incremental, packets
+from strataquery.operators.graph import cut
 from strataquery.plans.registry import query
 from strataquery.session import table
 from strataquery.sources import corpus as C
@@ -132,4 +133,33 @@ def evaluated_graph(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     edges = p.where("p_partkey > 0").select(F.expr("p_partkey DIV 3").alias("source"), F.col("p_partkey").alias("target"))
     nodes = p.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("v"))
-    return packets.evaluated(nodes, edges, "v", lambda own, theirs: F.aggregate(theirs, own, lambda a, x: a + x), 30)
+    return packets.evaluated(nodes, edges, "v", lambda own, theirs: F.aggregate(theirs, own, lambda a, x: a + x), 30).drop("height")
+
+
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS node, p_partkey // 3 AS up, CAST(p_size AS BIGINT) AS was, CAST(CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN p_size + 40 ELSE p_size // 2 END ELSE p_size END AS BIGINT) AS now FROM part),
+w AS (SELECT node AS root, node FROM t UNION ALL SELECT w.root, t.node FROM w JOIN t ON t.up = w.node AND t.node > 0 AND t.node <> w.node), v AS (SELECT root AS node, max(was) AS was, max(now) AS now FROM w JOIN t ON t.node = w.node GROUP BY root),
+hit AS (SELECT node FROM t WHERE node % 7 = 0 UNION SELECT t.up FROM t JOIN v USING (node) WHERE t.node > 0 AND v.was <> v.now) SELECT node, now AS value, was <> now AS changed FROM v JOIN hit USING (node)""")
+def equality_cutoff(spark: SparkSession, sf: str) -> DataFrame:
+    """Maxima over a tree after the values of a seventh of its nodes have changed: what is computed again ends where a
+    maximum stays what it was."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    edges = p.where("p_partkey > 0").select(F.expr("p_partkey DIV 3").alias("source"), k.alias("target"))
+    was = p.select(k.alias("node"), F.col("p_size").cast("long").alias("v"))
+    now = p.select(k.alias("node"), F.when(k % 7 == 0, F.when(k % 2 == 0, F.col("p_size") + 40).otherwise(F.expr("p_size DIV 2"))).otherwise(F.col("p_size")).cast("long").alias("v"))
+    most = lambda own, theirs: F.greatest(own, F.array_max(theirs))
+    before = cut(packets.evaluated(was, edges, "v", most, 30))
+    return incremental.recomputed(now, edges, before, now.where("node % 7 = 0"), "v", most)
+
+
+@query(f"WITH {C.POSTINGS_SQL} SELECT token, count(DISTINCT path) AS n FROM postings GROUP BY token")
+def kept_frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Document frequencies, first of an older state of the collection, then brought up to date by what changed since: some
+    files had another text, some weren't there, some are gone."""
+    files, d = C.files(spark, sf), F.col("doc_id")
+    old = files.where(d % 13 != 0).withColumn("text", F.when(d % 11 == 0, F.concat(F.lit("olderWords of_the file "), F.substring("text", 1, 200))).otherwise(F.col("text")))
+    gone = files.where(d % 17 == 0).withColumn("path", F.concat("path", F.lit(".bak"))).withColumn("text", F.lit("goneWord of the past"))
+    old = old.unionByName(gone)
+    touched = files.where((d % 11 == 0) | (d % 13 == 0)).select("path").unionByName(gone.select("path"))
+    kept = incremental.KeptCounts(C.file_terms(old), ["token"])
+    kept.change(C.file_terms(incremental.changed_rows(old, touched)), C.file_terms(incremental.changed_rows(files, touched)))
+    return kept.df
