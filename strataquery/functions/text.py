@@ -101,8 +101,8 @@ def glob_regex(glob: str) -> str:
 
 
 def digest(*parts: Column, domain: str = "") -> Column:
-    """SHA-256 of a domain and length-prefixed fields."""
-    fields = [F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]
+    """SHA-256 of a domain and length-prefixed fields; a null field is a mark of its own, unlike any text."""
+    fields = [F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
     return F.sha2(F.concat(F.lit(domain), *fields), 256)
 
 

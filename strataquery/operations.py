@@ -1,6 +1,6 @@
 """Operations by name over an `Engine`: one contract for library calls, the command line and cached results.
 
-    python -m strataquery INDEX find '{"query": "plan fleet", "n": 5}'
+    python -m strataquery INDEX find '{"query": "rail yard", "n": 5}'
 """
 
 from __future__ import annotations

@@ -58,9 +58,39 @@ def nominations(symbols: DataFrame, names: DataFrame) -> DataFrame:
     return hit.select("name", F.when(F.col("n") == 0, "unresolved").when(one, "resolved-unique").otherwise("ambiguous").alias("status"), F.when(one, F.col("qualname")).alias("qualname"), F.when(one, F.col("path")).alias("path"))
 
 
-def import_graph(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """File to file: every import with the module of the longest known prefix; all paths of a module that several have."""
-    modules = files.where("module_name IS NOT NULL").select(F.col("module_name").alias("module"), F.col("path").alias("target_path"))
-    imports = edges.where("kind = 'import'").select(F.col("path").alias("source_path"), F.col("target").alias("name")).distinct()
-    found = lookup.longest_prefix(imports.select("name").distinct(), modules.select("module").distinct(), "name", "module")
-    return imports.join(found, "name").join(modules, "module").where("source_path <> target_path").select(F.col("source_path").alias("source"), F.col("target_path").alias("target")).distinct()
+def absolute_import(target: Column, path: Column, module: Column) -> Column:
+    """The dotted name that a Python import means: leading dots are resolved from the package of the importing file; null
+    where they lead out of it. A module outside of any package imports beside itself."""
+    dots = F.length(F.regexp_extract(target, r"^(\.*)", 1))
+    package = F.when(path.rlike(r"(^|/)__init__\.pyi?$"), module).otherwise(F.regexp_replace(module, r"(^|\.)[^.]*$", ""))
+    parts = F.filter(F.split(package, r"\."), lambda x: x != "")
+    base = F.when(dots - 1 <= F.size(parts), F.slice(parts, F.lit(1), F.size(parts) - (dots - 1)))
+    return F.when(dots == 0, target).otherwise(F.array_join(F.concat(base, F.array(F.regexp_replace(target, r"^\.+", ""))), "."))
+
+
+def script_path(specifier: Column, path: Column) -> Column:
+    """The path that a script's relative specifier names from a file, before any ending is tried; null where it leads out."""
+    ups = F.size(F.filter(F.split(specifier, "/"), lambda x: x == ".."))
+    rest = F.filter(F.split(specifier, "/"), lambda x: ~x.isin("", ".", ".."))
+    folder = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    return F.when(ups <= F.size(folder), F.array_join(F.concat(F.slice(folder, F.lit(1), F.size(folder) - ups), rest), "/"))
+
+
+def import_graph(files: DataFrame, edges: DataFrame, native: DataFrame | None = None) -> DataFrame:
+    """File to file (source, target): Python imports, relative ones too, with the module of the longest known prefix (all
+    paths of a module that several have); scripts' relative specifiers with the first ending under which there is a file;
+    and what a build reports itself (`native`: source, target)."""
+    known = files.where("module_name IS NOT NULL")
+    modules = known.select(F.col("module_name").alias("module"), F.col("path").alias("target_path"))
+    imports = edges.where("kind = 'import'").select(F.col("path").alias("source_path"), "target").distinct()
+    script = F.col("target").rlike(r"^\.{1,2}/")
+    own = imports.where(~script).join(known.select(F.col("path").alias("source_path"), "module_name"), "source_path", "left")
+    named = own.select("source_path", F.when(F.col("module_name").isNull(), F.col("target")).otherwise(absolute_import(F.col("target"), F.col("source_path"), F.col("module_name"))).alias("name")).where("name IS NOT NULL")
+    found = lookup.longest_prefix(named.select("name").distinct(), modules.select("module").distinct(), "name", "module")
+    pairs = named.join(found, "name").join(modules, "module").select("source_path", "target_path")
+    tried = imports.where(script).select("source_path", "target", F.posexplode(lookup.script_candidates(script_path(F.col("target"), F.col("source_path")))).alias("_at", "target_path"))
+    scripts = tried.join(files.select(F.col("path").alias("target_path")).distinct(), "target_path").groupBy("source_path", "target").agg(F.min_by("target_path", "_at").alias("target_path"))
+    pairs = pairs.union(scripts.select("source_path", "target_path"))
+    if native is not None:
+        pairs = pairs.union(native.select("source", "target"))
+    return pairs.where("source_path <> target_path").select(F.col("source_path").alias("source"), F.col("target_path").alias("target")).distinct()

@@ -72,8 +72,8 @@ def qualified_identity(imports: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def context_identity(parts: dict[str, Column], domain: str) -> Column:
-    """The digest of a context's parts in the order of their names."""
-    return digest(*[F.coalesce(parts[k].cast("string"), F.lit("")) for k in sorted(parts)], domain=domain)
+    """The digest of a context's parts in the order of their names; a part that is null isn't one that is empty."""
+    return digest(*[parts[k].cast("string") for k in sorted(parts)], domain=domain)
 
 
 def reacquired(claimed: DataFrame, observed: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -103,7 +103,7 @@ def decision_trace(candidates: DataFrame, admitted: DataFrame, rejected: DataFra
     top = rows.where(open_ & (F.col("score") == F.col("_best"))).groupBy("task").agg(F.count(F.lit(1)).alias("_top"))
     leads = F.coalesce(open_ & (F.col("score") == F.col("_best")), F.lit(False))
     status = F.when(F.col("reason").isNotNull(), "rejected").when(F.col("_ok").isNull(), "not-admitted").when(leads & (F.col("_top") == 1), "admitted").when(leads, "competing").otherwise("outscored")
-    proof = digest(F.col("task").cast("string"), F.col("owner").cast("string"), status, F.coalesce("reason", F.lit("")), domain="trace")
+    proof = digest(F.col("task").cast("string"), F.col("owner").cast("string"), status, F.col("reason"), domain="trace")
     return rows.join(top, "task", "left").select("task", "owner", status.alias("status"), "reason", proof.alias("proof"))
 
 

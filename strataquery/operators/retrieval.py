@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strataquery.functions.text import is_test_path
 from strataquery.operators import lookup, rank
+from strataquery.operators.graph import cut
 from strataquery.operators.topk import path_diverse, top_per_group
 
 CANDIDATE = ["row_type", "path", "qualname", "name", "signature", "start_line", "boost"]
@@ -63,6 +64,7 @@ def lexical_island(df: DataFrame, postings: DataFrame, most: int = 16, least_ter
     """The files that hold least_terms or more rare terms, if they are at most `most`, exactly one of them a test and at
     least one not; else none."""
     found = rare_anchor(df, postings, most).where(F.col("rare_terms") >= least_terms).withColumn("test", is_test_path(F.col("path")))
+    found = cut(found.select("path", "rare_terms", "test"))  # read by the sums and by the answer
     sums = found.agg(F.count(F.lit(1)).alias("_n"), F.count_if("test").alias("_t"))
     return found.crossJoin(F.broadcast(sums)).where(f"_n <= {most} AND _t = 1 AND _n > _t").select("path", "rare_terms", "test")  # one row
 

@@ -76,7 +76,7 @@ def qualified_imports(spark: SparkSession, sf: str) -> DataFrame:
     return packets.qualified_identity(l.select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("module")), l.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("module"), F.col("l_suppkey").alias("owner")))
 
 
-@query("SELECT o_orderkey, sha256('context' || length(o_custkey || '') || ':' || o_custkey || length(coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END, '')) || ':' || coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END, '')) AS identity FROM orders")
+@query("SELECT o_orderkey, sha256('context' || length(o_custkey || '') || ':' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE length(o_orderstatus) || ':' || o_orderstatus END) AS identity FROM orders")
 def context_identity(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus"))
     return table(spark, sf, "orders").select("o_orderkey", packets.context_identity({"z": status, "a": F.col("o_custkey")}, "context").alias("identity"))
@@ -97,7 +97,7 @@ def declaration_explain(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH c AS (SELECT DISTINCT l_orderkey AS task, l_suppkey AS owner, l_suppkey % 3 AS score FROM lineitem), a AS (SELECT s_suppkey AS owner FROM supplier WHERE s_acctbal > 1000), r AS (SELECT s_suppkey AS owner, CASE WHEN s_suppkey % 22 = 0 THEN 'a-stale' ELSE 'external' END AS reason FROM supplier WHERE s_suppkey % 11 = 0),
 x AS (SELECT c.*, a.owner IS NOT NULL AS ok, r.reason FROM c LEFT JOIN a USING (owner) LEFT JOIN r USING (owner)), b AS (SELECT task, max(score) AS best FROM x WHERE ok AND reason IS NULL GROUP BY task), t AS (SELECT task, count(*) AS n FROM x JOIN b USING (task) WHERE ok AND reason IS NULL AND score = best GROUP BY task),
 s AS (SELECT x.task, owner, reason, CASE WHEN reason IS NOT NULL THEN 'rejected' WHEN NOT ok THEN 'not-admitted' WHEN score = best AND n = 1 THEN 'admitted' WHEN score = best THEN 'competing' ELSE 'outscored' END AS status FROM x LEFT JOIN b USING (task) LEFT JOIN t USING (task))
-SELECT task, owner, status, reason, sha256('trace' || length(task || '') || ':' || task || length(owner || '') || ':' || owner || length(status) || ':' || status || length(coalesce(reason, '')) || ':' || coalesce(reason, '')) AS proof FROM s""")
+SELECT task, owner, status, reason, sha256('trace' || length(task || '') || ':' || task || length(owner || '') || ':' || owner || length(status) || ':' || status || coalesce(length(reason) || ':' || reason, '-')) AS proof FROM s""")
 def ownership_trace(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_suppkey").alias("owner"), (F.col("l_suppkey") % 3).alias("score")).distinct()
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("owner"), "s_acctbal")

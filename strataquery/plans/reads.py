@@ -143,11 +143,21 @@ def deleted_paths(spark: SparkSession, sf: str) -> DataFrame:
 IMPORTS = "f AS (SELECT 'm' || p_partkey || '.py' AS path, 'pkg.m' || p_partkey AS module FROM part), e AS (SELECT DISTINCT 'm' || l_suppkey || '.py' AS path, 'pkg.m' || l_partkey || '.name' AS name FROM lineitem)"
 
 
-@query(f"WITH {IMPORTS} SELECT DISTINCT e.path AS source, f.path AS target FROM e JOIN f ON e.name = f.module || '.name' WHERE e.path <> f.path")
+@query(f"""WITH {IMPORTS} SELECT DISTINCT e.path AS source, f.path AS target FROM e JOIN f ON e.name = f.module || '.name' WHERE e.path <> f.path
+UNION SELECT 'web/s' || l_suppkey || '.ts', 'web/' || CASE WHEN l_partkey % 2 = 0 THEN 's' || l_partkey || '.ts' ELSE 's' || l_partkey || '/index.js' END FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey <> l_partkey OR l_partkey % 2 = 1
+UNION SELECT 'native/' || s_nationkey, 'm' || s_suppkey || '.py' FROM supplier""")
 def file_imports(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "part").select(F.concat(_str("m", "p_partkey"), F.lit(".py")).alias("path"), _str("pkg.m", "p_partkey").alias("module_name"))
-    e = table(spark, sf, "lineitem").select(F.concat(_str("m", "l_suppkey"), F.lit(".py")).alias("path"), F.lit("import").alias("kind"), F.concat(_str("pkg.m", "l_partkey"), F.lit(".name")).alias("target"))
-    return context.import_graph(f, e)
+    """Python imports, half of them relative, scripts' relative specifiers with and without an ending, native edges."""
+    p, l = table(spark, sf, "part"), table(spark, sf, "lineitem")  # noqa: E741
+    even = F.col("p_partkey") % 2 == 0
+    files = p.select(F.concat(_str("m", "p_partkey"), F.lit(".py")).alias("path"), _str("pkg.m", "p_partkey").alias("module_name"))
+    scripts = p.select(F.concat(_str("web/s", "p_partkey"), F.when(even, ".ts").otherwise("/index.js")).alias("path"), F.lit(None).cast("string").alias("module_name"))
+    kind, own = F.lit("import").alias("kind"), F.concat(_str("m", "l_suppkey"), F.lit(".py"))
+    imports = l.select(own.alias("path"), kind, F.concat(F.when(F.col("l_linenumber") % 2 == 0, ".").otherwise("pkg."), _str("m", "l_partkey"), F.lit(".name")).alias("target"))
+    specifier = F.when(F.col("l_linenumber") % 2 == 0, _str("./s", "l_partkey")).otherwise(_str("../web/./s", "l_partkey"))
+    loads = l.select(F.concat(_str("web/s", "l_suppkey"), F.lit(".ts")).alias("path"), kind, specifier.alias("target"))
+    native = table(spark, sf, "supplier").select(_str("native/", "s_nationkey").alias("source"), F.concat(_str("m", "s_suppkey"), F.lit(".py")).alias("target"))
+    return context.import_graph(files.union(scripts), imports.union(loads), native)
 
 
 @query(f"WITH {C.SYMBOLS_SQL}, c AS (SELECT 'user/' || user_id AS path, CAST(min(event_id % 500) AS INTEGER) AS from_line, CAST(min(event_id % 500) + 10 AS INTEGER) AS to_line FROM events GROUP BY 1) SELECT DISTINCT s.path, qualname FROM symbols s JOIN c ON c.path = s.path AND start_line <= to_line AND end_line >= from_line")

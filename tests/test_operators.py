@@ -17,7 +17,7 @@ def one(spark, column):
 @pytest.mark.parametrize(
     ("token", "terms"),
     [
-        ("FleetPlanResolver", {"fleetplanresolver", "fleet", "plan", "resolver"}), ("HTTPServer2X", {"httpserver2x", "http", "server"}), ("__init__", {"__init__", "init"}),
+        ("RailYardPlanner", {"railyardplanner", "rail", "yard", "planner"}), ("HTTPServer2X", {"httpserver2x", "http", "server"}), ("__init__", {"__init__", "init"}),
         ("snake_case_9", {"snake_case_9", "snake", "case"}), ("parseJSONv2", {"parsejsonv2", "parse", "jso", "nv"}), ("i18n", {"i18n", "18"}), ("X", {"x"}), ("_", {"_"}),
     ],
 )
@@ -169,6 +169,14 @@ def test_limits_are_errors_or_omissions(spark):
 
 
 
+def test_identities_tell_null_from_empty(spark):
+    from strataquery.operators import packets
+
+    df = spark.createDataFrame([("a", None), ("a", ""), (None, "a"), ("", "a"), ("-", "")], "x string, y string")
+    got = [r[0] for r in df.select(packets.context_identity({"x": F.col("x"), "y": F.col("y")}, "d")).collect()]
+    assert None not in got and len(set(got)) == 5
+
+
 def test_evidence(spark):
     c = spark.createDataFrame([("a", "g", "complete", "complete"), ("b", "g", "complete", "complete"), ("a", "h", "complete", "cut")], "context string, kind string, completeness string, truncation string")
     d = spark.createDataFrame([("a",), ("b",), ("c",)], "context string")
@@ -177,7 +185,7 @@ def test_evidence(spark):
 
 
 def test_rank():
-    assert rank.query_terms("FleetPlanResolver x") == ["fleetplanresolver", "resolver", "fleet", "plan"]
+    assert rank.query_terms("RailYardPlanner x") == ["railyardplanner", "planner", "rail", "yard"]
     assert rank.formulate({"a": "Ab", "bc": "bc"}, {"a": 1, "bc": 50}, 100) == ["a", "bc"]
     intents = {"who depends on it": "relationship", "hello there": "hybrid", "hello": "identifier", "a.b": "identifier", "fix src/a.py": "path", "the settings of setup.cfg": "path", "env settings": "config", "spec of the class": "test", "which method": "structural", "how does it flow": "conceptual"}
     assert {q: rank.route(q)["intent"] for q in intents} == intents
