@@ -59,10 +59,17 @@ def membership_identity(df: DataFrame, keys: list[str], member: str, domain: str
 
 
 def merkle_level(children: DataFrame, parent: str, name: str, digest: str, size: str) -> DataFrame:
-    """One level of a tree digest: the hash over a folder's children in the order of their names, and their total size."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(name).alias("n"), F.col(digest).alias("d"), F.col(size).alias("s"))))
-    lines = F.transform(rows, lambda r: F.concat(F.octet_length(r["n"]).cast("string"), F.lit(":"), r["n"], r["d"], r["s"].cast("string")))
-    return children.groupBy(parent).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"), F.sum(size).alias("size"), F.count(F.lit(1)).alias("children"))
+    """One level of a tree digest: a folder's digest out of its children's names, digests and sizes, and their total size.
+
+    Children are dealt to 4,096 cells by the digest of their name; a cell's digest is of its children in the order of
+    names, a folder's of its cells in their order. So a folder of any number of children is cut into cells of many tasks,
+    which meet as 4,096 rows at most, and the digest depends on the children alone."""
+    line = F.concat(F.octet_length(name).cast("string"), F.lit(":"), F.col(name), F.col(digest), F.col(size).cast("string"))
+    ordered = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("v")))), lambda r: r["v"]), "\n")
+    dealt = children.withColumn("_cell", F.substring(F.md5(F.col(name).cast("binary")), 1, 3))
+    cells = dealt.groupBy(parent, "_cell").agg(F.sha2(ordered(name, line), 256).alias("_d"), F.sum(size).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    whole = ordered("_cell", F.concat(F.col("_cell"), F.lit(":"), F.col("_d")))
+    return cells.groupBy(parent).agg(F.sha2(whole, 256).alias("digest"), F.sum("_s").alias("size"), F.sum("_n").alias("children"))
 
 
 def merkle_tree(files: DataFrame, path: str, digest: str, size: str) -> DataFrame:

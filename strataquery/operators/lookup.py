@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import dotted_prefixes, folder_prefixes, short_name
+from strataquery.sources.grams import Grams
 
 
 def exact_symbol(symbols: DataFrame, query: str, n: int) -> DataFrame:
@@ -29,6 +30,13 @@ def substring_candidates(symbols: DataFrame, files: DataFrame, term: str, n: int
     return s.unionByName(f, allowMissingColumns=True).orderBy("path", "row_type", F.coalesce("qualname", F.lit(""))).limit(n)
 
 
+def indexed_candidates(symbols: DataFrame, files: DataFrame, index: Grams, term: str, n: int) -> DataFrame:
+    """`substring_candidates` by an index of trigrams over names, qualified names, signatures and paths."""
+    s = index.rows_with(symbols, ["name", "qualname", "signature", "path"], term).select("path", "qualname", F.lit("symbol").alias("row_type"))
+    f = index.rows_with(files.select("path"), ["path"], term).select("path", F.lit("file").alias("row_type"))
+    return s.unionByName(f, allowMissingColumns=True).orderBy("path", "row_type", F.coalesce("qualname", F.lit(""))).limit(n)
+
+
 def under(column: str, prefix: str) -> Column:
     """Equal to a path or below it: whole segments, so `src` doesn't take in `src2`. Pushed down as a prefix filter."""
     return (F.col(column) == prefix) | F.col(column).startswith(prefix + "/")

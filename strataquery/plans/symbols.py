@@ -55,7 +55,7 @@ def exact_symbol_in(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {C.SYMBOLS_SQL}, {C.FILES_SQL}, u AS (SELECT path, qualname, 'symbol' AS row_type FROM symbols WHERE contains(lower(name), 'src1') OR contains(lower(qualname), 'src1') OR contains(lower(signature), 'src1') OR contains(lower(path), 'src1')
 UNION ALL SELECT path, NULL, 'file' FROM files WHERE contains(lower(path), 'src1')) SELECT path, qualname, row_type FROM u ORDER BY path, row_type, coalesce(qualname, '') LIMIT 60""")
 def search_candidates_union(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.substring_candidates(C.symbols(spark, sf), C.files(spark, sf), "SRC1", 60)
+    return lookup.indexed_candidates(C.symbols(spark, sf), C.files(spark, sf), C.grams(spark, sf), "SRC1", 60)
 
 
 @query(f"WITH {C.SYMBOLS_SQL}, x AS (SELECT path, qualname, start_line, row_number() OVER (PARTITION BY path ORDER BY start_line, qualname) AS rn FROM symbols) SELECT path, qualname, start_line, rn FROM x WHERE rn <= 3")

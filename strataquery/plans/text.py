@@ -115,8 +115,9 @@ def segment_prefix_projects(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.nearest_root(f, roots, "path", "root")
 
 
-@query(f"""WITH {C.FILES_SQL}, d AS (SELECT path, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size FROM files)
-SELECT regexp_replace(path, '/[^/]*$', '') AS folder, sha256(string_agg(strlen(string_split(path, '/')[-1]) || ':' || string_split(path, '/')[-1] || digest || size, chr(10) ORDER BY string_split(path, '/')[-1])) AS digest, CAST(sum(size) AS BIGINT) AS size, count(*) AS children FROM d GROUP BY 1""")
+@query(f"""WITH {C.FILES_SQL}, d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, string_split(path, '/')[-1] AS name, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS size FROM files),
+c AS (SELECT folder, left(md5(name), 3) AS cell, sha256(string_agg(strlen(name) || ':' || name || digest || size, chr(10) ORDER BY name)) AS digest, sum(size) AS size, count(*) AS n FROM d GROUP BY ALL)
+SELECT folder, sha256(string_agg(cell || ':' || digest, chr(10) ORDER BY cell)) AS digest, CAST(sum(size) AS BIGINT) AS size, CAST(sum(n) AS BIGINT) AS children FROM c GROUP BY folder""")
 def merkle_level(spark: SparkSession, sf: str) -> DataFrame:
     f = C.files(spark, sf).select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), T.basename(F.col("path")).alias("name"), F.sha2("text", 256).alias("d"), F.octet_length("text").cast("long").alias("s"))
     return aggregate.merkle_level(f, "folder", "name", "d", "s")

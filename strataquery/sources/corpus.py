@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataquery.functions.text import line_terms, short_name, token_estimate
 from strataquery.session import table
+from strataquery.sources.grams import Grams
 from strataquery.sources.postings import Postings
 from strataquery.sources.stored import fresh_path
 
@@ -42,6 +43,17 @@ def index(spark: SparkSession, sf_dir: str) -> Postings:
     return _indexed[key]
 
 
+_grams: dict[tuple[str, str], Grams] = {}
+
+
+def grams(spark: SparkSession, sf_dir: str) -> Grams:
+    """The stored trigrams of symbols and paths, written by the application's first question about them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _grams:
+        _grams[key] = Grams.write([(symbols(spark, sf_dir), ["name", "qualname", "signature", "path"]), (files(spark, sf_dir), ["path"])], fresh_path(spark, "grams"))
+    return _grams[key]
+
+
 def file_terms(files_: DataFrame) -> DataFrame:
     """token, path: distinct terms of each file, found inside the row."""
     return files_.select("path", F.explode(line_terms(F.col("text"))).alias("token"))
