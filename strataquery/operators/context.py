@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import impact_role
@@ -23,6 +23,27 @@ def smallest_safe_budget(items: DataFrame) -> DataFrame:
     return items.groupBy("role").agg(F.min("cost").alias("cost")).agg(F.sum("cost").alias("budget"), F.count(F.lit(1)).alias("roles"))
 
 
+def budget_sweep(items: DataFrame, budgets: list[int]) -> DataFrame:
+    """(task, budget, items, used, roles, missing, safe) of a packet for each budget, in one pass for all of them.
+
+    items: (task, role, path, cost, gain, mandatory), costs whole numbers from 0. Mandatory items go first, the best of
+    each role before the second of any; then the others by gain. A budget takes them in this order while they fit, so
+    what it holds only grows with it, and no optional item is held while a mandatory one is missing. A packet is safe when
+    it holds a mandatory item of every role that has one; roles counts those held, missing the rest."""
+    if not budgets or min(budgets) < 1:
+        raise ValueError("budgets are positive numbers")
+    turn = F.row_number().over(Window.partitionBy("task", "role", "mandatory").orderBy(F.desc("gain"), "path"))
+    ranked = items.withColumn("_kind", F.when(F.col("mandatory"), 0).otherwise(1)).withColumn("_turn", F.when(F.col("mandatory"), turn).otherwise(0)).withColumn("_gain", F.when(F.col("mandatory"), 0).otherwise(-F.col("gain")))
+    held = topk.prefix_budget(ranked, ["task"], ["_kind", "_turn", "_gain", "role", "path"], "cost", max(budgets))
+    asked = F.explode(F.array(*map(F.lit, sorted(set(budgets)))))
+    needs = items.groupBy("task").agg(F.count_distinct(F.when(F.col("mandatory"), F.col("role"))).alias("needed")).withColumn("budget", asked)
+    inside = held.withColumn("budget", asked).where("used <= budget")
+    sums = inside.groupBy("task", "budget").agg(F.count(F.lit(1)).alias("items"), F.max("used").alias("used"), F.count_distinct(F.when(F.col("mandatory"), F.col("role"))).alias("roles"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    rows = needs.join(sums, ["task", "budget"], "left").select("task", "budget", zero("items"), zero("used"), zero("roles"), "needed")
+    return rows.select("task", "budget", "items", "used", "roles", (F.col("needed") - F.col("roles")).alias("missing"), (F.col("needed") == F.col("roles")).alias("safe"))
+
+
 def by_role(paths: DataFrame, order: list, n: int) -> DataFrame:
     """Paths of each role, the first n, with how many were left out."""
     return topk.with_omissions(paths.withColumn("role", impact_role(F.col("path"))), ["role"], order, n)

@@ -172,6 +172,18 @@ def safe_budget(spark: SparkSession, sf: str) -> DataFrame:
     return context.smallest_safe_budget(table(spark, sf, "part").select(F.col("p_type").alias("role"), F.floor("p_retailprice").cast("long").alias("cost")))
 
 
+@query("""WITH i AS (SELECT p_brand AS task, p_type AS role, p_partkey AS path, CAST(p_size AS BIGINT) AS cost, p_retailprice AS gain, p_partkey % 5 = 0 AS mandatory FROM part),
+t AS (SELECT *, CASE WHEN mandatory THEN row_number() OVER (PARTITION BY task, role, mandatory ORDER BY gain DESC, path) ELSE 0 END AS turn FROM i),
+u AS (SELECT *, sum(cost) OVER (PARTITION BY task ORDER BY NOT mandatory, turn, CASE WHEN mandatory THEN 0 ELSE -gain END, role, path ROWS UNBOUNDED PRECEDING) AS used FROM t), b AS (SELECT unnest([64, 192, 512, 2048]) AS budget),
+n AS (SELECT task, count(DISTINCT role) FILTER (mandatory) AS needed FROM i GROUP BY task), h AS (SELECT task, budget, count(*) AS items, max(used) AS used, count(DISTINCT role) FILTER (mandatory) AS roles FROM u JOIN b ON used <= budget GROUP BY ALL)
+SELECT task, budget, coalesce(items, 0) AS items, CAST(coalesce(used, 0) AS BIGINT) AS used, coalesce(roles, 0) AS roles, needed - coalesce(roles, 0) AS missing, needed = coalesce(roles, 0) AS safe FROM n CROSS JOIN b LEFT JOIN h USING (task, budget)""")
+def budget_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """What packets of several budgets hold, for every task at once."""
+    p = table(spark, sf, "part")
+    items = p.select(F.col("p_brand").alias("task"), F.col("p_type").alias("role"), F.col("p_partkey").alias("path"), F.col("p_size").cast("long").alias("cost"), F.col("p_retailprice").alias("gain"), (F.col("p_partkey") % 5 == 0).alias("mandatory"))
+    return context.budget_sweep(items, [64, 192, 512, 2048])
+
+
 @query("WITH s AS (SELECT p_brand AS name, 'f' || p_partkey AS path, p_brand || '.' || p_partkey AS qualname FROM part WHERE p_size > 47), n AS (SELECT DISTINCT p_brand AS name FROM part) SELECT n.name, CASE count(qualname) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved-unique' ELSE 'ambiguous' END AS status, CASE WHEN count(qualname) = 1 THEN min(qualname) END AS qualname, CASE WHEN count(qualname) = 1 THEN min(path) END AS path FROM n LEFT JOIN s USING (name) GROUP BY n.name")
 def nominated_symbols(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")

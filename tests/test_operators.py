@@ -169,6 +169,33 @@ def test_limits_are_errors_or_omissions(spark):
 
 
 
+def test_a_common_weight_is_ranked_in_parts(spark, monkeypatch):
+    from strataquery.operators import schedule
+
+    items = spark.range(500).select("id", F.when(F.col("id") < 400, 3).otherwise(F.col("id") % 7 + 1).cast("long").alias("w"))
+    sums = []
+    for together in (100_000, 16):
+        monkeypatch.setattr(schedule, "TOGETHER", together)
+        rows = schedule.balanced(items, "id", "w", 4).collect()
+        assert len(rows) == len({r["id"] for r in rows}) == 500
+        sums.append(sorted(sum(r["w"] for r in rows if r["part"] == p) for p in range(4)))
+    assert sums[0] == sums[1] and sums[0][-1] - sums[0][0] <= 7
+
+
+def test_packets_grow_with_the_budget(spark):
+    from strataquery.operators import context
+
+    items = spark.createDataFrame(
+        [("t", "edit", "a", 5, 1.0, True), ("t", "edit", "b", 1, 9.0, True), ("t", "verify", "c", 4, 2.0, True), ("t", "docs", "d", 2, 7.0, False), ("t", "docs", "e", 1, 8.0, False), ("u", "docs", "x", 50, 1.0, False), ("v", "edit", "y", 0, 1.0, True)],
+        "task string, role string, path string, cost long, gain double, mandatory boolean",
+    )
+    got = {(r["task"], r["budget"]): (r["items"], r["used"], r["roles"], r["missing"], r["safe"]) for r in context.budget_sweep(items, [1, 5, 9, 10, 13, 100]).collect()}
+    assert [got["t", b] for b in (1, 5, 9, 10, 13, 100)] == [(1, 1, 1, 1, False), (2, 5, 2, 0, True), (2, 5, 2, 0, True), (3, 10, 2, 0, True), (5, 13, 2, 0, True), (5, 13, 2, 0, True)]
+    assert got["u", 1] == (0, 0, 0, 0, True) and got["u", 100] == (1, 50, 0, 0, True) and got["v", 1] == (1, 0, 1, 0, True)
+    with pytest.raises(ValueError):
+        context.budget_sweep(items, [])
+
+
 def test_identities_tell_null_from_empty(spark):
     from strataquery.operators import packets
 
