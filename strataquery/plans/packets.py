@@ -105,13 +105,13 @@ def ownership_trace(spark: SparkSession, sf: str) -> DataFrame:
     return packets.decision_trace(c, s.where("s_acctbal > 1000"), rejected)
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS language, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS side WHERE false")
+@query(f"WITH {C.FILES_SQL}, a AS (SELECT language, count(*) AS n FROM files GROUP BY language), b AS (SELECT language, count(*) AS n FROM files WHERE doc_id % 9 <> 0 GROUP BY language) SELECT *, 'cold' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'warm' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def cold_and_warm(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows in which an answer from a written table differs from one made anew: none."""
-    from strataquery.operators.graph import cut
-    from strataquery.plans.text import language_counts
+    """Rows in which a written answer differs from one made anew, some files having come since."""
+    from strataquery.operators.aggregate import category_counts
 
-    return packets.unequal(language_counts(spark, sf), cut(language_counts(spark, sf)))
+    files = C.files(spark, sf)
+    return packets.unequal(category_counts(files, "language"), cut(category_counts(files.where("doc_id % 9 <> 0"), "language")))
 
 
 @query(f"""WITH {C.DEPS_SQL}, ch AS (SELECT node AS path FROM nodes WHERE marker IS NOT NULL), e AS (SELECT DISTINCT target AS path, source AS dependent FROM deps), near AS (SELECT path, path AS dependent, 0 AS distance FROM ch UNION ALL SELECT path, dependent, 1 FROM ch JOIN e USING (path)),

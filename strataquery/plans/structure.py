@@ -69,20 +69,26 @@ def lexical_island(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.lexical_island(p.groupBy("token").agg(F.count_distinct("path").alias("df")), p, 100_000, 2)
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BIGINT) AS n, CAST(NULL AS INTEGER) AS run WHERE false")
-def retrieval_stability(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that differ between two runs: none."""
-    from strataquery.plans.symbols import top_targets
+RANKED = "c AS (SELECT target, count(*) AS n FROM edges GROUP BY target), k AS (SELECT target, n, row_number() OVER (ORDER BY n DESC, target) AS rn FROM c)"
+
 
-    return retrieval.unstable(lambda: top_targets(spark, sf))
+@query(f"""WITH {C.EDGES_SQL}, {RANKED}, d AS (SELECT target, count(*) AS n FROM edges WHERE kind <> 'R' GROUP BY target), m AS (SELECT target, n, row_number() OVER (ORDER BY n DESC, target) AS rn FROM d),
+a AS (SELECT target, n FROM k WHERE rn <= 25), b AS (SELECT target, n FROM m WHERE rn <= 25)
+SELECT *, 1 AS run FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 2 FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def retrieval_stability(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that differ between two runs of one question, of which the second one finds some edges gone."""
+    edges = C.edges(spark, sf)
+    runs = iter([edges, edges.where("kind <> 'R'")])
+    return retrieval.unstable(lambda: next(runs).groupBy("target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "target").limit(25))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS target, CAST(NULL AS BIGINT) AS n WHERE false")
+@query(f"WITH {C.EDGES_SQL}, {RANKED} SELECT target, n FROM k WHERE rn BETWEEN 41 AND 43")
 def prefix_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of a smaller limit that a larger one doesn't begin with: none."""
+    """Rows of a smaller answer that a larger one doesn't begin with: those that were put in from beyond it."""
     counts = C.edges(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
     top = lambda n: counts.orderBy(F.desc("n"), "target").limit(n)
-    return retrieval.not_a_prefix(top(7), top(40), [F.desc("n"), "target"])
+    strangers = top(43).exceptAll(top(40))
+    return retrieval.not_a_prefix(top(7).union(strangers), top(40), [F.desc("n"), "target"])
 
 
 @query("""WITH RECURSIVE i AS (SELECT s_suppkey AS key, CAST(floor(s_acctbal) AS BIGINT) % 500 + 2000 AS weight FROM supplier), o AS (SELECT *, row_number() OVER (ORDER BY weight DESC, key) AS pos FROM i),

@@ -224,7 +224,10 @@ def task_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return tasks.fused(hits, chosen, 20).select("path", "score", "views", "line")
 
 
-@query()
+@query(f"""WITH RECURSIVE {C.FILES_SQL}, o AS (SELECT language, path, full_tokens, row_number() OVER (PARTITION BY language ORDER BY full_tokens DESC, path) AS rn FROM files),
+w AS (SELECT DISTINCT language, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, '' AS path, CAST(0 AS BIGINT) AS full_tokens, false AS took FROM files
+UNION ALL SELECT o.language, o.rn, CASE WHEN used + o.full_tokens <= 20000 THEN used + o.full_tokens ELSE used END, o.path, o.full_tokens, used + o.full_tokens <= 20000 FROM w JOIN o ON o.language = w.language AND o.rn = w.rn + 1)
+SELECT language, path, full_tokens, CAST(rn AS INTEGER) AS rn FROM w WHERE took""")
 def skip_budget(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy with skips over all files of each language, the largest first; rn is a file's place among them."""
     f = C.files(spark, sf).select("language", "path", "full_tokens")
@@ -236,9 +239,19 @@ def skip_budget(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("language", "path", "full_tokens", (F.coalesce("_larger", F.lit(0)) + F.col("_equal")).cast("int").alias("rn"))
 
 
-@query()
+def _cover_sql(n: int) -> str:
+    """n picks for each language, each the file with most terms that no earlier pick has."""
+    steps = ["l0 AS MATERIALIZED (SELECT DISTINCT language, path, token FROM postings JOIN files USING (path)), i0 AS MATERIALIZED (SELECT language, path, count(token) AS n_terms FROM l0 GROUP BY ALL)"]
+    for k in range(1, n + 1):
+        left = f"l{k - 1} x LEFT JOIN (SELECT DISTINCT c.language, c.token, true AS hit FROM l{k - 1} c JOIN p{k} USING (language, path)) h USING (language, token) WHERE h.hit IS NULL"
+        steps.append(f"p{k} AS MATERIALIZED (SELECT language, path, n_terms FROM (SELECT i.*, row_number() OVER (PARTITION BY i.language ORDER BY coalesce(g.gain, 0) DESC, i.path) AS rn FROM i{k - 1} i LEFT JOIN (SELECT language, path, count(*) AS gain FROM l{k - 1} GROUP BY ALL) g USING (language, path)) WHERE rn = 1)")
+        steps.append(f"l{k} AS MATERIALIZED (SELECT x.language, x.path, x.token FROM {left}), i{k} AS MATERIALIZED (SELECT i.* FROM i{k - 1} i ANTI JOIN p{k} USING (language, path))")
+    return ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT language, path, {k} AS pick, CAST(n_terms AS INTEGER) AS n_terms FROM p{k}" for k in range(1, n + 1))
+
+
+@query(f"WITH {C.POSTINGS_SQL}, {_cover_sql(8)}")
 def diversity_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Per language, the files that cover most terms not covered yet, out of all files and all their terms."""
     f = C.files(spark, sf)
-    terms = C.postings(f).groupBy("path").agg(F.collect_set("token").alias("terms"))
+    terms = C.index(spark, sf).rows().groupBy("path").agg(F.collect_set("token").alias("terms"))
     return topk.greedy_cover(f.select("language", "path").join(terms, "path"), "language", "path", "terms", 8)
