@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import is_test_path
+from strataquery.operators.graph import cut
 
 #: Weights of whole-query and per-term matches.
 EXACT_QUALNAME, EXACT_NAME, IN_QUALNAME, IN_PATH, IN_SIGNATURE = 120.0, 100.0, 70.0, 55.0, 45.0
@@ -140,9 +141,19 @@ def route(query: str) -> dict[str, object]:
 
 
 def term_counts(docs: DataFrame, terms: list[str], fields: list[str]) -> DataFrame:
-    """path, a length for each field, and an array of each term's occurrences for each field, all inside the row."""
-    count = lambda f, t: F.size(F.filter(f, lambda x: x == t))
-    return docs.select("path", *[F.size(f).alias(f"len_{f}") for f in fields], *[F.array(*[count(f, t) for t in terms]).alias(f"tf_{f}") for f in fields])
+    """path, a length for each field, and an array of each term's occurrences for each field, all inside the row.
+
+    A field stands once in the plan: it is handed to a function as a whole, which looks through it once for all terms and
+    then counts among what it found."""
+
+    def counts(field: str) -> Column:
+        count = lambda found, t: F.size(F.filter(found, lambda x: x == t))
+        hits = lambda tokens: F.array(F.filter(tokens, lambda x: x.isin(terms)))
+        each = lambda tokens, found: F.struct(F.size(tokens).alias("n"), F.array(*[count(found, t) for t in terms]).alias("tf"))
+        return F.transform(F.array(field), lambda tokens: F.transform(hits(tokens), lambda found: each(tokens, found))[0])[0].alias(field)
+
+    rows = cut(docs.select("path", *map(counts, fields)))
+    return rows.select("path", *[F.col(f)["n"].alias(f"len_{f}") for f in fields], *[F.col(f)["tf"].alias(f"tf_{f}") for f in fields])
 
 
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -152,7 +163,8 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) ->
 
 def fielded_bm25(docs: DataFrame, terms: list[str], weights: dict[str, float], k1: float = 1.2, b: dict[str, float] | None = None) -> DataFrame:
     """BM25F: occurrences in several fields (arrays of tokens) are scaled by the field's length and weight and summed
-    before they are dampened. Statistics are one row, read in one pass over counts made inside each row."""
+    before they are dampened. Counts are made inside each row in one pass over the documents and written; statistics (one
+    row) and scores are read from them."""
     fields = list(weights)
     rows = term_counts(docs, terms, fields).where(reduce(lambda x, y: x | y, [F.col(f"len_{f}") > 0 for f in fields]))
     held = lambda i: reduce(lambda x, y: x | y, [F.col(f"tf_{f}")[i] > 0 for f in fields])

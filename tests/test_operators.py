@@ -196,6 +196,15 @@ def test_packets_grow_with_the_budget(spark):
         context.budget_sweep(items, [])
 
 
+def test_a_field_is_cut_once_for_all_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([("a", "x y x zz"), ("b", "y"), ("c", ""), ("d", None)], "path string, text string").select("path", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
+    plans = []
+    monkeypatch.setattr(rank, "cut", lambda df: plans.append(df) or df)
+    got = {r["path"]: (r["len_tokens"], r["tf_tokens"]) for r in rank.term_counts(docs, ["x", "y", "q"], ["tokens"]).collect()}
+    assert got["a"] == (4, [2, 1, 0]) and got["b"] == (1, [0, 1, 0]) and got["c"] == (0, [0, 0, 0])
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("[a-z]+") == 1
+
+
 def test_identities_tell_null_from_empty(spark):
     from strataquery.operators import packets
 
