@@ -31,6 +31,8 @@ CONTRACT: dict[str, tuple[tuple[str, ...], bool]] = {
     "refs": (("path", "source", "target", "line", "truncated"), True),
     "enclosing": (("path", "qualname", "width"), False),
     "find": (("path", "score"), True),
+    "find_task": (("path", "score", "route"), True),
+    "import_owner": (("path", "name", "status"), True),
     "imports": (("source", "target"), False),
     "affected": (("node", "depth"), False),
     "affected_tests": (("node", "depth"), False),
