@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from strataquery.llm.common import Stored
 
 MIN_DOCS, SMOOTH, SCALE = 30, 5, 1_000_000_000
-#: Terms and sources that a task holds before it hands them on; sources of a block.
-HELD, BLOCK = 400_000, 256
+#: Terms and sources that a task holds before it hands them on (a quarter more at most, but for those of one text); sources
+#: of a block.
+HELD, BLOCK = 1_000_000, 256
 #: Runs of letters and of anything beyond ASCII, in UTF-8.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 COUNTED = "lang string, term string, source string, block long, docs long, n long"
@@ -50,7 +51,7 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        block = 0
+        block = since = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, source), (docs, n) in held.items():
@@ -67,9 +68,12 @@ def count_terms(docs: DataFrame) -> DataFrame:
                     docs, n = held.setdefault((lang, source), (Counter(), Counter()))
                     docs.update(set(words))
                     n.update(words)
-            if sum(len(n) for _, n in held.values()) > HELD:
-                yield from out()
-                block += 1
+                    since += len(words)
+                if since > HELD // 4:  # so that a batch of long texts is handed on in parts too
+                    since = 0
+                    if sum(len(n) for _, n in held.values()) > HELD:
+                        yield from out()
+                        block += 1
         yield from out()
 
     return docs.select(text("text").cast("binary").alias("text"), text("lang").alias("lang"), text("source").alias("source")).mapInArrow(run, COUNTED)

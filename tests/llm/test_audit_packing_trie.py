@@ -64,7 +64,7 @@ def audit_rows() -> list[tuple]:
     return [*made, (None, "en", "nothing"), ("!!! 12", "fr", "a"), ("", "fr", "b"), ("the " * 30_000, "en", "s1"), ("once", None, "s9"), *[("same", "en", "s0")] * 3]
 
 
-@pytest.mark.parametrize(("block", "held", "least"), [(256, 400_000, 3), (2, 4, 3), (3, 400_000, 1000)])
+@pytest.mark.parametrize(("block", "held", "least"), [(256, 1_000_000, 3), (2, 4, 3), (3, 1_000_000, 1000)])
 def test_divergence_matches_brute_force(spark, monkeypatch, block, held, least):
     monkeypatch.setattr(divergence, "BLOCK", block)
     monkeypatch.setattr(divergence, "HELD", held)
