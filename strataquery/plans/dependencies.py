@@ -119,11 +119,11 @@ def batch_omissions(spark: SparkSession, sf: str) -> DataFrame:
     return _batch(spark, sf)[1]
 
 
-USES = "uses AS (SELECT DISTINCT 'order/' || l_orderkey AS path, l_partkey AS node FROM lineitem WHERE l_linenumber = 1)"
+USES = "uses AS (SELECT DISTINCT 'order/' || l_orderkey AS path, l_partkey AS node FROM lineitem)"
 
 
 def _uses(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_partkey").alias("node")).distinct()
+    return table(spark, sf, "lineitem").select(F.concat(F.lit("order/"), F.col("l_orderkey").cast("string")).alias("path"), F.col("l_partkey").alias("node")).distinct()
 
 
 @query(f"""WITH {PACKAGES}, {C.DEPS_SQL}, {USES}, wanted AS (SELECT node, name, version FROM packages WHERE name IN ('red-widget', 'small.ring')), up AS (SELECT DISTINCT target AS node, source FROM deps)

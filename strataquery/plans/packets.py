@@ -115,12 +115,12 @@ def cold_and_warm(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {C.DEPS_SQL}, ch AS (SELECT node AS path FROM nodes WHERE marker IS NOT NULL), e AS (SELECT DISTINCT target AS path, source AS dependent FROM deps), near AS (SELECT path, path AS dependent, 0 AS distance FROM ch UNION ALL SELECT path, dependent, 1 FROM ch JOIN e USING (path)),
-v AS (SELECT DISTINCT l_partkey AS dependent, 't' || l_suppkey AS verifier FROM lineitem WHERE l_linenumber = 1), f AS (SELECT path, verifier, min(distance) AS distance FROM near JOIN v USING (dependent) GROUP BY path, verifier),
+v AS (SELECT DISTINCT l_partkey AS dependent, 't' || l_suppkey AS verifier FROM lineitem), f AS (SELECT path, verifier, min(distance) AS distance FROM near JOIN v USING (dependent) GROUP BY path, verifier),
 r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY distance, verifier) AS rn, count(*) OVER (PARTITION BY path) AS total FROM f) SELECT path, verifier, distance, total FROM r WHERE rn <= 3""")
 def changed_set_verification(spark: SparkSession, sf: str) -> DataFrame:
     n = C.dependency_nodes(spark, sf).where("marker IS NOT NULL").select(F.col("node").alias("path"))
     reach = C.dependency_edges(spark, sf).select(F.col("target").alias("path"), F.col("source").alias("dependent"), F.lit(1).alias("distance")).distinct()
-    v = table(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("path"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("verifier")).distinct()
+    v = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("path"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("verifier")).distinct()
     return packets.changed_set(n, reach, v, 3)
 
 

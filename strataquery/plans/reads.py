@@ -21,9 +21,9 @@ def point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return C.files(spark, sf).where(F.col("path").isin("src0/fr/0.txt", "src3/en/3.txt", "no/such")).select("path", "language", "full_tokens")
 
 
-@query(f"WITH {C.EDGES_SQL} SELECT path, source, kind, target, line FROM edges WHERE kind = 'A'")
+@query(f"WITH {C.EDGES_SQL} SELECT path, source, kind, target, line FROM edges")
 def full_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return C.edges(spark, sf).where("kind = 'A'").select("path", "source", "kind", "target", "line")
+    return C.edges(spark, sf).select("path", "source", "kind", "target", "line")
 
 
 @query(f"WITH {C.EDGES_SQL} SELECT path, target, line FROM edges WHERE target = 'supplier.s7' OR starts_with(target, 'supplier.s7.') OR target = 'supplier.s1' OR starts_with(target, 'supplier.s1.')")
@@ -184,11 +184,12 @@ def budget_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return context.budget_sweep(items, [64, 192, 512, 2048])
 
 
-@query("WITH s AS (SELECT p_brand AS name, 'f' || p_partkey AS path, p_brand || '.' || p_partkey AS qualname FROM part WHERE p_size > 47), n AS (SELECT DISTINCT p_brand AS name FROM part) SELECT n.name, CASE count(qualname) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved-unique' ELSE 'ambiguous' END AS status, CASE WHEN count(qualname) = 1 THEN min(qualname) END AS qualname, CASE WHEN count(qualname) = 1 THEN min(path) END AS path FROM n LEFT JOIN s USING (name) GROUP BY n.name")
+@query("WITH s AS (SELECT p_brand || p_size AS name, 'f' || p_partkey AS path, p_brand || '.' || p_partkey AS qualname FROM part), n AS (SELECT DISTINCT p_brand || (p_size + 1) AS name FROM part) SELECT n.name, CASE count(qualname) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved-unique' ELSE 'ambiguous' END AS status, CASE WHEN count(qualname) = 1 THEN min(qualname) END AS qualname, CASE WHEN count(qualname) = 1 THEN min(path) END AS path FROM n LEFT JOIN s USING (name) GROUP BY n.name")
 def nominated_symbols(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    s = p.where("p_size > 47").select(F.col("p_brand").alias("name"), _str("f", "p_partkey").alias("path"), F.concat("p_brand", F.lit("."), F.col("p_partkey").cast("string")).alias("qualname"))
-    return context.nominations(s, p.select(F.col("p_brand").alias("name")).distinct())
+    named = lambda size: F.concat("p_brand", size.cast("string")).alias("name")
+    s = p.select(named(F.col("p_size")), _str("f", "p_partkey").alias("path"), F.concat("p_brand", F.lit("."), F.col("p_partkey").cast("string")).alias("qualname"))
+    return context.nominations(s, p.select(named(F.col("p_size") + 1)).distinct())
 
 
 @query(f"WITH {C.FILES_SQL}, i AS (SELECT surface || '/AGENTS.md' AS instruction, surface AS root, 1 AS depth FROM files GROUP BY surface UNION ALL SELECT 'AGENTS.md', '', 0 UNION ALL SELECT surface || '/en/AGENTS.override.md', surface || '/en', 2 FROM files GROUP BY surface), m AS (SELECT path, instruction, depth FROM files JOIN i ON root = '' OR starts_with(path, root || '/')) SELECT path, instruction, row_number() OVER (PARTITION BY path ORDER BY depth DESC, instruction) AS precedence FROM m")
