@@ -231,15 +231,15 @@ def change_journal(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT CAST(floor(epoch_ms(ts) / 60000) AS BIGINT) AS slot, event_type, count(*) AS events FROM events GROUP BY 1, 2")
 def debounced_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return J.debounced(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", 60_000)
+    return J.debounced(table(spark, sf, "events"), "ts", "event_type", 60_000)
 
 
 @query("""WITH x AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS BIGINT) AS span, count(*) AS n FROM y GROUP BY user_id, s""")
 def extra_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """An extra: session windows."""
-    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return J.sessions(e, "ts", "user_id", 3600).select("user_id", (F.unix_micros("last") - F.unix_micros("first")).alias("span"), "n")
+    s = J.sessions(table(spark, sf, "events"), "ts", "user_id", 3600)
+    return s.select("user_id", (J.epoch_micros(s, "last") - J.epoch_micros(s, "first")).alias("span"), "n")
 
 
 @query(f"""WITH {C.DEPS_SQL}, m AS (SELECT node, CASE WHEN node % 4 = 0 THEN 'tests/test_m' || node || '.py' WHEN node % 4 = 1 THEN 'docs/m' || node || '.md' WHEN node % 4 = 2 THEN 'schemas/m' || node || '.json' ELSE 'src/m' || node || '.py' END AS path FROM nodes),

@@ -10,6 +10,7 @@ from strataquery.operators import binding, context, delta, lookup, topk
 from strataquery.plans.registry import query
 from strataquery.session import table
 from strataquery.sources import corpus as C
+from strataquery.streaming.journal import epoch_micros
 
 
 def _str(letter: str, column: str) -> F.Column:
@@ -81,8 +82,9 @@ def normal_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {C.SYMBOLS_SQL}, f AS (SELECT 'user/' || user_id AS path, max(ts) AS changed FROM events GROUP BY 1) SELECT s.path, qualname, CAST(epoch_us(changed) AS BIGINT) AS changed FROM symbols s JOIN f USING (path) WHERE s.path IN ('user/3', 'user/8')")
 def symbols_of_files(spark: SparkSession, sf: str) -> DataFrame:
-    f = table(spark, sf, "events").groupBy(_str("user/", "user_id").alias("path")).agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
-    return C.symbols(spark, sf).where(F.col("path").isin("user/3", "user/8")).join(f, "path").select("path", "qualname", F.unix_micros("ts").alias("changed"))
+    e = table(spark, sf, "events")
+    f = e.groupBy(_str("user/", "user_id").alias("path")).agg(F.max(epoch_micros(e, "ts")).alias("changed"))
+    return C.symbols(spark, sf).where(F.col("path").isin("user/3", "user/8")).join(f, "path").select("path", "qualname", "changed")
 
 
 @query(f"WITH {C.FILES_SQL}, t AS (SELECT unnest(['licensed under', 'copyright', 'warranty']) AS term) SELECT path, term FROM files JOIN t ON contains(lower(text), term)")

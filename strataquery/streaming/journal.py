@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 JOURNAL = "source string, state string, generation long, pending long"
 
@@ -53,9 +54,18 @@ def journal_batch(events: DataFrame, key: str, seq: str, path: str) -> DataFrame
     return total.select(key, F.when(F.col("z.gaps") > 0, "UNKNOWN").when(F.col("z.pending") > 0, "DIRTY").otherwise("CLEAN").alias("state"), "generation", F.col("z.pending").alias("pending"))
 
 
+def epoch_micros(df: DataFrame, ts: str) -> F.Column:
+    """Microseconds from 1970: of a timestamp without a zone as its clock says them, whatever the zone of the session."""
+    c = F.col(ts)
+    if not isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return F.unix_micros(c)
+    minutes = F.unix_date(c.cast("date")).cast("long") * 1440 + F.hour(c) * 60 + F.minute(c)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
 def debounced(events: DataFrame, ts: str, key: str, millis: int) -> DataFrame:
     """One row for each path and interval of `millis`, with the number of events that it stands for."""
-    slot = F.floor(F.unix_millis(ts) / millis)
+    slot = F.floor(F.floor(epoch_micros(events, ts) / 1000) / millis)
     return events.groupBy(slot.alias("slot"), key).agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -67,8 +77,9 @@ def windowed_counts(events: DataFrame, ts: str, key: str, width: str, late: str
 def sessions(events: DataFrame, ts: str, key: str, gap_s: int) -> DataFrame:
     """Runs of a key's events with no pause longer than the gap."""
     w = Window.partitionBy(key).orderBy(ts)
-    new = F.coalesce((F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w)) > gap_s * 1_000_000).cast("int"), F.lit(1))
-    marked = events.withColumn("_n", new).withColumn("_s", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    at = events.withColumn("_at", epoch_micros(events, ts))
+    new = F.coalesce((F.col("_at") - F.lag("_at").over(w) > gap_s * 1_000_000).cast("int"), F.lit(1))
+    marked = at.withColumn("_n", new).withColumn("_s", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "_s").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n"))
 
 
