@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataquery.operators.graph import cut
+from strataquery.operators.graph import cut, levels
 from strataquery.operators.topk import best_per_group, top_per_group
 from strataquery.sources.stored import Parts
 
@@ -29,6 +29,30 @@ def jumps(single: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = told["open"]
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """(k, low, high, loose) of every key out of rows (k, next, low, high, loose), where a row with a `next` stands for what
+    that key gives: the least low, the greatest high, whether any is loose.
+
+    Each round reads what the last one left and writes what it leaves, so the rounds together cost about as much as the
+    graph has rows, however deep it is; a key leaves as soon as none of its rows waits. What is left then runs in circles
+    or leads to one: loose, and with an end if any key on the way has one."""
+    parts, mine = Parts(rows.sparkSession, "settled"), Window.partitionBy("k")
+
+    def add(open_: DataFrame) -> int:
+        return parts.add(open_.withColumn("ready", F.bool_and(F.col("next").isNull()).over(mine)), [F.count_if("ready").alias("ready")])[1]["ready"]
+
+    value = lambda df: df.where("ready").groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("loose").alias("loose"))
+    while add(rows):
+        now = value(parts.part(-1)).select(F.col("k").alias("next"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("loose").alias("_loose"), F.lit(True).alias("_known"))
+        left = parts.part(-1).where("NOT ready").drop("ready")
+        met = left.where("next IS NOT NULL").join(now, "next", "left")
+        pick = lambda c: F.when(F.col("_known"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+        rows = met.select("k", F.when(F.col("_known").isNull(), F.col("next")).alias("next"), pick("low"), pick("high"), pick("loose")).union(left.where("next IS NULL"))
+    rest = parts.part(-1)
+    reached = levels(rest.where("next IS NOT NULL").select(F.col("next").alias("source"), F.col("k").alias("target")), rest.where("low IS NOT NULL").select(F.col("k").alias("node")), 1 << 30)
+    return value(parts.df).union(reached.select(F.col("node").alias("k"), F.col("node").alias("low"), F.col("node").alias("high"), F.lit(True).alias("loose")))
+
+
 def import_owners(requests: DataFrame, exports: DataFrame, definitions: DataFrame) -> DataFrame:
     """(path, name, status, owner, owner_name): who defines a name imported from a facade (path, name).
 
@@ -47,19 +71,10 @@ def import_owners(requests: DataFrame, exports: DataFrame, definitions: DataFram
     led = steps.join(several, "k", "left_semi").join(chains.select(F.col("k").alias("t"), "at"), "t", "left").join(circles.select(F.col("k").alias("t"), F.lit(True).alias("_circle")), "t", "left")
     led = led.select("k", F.coalesce("at", "t").alias("t"), F.coalesce("_circle", F.lit(False)).alias("_circle")).distinct()
     led = led.join(ends.select(F.col("k").alias("t"), F.lit(True).alias("_end")), "t", "left").join(several.select(F.col("k").alias("t"), F.lit(True).alias("_more")), "t", "left")
-    open_ = cut(led.select("k", F.when(F.col("_more"), F.col("t")).alias("next"), F.when(F.col("_end"), F.col("t")).alias("end"), (F.col("_circle") | (F.col("_end").isNull() & F.col("_more").isNull())).alias("loose")))
-    known = Parts(steps.sparkSession, "owners")
-    known.add(open_.limit(0).select("k", F.col("end").alias("low"), F.col("end").alias("high"), "loose"))
-    values = lambda rows: rows.groupBy("k").agg(F.min(F.least("end", "low")).alias("low"), F.max(F.greatest("end", "high")).alias("high"), F.bool_or(F.coalesce("loose", F.lit(False)) | F.coalesce("_loose", F.lit(False))).alias("loose"), F.bool_and(F.col("next").isNull() | F.col("_known")).alias("_all"))
-    upon = lambda: known.df.select(F.col("k").alias("next"), "low", "high", F.col("loose").alias("_loose"), F.lit(True).alias("_known"))
-    waiting = lambda: open_.join(known.df.select("k"), "k", "left_anti").join(upon(), "next", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
-    while known.add(values(waiting()).where("_all").drop("_all")):
-        pass
-    # What is left leads to a circle: loose, and with an end if any name on the way has one.
-    while known.add(values(waiting()).where("low IS NOT NULL").select("k", "low", "high", F.lit(True).alias("loose"))):
-        pass
+    open_ = led.select("k", F.when(F.col("_more"), F.col("t")).alias("next"), F.when(F.col("_end"), F.col("t")).alias("end"), (F.col("_circle") | (F.col("_end").isNull() & F.col("_more").isNull())).alias("loose"))
+    known = settled(open_.select("k", "next", F.col("end").alias("low"), F.col("end").alias("high"), "loose"))
     asked = requests.select("path", "name").distinct().withColumn("k", at("path", "name")).join(chains, "k", "left").withColumn("at", F.coalesce("at", "k"))
-    rows = asked.join(ends.select(F.col("k").alias("at"), F.lit(True).alias("_end")), "at", "left").join(known.df.select(F.col("k").alias("at"), "low", "high", "loose"), "at", "left")
+    rows = asked.join(ends.select(F.col("k").alias("at"), F.lit(True).alias("_end")), "at", "left").join(known.select(F.col("k").alias("at"), "low", "high", "loose"), "at", "left")
     low, high = F.coalesce("low", F.when(F.col("_end"), F.col("at"))), F.coalesce("high", F.when(F.col("_end"), F.col("at")))
     status = F.when(low.isNull(), "unresolved").when((low == high) & ~F.coalesce("loose", F.lit(False)), "resolved-unique").otherwise("ambiguous")
     return rows.select("path", "name", status.alias("status"), F.when(status == "resolved-unique", low["path"]).alias("owner"), F.when(status == "resolved-unique", low["name"]).alias("owner_name"))
