@@ -1,8 +1,9 @@
-"""A stored inverted index: postings (token, path, lines, file_terms) and terms (token, df), as Parquet dealt by ranges of
-token and path and sorted, so a question about some terms reads the row groups that hold them and nothing of the texts.
+"""A stored inverted index: postings (token, path, lines, file_terms) and terms (token, df), as Parquet in runs sorted by token
+and path, so a question about some terms reads the pages that hold them and nothing of the texts.
 
-A token that very many files hold is spread over several files of the index by its paths. file_terms counts the distinct
-terms of the posting's file, for scores that need its length."""
+A task sorts the postings of its own files and writes them, run after run: postings are never shuffled and written once,
+and a token that very many files hold is spread over the files of the index as its texts are. file_terms counts the
+distinct terms of the posting's file, for scores that need its length."""
 
 from __future__ import annotations
 
@@ -10,20 +11,21 @@ import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import TOKEN
-from strataquery.sources.stored import stored
 
 #: Bytes of a row group: small, for one holds the postings of some hundred thousand files of a token, or of many rare ones.
 ROW_GROUP = 4 << 20
 
 
 POSTING = "token string, path string, lines array<int>, file_terms int"
-#: Tokens whose parts a task keeps, and postings of one batch.
-KEPT, BATCH = 500_000, 50_000
+#: Tokens whose parts a task keeps, postings of one batch, and bytes of Arrow memory that a task sorts at once.
+KEPT, BATCH, RUN = 500_000, 50_000, 96 << 20
 
 
 def token_terms(token: str) -> tuple[str, ...]:
@@ -48,19 +50,37 @@ def file_postings(text: str, find: Callable[[str], list[str]], known: dict[str,
     return out
 
 
-def postings_rows(files: DataFrame) -> DataFrame:
-    """token, path, lines (ascending), file_terms out of files (path, text): a file is cut once, in one pass of its task."""
+def in_order(run: pa.Table) -> pa.Table:
+    """A run by token and path. Both repeat, so their distinct values are ranked and the ranks compared."""
+
+    def ranks(name: str) -> np.ndarray:
+        coded = run[name].combine_chunks().dictionary_encode()
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+        return place[coded.indices.to_numpy()]
+
+    return run.take(pa.array(np.argsort((ranks("token") << 32) | ranks("path"), kind="stable")))
+
+
+def postings_rows(files: DataFrame, run_bytes: int = RUN) -> DataFrame:
+    """token, path, lines (ascending), file_terms out of files (path, text), in runs by token and path: a file is cut once,
+    in one pass of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = re.compile(TOKEN).findall, {}
         held: tuple[list, list, list, list] = ([], [], [], [])
+        kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32())
+        made: list[pa.RecordBatch] = []
 
-        def out() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32())
-            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], ["token", "path", "lines", "file_terms"])
+        def move() -> None:
+            made.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, kinds, strict=True)], ["token", "path", "lines", "file_terms"]))
             for c in held:
                 c.clear()
-            return made
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if any(b.num_rows for b in made):
+                yield from in_order(pa.Table.from_batches(made).combine_chunks()).to_batches(max_chunksize=BATCH)
+            made.clear()
 
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -68,8 +88,11 @@ def postings_rows(files: DataFrame) -> DataFrame:
                 for column, values in zip(held, (terms.keys(), [path] * len(terms), terms.values(), [len(terms)] * len(terms)), strict=True):
                     column.extend(values)
                 if len(held[0]) >= BATCH:
-                    yield out()
-        yield out()
+                    move()
+                    if sum(x.nbytes for x in made) >= run_bytes:
+                        yield from out()
+        move()
+        yield from out()
 
     return files.select("path", "text").mapInArrow(run, POSTING)
 
@@ -84,10 +107,7 @@ class Postings:
     def write(cls, files: DataFrame, path: str, row_group: int = ROW_GROUP) -> Postings:
         cores = files.sparkSession.sparkContext.defaultParallelism
         spread = files if files.rdd.getNumPartitions() >= cores else files.repartition(cores, "path")
-        # Written as they come, so that the texts are cut once: dealing by ranges reads its rows twice.
-        rows = stored(postings_rows(spread), "postings")
-        out = rows.repartitionByRange("token", "path").sortWithinPartitions("token", "path")
-        out.write.option("parquet.block.size", row_group).option("parquet.page.row.count.limit", 10_000).parquet(f"{path}/postings")
+        postings_rows(spread).write.option("parquet.block.size", row_group).option("parquet.page.row.count.limit", 10_000).parquet(f"{path}/postings")
         index = cls(files.sparkSession, path)
         df = index.rows().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         df.repartitionByRange("token").sortWithinPartitions("token").write.option("parquet.block.size", row_group).parquet(f"{path}/terms")

@@ -103,3 +103,25 @@ def test_parts_and_stored_tables(spark):
     assert [parts.add(spark.range(n).withColumn("k", F.lit(n))) for n in (3, 0, 5)] == [3, 0, 5]
     assert parts.df.count() == 8 and parts.part(0).count() == 3 and parts.part(-1).count() == 5 and parts.rows == [3, 0, 5]
     assert stored(spark.range(0)).count() == 0
+
+
+def test_writing_shuffles_no_postings(spark, corpus, tmp_path, monkeypatch):
+    """What is dealt to other tasks is at most the texts and the counts of tokens, and the postings are written once."""
+    from strataquery.sources import postings as P
+
+    made = []
+    monkeypatch.setattr(P, "postings_rows", lambda *a, rows=P.postings_rows: made.append(rows(*a, run_bytes=1)) or made[-1])
+    index = Postings.write(corpus, str(tmp_path / "runs"))
+    assert index.rows().rdd.getNumPartitions() >= 1 and not hasattr(P, "stored")
+    assert sorted(map(tuple, index.rows().collect())) == sorted(map(tuple, Postings.write(corpus, str(tmp_path / "whole")).rows().collect()))
+    assert made[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1  # the fixture's own repartition
+
+
+def test_runs_are_in_order():
+    import pyarrow as pa
+
+    from strataquery.sources.postings import in_order
+
+    rows = [(t, p, [i], i) for i, (t, p) in enumerate([("b", "y"), ("a", "z"), ("é", "x"), ("b", "x"), ("a", "y"), ("Z", "y")])]
+    got = in_order(pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["token", "path", "lines", "file_terms"])).to_pylist()
+    assert [(r["token"], r["path"]) for r in got] == sorted((r[0], r[1]) for r in rows) and all(r["lines"] == [r["file_terms"]] for r in got)
