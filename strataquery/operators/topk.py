@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataquery.operators import graph
+from strataquery.sources.stored import Parts
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list, n: int, rank: str = "rn") -> DataFrame:
@@ -103,24 +104,22 @@ def prefix_budget(df: DataFrame, keys: list[str], order: list[str], cost: str, b
 
 def greedy_cover(df: DataFrame, group: str, item: str, terms: str, n: int) -> DataFrame:
     """Per group, up to n items, each time the one that covers most terms not yet covered (ties: smaller item). Groups may
-    be of any size: each pick is one aggregate over what is not covered yet."""
-    left = graph.cut(df.select(group, item, F.explode(terms).alias("_t")).distinct())
-    sizes = df.select(group, item).distinct().join(left.groupBy(group, item).agg(F.count(F.lit(1)).alias("n_terms")), [group, item], "left")
-    items = graph.cut(sizes.select(group, item, F.coalesce("n_terms", F.lit(0)).cast("int").alias("n_terms")))
-    picks = []
+    be of any size: terms are written once, a row for each item; a pick reads them past a table of what is covered, which
+    is as small as the items picked so far, and sends one row an item to where the best is found."""
+    merged = df.groupBy(group, item).agg(F.array_distinct(F.flatten(F.collect_list(terms))).alias("_ts"))
+    items = graph.cut(merged.withColumn("n_terms", F.size("_ts")))
+    picks, covered = Parts(df.sparkSession, "picks"), Parts(df.sparkSession, "covered")
     for k in range(n):
-        gain = left.groupBy(group, item).agg(F.count(F.lit(1)).alias("_gain"))
-        ranked = items.join(gain, [group, item], "left").withColumn("_gain", F.coalesce("_gain", F.lit(0)))
-        pick = graph.cut(best_per_group(ranked, [group], [F.desc("_gain"), item]).select(group, item, F.lit(k + 1).alias("pick"), "n_terms"))
-        if pick.isEmpty():
+        left = items.join(picks.df.select(group, item), [group, item], "left_anti") if k else items
+        each = left.select(group, item, "n_terms", F.explode_outer("_ts").alias("_t"))
+        hit = each.join(covered.df.select(group, "_t", F.lit(True).alias("_hit")), [group, "_t"], "left") if k else each.withColumn("_hit", F.lit(None))
+        gain = hit.groupBy(group, item, "n_terms").agg(F.count_if(F.col("_t").isNotNull() & F.col("_hit").isNull()).alias("_gain"))
+        best = gain.groupBy(group).agg(F.min_by(F.struct(item, "n_terms"), F.struct(-F.col("_gain"), item)).alias("_b"))
+        if not picks.add(best.select(group, F.col("_b")[item].alias(item), F.lit(k + 1).alias("pick"), "_b.n_terms")):
             break
-        picks.append(pick)
-        if k + 1 < n:
-            items = items.join(pick.select(group, item), [group, item], "left_anti")
-            covered = left.join(pick.select(group, item), [group, item], "left_semi").select(group, "_t")
-            left = graph.cut(left.join(covered, [group, "_t"], "left_anti"))
-    none = items.select(group, item, F.lit(0).alias("pick"), "n_terms").limit(0)
-    return reduce(DataFrame.unionByName, picks, none)
+        new = items.join(picks.part(-1).select(group, item), [group, item]).select(group, F.explode("_ts").alias("_t"))
+        covered.add(new.join(covered.df, [group, "_t"], "left_anti").distinct() if k else new)
+    return picks.df
 
 
 def first_seen_rank(df: DataFrame, keys: list[str], path: str, rank: str) -> DataFrame:
