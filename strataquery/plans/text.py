@@ -47,9 +47,11 @@ def collected_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT path, count(DISTINCT CASE WHEN token = 'the' THEN line END) AS with_the, count(DISTINCT line) AS n_lines FROM postings GROUP BY path HAVING count(DISTINCT CASE WHEN token = 'the' THEN line END) >= 3")
 def conditional_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.index(spark, sf).rows().select("path", F.when(F.col("token") == "the", F.size("lines")).alias("the"), F.explode("lines").alias("line"))
-    p = rows.groupBy("path").agg(F.coalesce(F.max("the"), F.lit(0)).cast("long").alias("with_the"), F.countDistinct("line").alias("n_lines"))
-    return p.where("with_the >= 3")
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    the = C.index(spark, sf).of(["the"]).groupBy("path").agg(distinct("lines").alias("with_the"))
+    # A line has a posting where it has a token: its number is told in the row, and no posting of another word is read.
+    told = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(x.rlike(T.TOKEN), i)), lambda i: i.isNotNull())
+    return the.where("with_the >= 3").join(C.files(spark, sf).select("path", told.alias("told")), "path").groupBy("path", "with_the").agg(distinct("told").alias("n_lines"))
 
 
 @query(f"WITH {C.POSTINGS_SQL} SELECT token, count(*) AS n FROM postings GROUP BY token ORDER BY n DESC, token LIMIT 25")
