@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataquery.functions.text import impact_role
+from strataquery.functions.text import impact_role, short_name
 from strataquery.operators import lookup, topk
 from strataquery.operators.rank import confidence
 
@@ -79,38 +79,55 @@ def nominations(symbols: DataFrame, names: DataFrame) -> DataFrame:
     return hit.select("name", F.when(F.col("n") == 0, "unresolved").when(one, "resolved-unique").otherwise("ambiguous").alias("status"), F.when(one, F.col("qualname")).alias("qualname"), F.when(one, F.col("path")).alias("path"))
 
 
-def absolute_import(target: Column, path: Column, module: Column) -> Column:
-    """The dotted name that a Python import means: leading dots are resolved from the package of the importing file; null
-    where they lead out of it. A module outside of any package imports beside itself."""
-    dots = F.length(F.regexp_extract(target, r"^(\.*)", 1))
-    package = F.when(path.rlike(r"(^|/)__init__\.pyi?$"), module).otherwise(F.regexp_replace(module, r"(^|\.)[^.]*$", ""))
-    parts = F.filter(F.split(package, r"\."), lambda x: x != "")
-    base = F.when(dots - 1 <= F.size(parts), F.slice(parts, F.lit(1), F.size(parts) - (dots - 1)))
-    return F.when(dots == 0, target).otherwise(F.array_join(F.concat(base, F.array(F.regexp_replace(target, r"^\.+", ""))), "."))
+def package_prefix(path: Column, module: Column) -> Column:
+    """The package from which a file's relative imports start, with a dot behind it; empty outside of any package."""
+    whole = path.rlike(r"(^|/)__init__\.pyi?$")
+    package = F.when(whole, module).otherwise(F.substring(module, F.lit(1), F.length(module) - F.length(short_name(module)) - 1))
+    parts = F.array_remove(F.split(package, r"\."), "")
+    return F.when(F.size(parts) == 0, "").otherwise(F.concat(F.array_join(parts, "."), F.lit(".")))
 
 
-def script_path(specifier: Column, path: Column) -> Column:
-    """The path that a script's relative specifier names from a file, before any ending is tried; null where it leads out."""
-    ups = F.size(F.filter(F.split(specifier, "/"), lambda x: x == ".."))
-    rest = F.filter(F.split(specifier, "/"), lambda x: ~x.isin("", ".", ".."))
-    folder = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
-    return F.when(ups <= F.size(folder), F.array_join(F.concat(F.slice(folder, F.lit(1), F.size(folder) - ups), rest), "/"))
+def absolute_import(target: Column, prefix: Column) -> Column:
+    """The dotted name that a relative Python import means: its leading dots are resolved from the package of the importing
+    file (`package_prefix`); null where they lead out of it. A module outside of any package imports beside itself."""
+    name = F.ltrim(target, F.lit("."))
+    ups = F.length(target) - F.length(name) - 1
+    parts = F.split(prefix, r"\.")  # the last is empty
+    above = F.when(ups < F.size(parts), F.array_join(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1 - ups), F.array(name)), "."))
+    return F.when(target == F.concat(F.lit("."), name), F.concat(prefix, name)).otherwise(above)
+
+
+def script_paths(imports: DataFrame) -> DataFrame:
+    """(source_path, base): the path that a script's relative specifier (source_path, target) names from its file, before any
+    ending is tried, with a slash before it; empty where it leads out. Never null, so that a join doesn't work it out twice."""
+    steps, parts, last = F.split("target", "/"), F.split("source_path", "/"), F.substring_index("target", "/", -1)
+    onward = F.array_remove(steps, "..")
+    ups = F.size(steps) - F.size(onward)
+    rest = F.array_remove(F.array_remove(onward, "."), "")
+    above = F.when(ups < F.size(parts), F.array_join(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1 - ups), rest), "/"))
+    folder = F.substring("source_path", F.lit(1), F.length("source_path") - F.length(F.substring_index("source_path", "/", -1)))
+    beside = (F.col("target") == F.concat(F.lit("./"), last)) & ~last.isin("", ".", "..")
+    return imports.select("source_path", F.coalesce(F.concat(F.lit("/"), F.when(beside, F.concat(folder, last)).otherwise(above)), F.lit("")).alias("base"))
 
 
 def import_graph(files: DataFrame, edges: DataFrame, native: DataFrame | None = None) -> DataFrame:
     """File to file (source, target): Python imports, relative ones too, with the module of the longest known prefix (all
     paths of a module that several have); scripts' relative specifiers with the first ending under which there is a file;
-    and what a build reports itself (`native`: source, target)."""
+    and what a build reports itself (`native`: source, target).
+
+    An import is one row on its way: names are met by what was found for each distinct name, specifiers by the files with
+    their endings taken off. Only relative names meet the module of their file."""
     known = files.where("module_name IS NOT NULL")
     modules = known.select(F.col("module_name").alias("module"), F.col("path").alias("target_path"))
-    imports = edges.where("kind = 'import'").select(F.col("path").alias("source_path"), "target").distinct()
-    script = F.col("target").rlike(r"^\.{1,2}/")
-    own = imports.where(~script).join(known.select(F.col("path").alias("source_path"), "module_name"), "source_path", "left")
-    named = own.select("source_path", F.when(F.col("module_name").isNull(), F.col("target")).otherwise(absolute_import(F.col("target"), F.col("source_path"), F.col("module_name"))).alias("name")).where("name IS NOT NULL")
-    found = lookup.longest_prefix(named.select("name").distinct(), modules.select("module").distinct(), "name", "module")
-    pairs = named.join(found, "name").join(modules, "module").select("source_path", "target_path")
-    tried = imports.where(script).select("source_path", "target", F.posexplode(lookup.script_candidates(script_path(F.col("target"), F.col("source_path")))).alias("_at", "target_path"))
-    scripts = tried.join(files.select(F.col("path").alias("target_path")).distinct(), "target_path").groupBy("source_path", "target").agg(F.min_by("target_path", "_at").alias("target_path"))
+    imports = edges.where("kind = 'import'").select(F.col("path").alias("source_path"), "target")
+    target = F.col("target")
+    script, dotted = target.startswith("./") | target.startswith("../"), target.startswith(".")
+    own = imports.where(dotted & ~script).join(known.select(F.col("path").alias("source_path"), package_prefix(F.col("path"), F.col("module_name")).alias("prefix")), "source_path", "left")
+    name = F.when(F.col("prefix").isNull(), target).otherwise(absolute_import(target, F.col("prefix")))
+    named = imports.where(~dotted).select("source_path", target.alias("name")).union(own.select("source_path", name.alias("name")))
+    found = lookup.longest_prefix(named.select("name").distinct(), modules.select("module").distinct(), "name", "module").join(modules, "module")
+    pairs = named.join(found.select("name", "target_path"), "name").select("source_path", "target_path")
+    scripts = script_paths(imports.where(script)).join(lookup.script_files(files.select(F.col("path").alias("target_path")), "target_path", "base"), "base")
     pairs = pairs.union(scripts.select("source_path", "target_path"))
     if native is not None:
         pairs = pairs.union(native.select("source", "target"))

@@ -104,10 +104,23 @@ def nearest_root(paths: DataFrame, roots: DataFrame, path: str, root: str) -> Da
     return tried.join(roots.select(root).distinct(), root).groupBy(path).agg(F.max_by(root, F.length(root)).alias(root))
 
 
+#: Fixed value: endings that a script's relative import leaves out, in the order in which they are tried.
+SCRIPT_ENDS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+
+
 def script_candidates(specifier: Column) -> Column:
     """Files that a script's relative import may mean, in order."""
-    ends = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
-    return F.array(*[F.concat(specifier, F.lit(e)) for e in ends])
+    return F.array(*[F.concat(specifier, F.lit(e)) for e in SCRIPT_ENDS])
+
+
+def script_files(files: DataFrame, path: str, base: str) -> DataFrame:
+    """(base, path): the first of the `script_candidates` of a base that is a file, for every base that has one, a slash put
+    before it. Endings are taken off the files, so that a join on the base has one row for each import instead of one for
+    each candidate."""
+    col = F.col(path)
+    cut_ = lambda e: F.when(col.endswith(e), F.concat(F.lit("/"), F.substring(col, F.lit(1), F.length(col) - len(e))))
+    ends = files.select(path, F.posexplode(F.array(*map(cut_, SCRIPT_ENDS))).alias("_at", base)).where(F.col(base).isNotNull())
+    return ends.groupBy(base).agg(F.min_by(path, "_at").alias(path))
 
 
 def contains_join(texts: DataFrame, text: Column, terms: DataFrame, term: str) -> DataFrame:
