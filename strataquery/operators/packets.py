@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataquery.functions.text import digest
 from strataquery.operators.topk import top_per_group
+from strataquery.sources.stored import Parts
 
 
 def edges_from(edges: DataFrame, path: str, source: str, n: int) -> DataFrame:
@@ -126,20 +127,25 @@ def changed_set(changed: DataFrame, reach: DataFrame, verifiers: DataFrame, per_
 def evaluated(nodes: DataFrame, edges: DataFrame, value: str, combine: Callable[[Column, Column], Column], rounds: int) -> DataFrame:
     """(node, value, settled, height): a node's value out of its own and its dependencies', by a caller's function of (own,
     sorted array of theirs), level by level from the leaves (height 0); nodes not settled after `rounds`, those on cycles
-    included, keep null. `incremental.recomputed` brings the values up to date."""
-    from strataquery.operators.graph import cut
-
-    e = cut(edges.select("source", "target").distinct())
-    need = e.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("_need"))
-    base = cut(nodes.select("node", value).join(need, "node", "left").na.fill(0, ["_need"]))
-    done = cut(base.where("_need = 0").select("node", combine(F.col(value), F.array().cast(f"array<{dict(nodes.dtypes)[value]}>")).alias("v"), F.lit(0).alias("height")))
-    for height in range(1, rounds + 1):
-        ready = e.join(done.select(F.col("node").alias("target"), "v"), "target").groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("_have"), F.array_sort(F.collect_list("v")).alias("_vs"))
-        new = cut(base.join(ready, "node").where("_have = _need").join(done.select("node"), "node", "left_anti").select("node", combine(F.col(value), F.col("_vs")).alias("v"), F.lit(height).alias("height")))
-        if new.isEmpty():
+    included, keep null. `incremental.recomputed` brings the values up to date.
+
+    A round reads and writes only the dependencies of nodes that still wait. Its joins are merged, never broadcast, for
+    each of them would send up to a broadcast's size through the driver."""
+    own, mine = F.col(value), Window.partitionBy("node")
+    made = dict(nodes.select(combine(own, F.array().cast(f"array<{dict(nodes.dtypes)[value]}>")).alias("v")).dtypes)["v"]
+    needs = edges.select(F.col("source").alias("node"), "target", F.lit(False).alias("known")).distinct()
+    rows = nodes.select("node", own.alias("own")).join(needs.hint("merge"), "node", "left").select("node", "own", "target", F.coalesce("known", F.lit(True)).alias("known"), F.lit(None).cast(made).alias("v"))
+    parts = Parts(nodes.sparkSession, "evaluated")
+    values = lambda df: df.where("ready").groupBy("node", "height").agg(F.first("own").alias("own"), F.array_sort(F.collect_list("v")).alias("_vs")).select("node", combine(F.col("own"), F.col("_vs")).cast(made).alias("v"), "height")
+    for height in range(rounds + 1):
+        n, told = parts.add(rows.withColumn("ready", F.bool_and("known").over(mine)).withColumn("height", F.lit(height)), [F.count_if("ready").alias("ready")])
+        if told["ready"] in (0, n):
             break
-        done = cut(done.union(new))
-    return nodes.select("node").join(done, "node", "left").select("node", F.col("v").alias("value"), F.col("v").isNotNull().alias("settled"), "height")
+        now = values(parts.part(-1)).select(F.col("node").alias("target"), F.col("v").alias("_v"), F.lit(True).alias("_now"))
+        left = parts.part(-1).where("NOT ready")
+        met = left.where("NOT known").join(now.hint("merge"), "target", "left").select("node", "own", "target", F.coalesce("_now", F.lit(False)).alias("known"), F.col("_v").alias("v"))
+        rows = met.union(left.where("known").select(met.columns))
+    return nodes.select("node").join(values(parts.df).hint("merge"), "node", "left").select("node", F.col("v").alias("value"), F.col("v").isNotNull().alias("settled"), "height")
 
 
 def retried(run: Callable[[], DataFrame], passing: tuple[type[Exception], ...], times: int = 3) -> DataFrame:

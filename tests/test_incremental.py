@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataquery.engine import Engine
 from strataquery.operators import incremental, packets
+from strataquery.sources.stored import Parts
 
 MOST = lambda own, theirs: F.greatest(own, F.coalesce(F.array_max(theirs), own))
 
@@ -87,3 +88,23 @@ def test_engine_keeps_counts(spark, tmp_path, tmp_path_factory):
     for name, kept in counts.items():
         assert sorted(map(str, kept.df.collect())) == sorted(map(str, whole[name].df.collect()))
     assert changed["languages"] == 1 and {r["token"]: r["n"] for r in counts["terms"].df.collect()}["alpha"] == 3
+
+
+def test_rounds_write_only_what_waits(spark, monkeypatch):
+    """A line and leaves: what has settled is not written again in later rounds, and nothing is broadcast."""
+    written, add = [], Parts.add
+
+    def spy(self, df, sums=None):
+        told = add(self, df, sums)
+        written.append(self.rows[-1])
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        return told
+
+    monkeypatch.setattr(Parts, "add", spy)
+    nodes = spark.createDataFrame([(n, n % 4) for n in range(30)], "node int, v int")
+    edges = spark.createDataFrame([(n, n - 1) for n in range(1, 6)] + [(5, 20), (8, 9), (9, 8), (10, 77)], "source int, target int")
+    got = packets.evaluated(nodes, edges, "v", MOST, 9)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    own = {n: (n % 4, 0) for n in range(30)} | {1: (1, 1), 2: (2, 2), 3: (3, 3), 4: (3, 4), 5: (3, 5)} | dict.fromkeys((8, 9, 10), (None, None))
+    assert {r["node"]: (r["value"], r["height"]) for r in got.collect()} == own
+    assert written == [31, 9, 8, 7, 6, 5, 3]
