@@ -18,26 +18,30 @@ def recomputed(nodes: DataFrame, edges: DataFrame, before: DataFrame, changed: D
     before: (node, value, height) of `packets.evaluated`, over the same edges (source depends on target). Heights are gone
     through from below: a node is computed once, when all that it depends on is settled, and only if one of these has
     really changed; where the value stays the same, what depends on it isn't looked at. Nodes that were not settled
-    before (on circles) stay out. A wave is one job for its values and one for what it calls upon."""
+    before (on circles) stay out. A wave is one job for its values and one for what it calls upon. It meets the nodes and
+    edges of its height alone, and its joins are merged, never broadcast, for each of them would send up to a broadcast's
+    size through the driver."""
     spark = nodes.sparkSession
-    e = cut(edges.select("source", "target").distinct())
-    old = cut(before.where("height IS NOT NULL").select("node", F.col("value").alias("was"), "height"))
-    own = nodes.select("node", F.col(value).alias("own"))
+    known = cut(before.where("height IS NOT NULL").select("node", F.col("value").alias("was"), "height"))
+    named = lambda name, *columns: known.select(F.col("node").alias(name), *columns).hint("merge")
+    old = cut(known.join(nodes.select("node", F.col(value).alias("own")).hint("merge"), "node"))
+    e = edges.select("source", "target").distinct().join(named("source", F.col("height").alias("at")), "source")
+    e = cut(e.join(named("target", "was", F.col("height").alias("below")), "target"))
     asked, done = Parts(spark, "asked"), Parts(spark, "again")
     heights = lambda df: asked.add(df, [F.collect_set("height").alias("at")])[1]["at"]  # noqa: E731  as many as the graph is high
-    open_ = set(heights(old.join(changed.select("node").distinct(), "node", "left_semi").select("node", "height")))
+    open_ = set(heights(old.join(changed.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "height")))
     kind = dict(before.dtypes)["value"]
     while open_:
         at = min(open_)
         open_.discard(at)
         wave = asked.df.where(F.col("height") == at).select("node").distinct()
-        now = done.df.where("changed").select("node", F.col("value").alias("_now")) if done.rows else old.limit(0).select("node", F.col("was").alias("_now"))
-        needs = e.join(wave.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("source").alias("for"), F.col("target").alias("node"))
-        theirs = needs.join(old.select("node", "was"), "node").join(now, "node", "left").groupBy(F.col("for").alias("node")).agg(F.array_sort(F.collect_list(F.coalesce("_now", "was"))).alias("_vs"))
-        again = wave.join(old, "node").join(own, "node").join(theirs, "node", "left").withColumn("value", combine(F.col("own"), F.coalesce("_vs", F.array().cast(f"array<{kind}>"))))
+        now = done.df.where("changed").select(F.col("node").alias("target"), F.col("value").alias("_now")) if done.rows else old.limit(0).select(F.col("node").alias("target"), F.col("was").alias("_now"))
+        needs = e.where(F.col("at") == at).join(wave.withColumnRenamed("node", "source").hint("merge"), "source", "left_semi")
+        theirs = needs.join(now.hint("merge"), "target", "left").groupBy(F.col("source").alias("node")).agg(F.array_sort(F.collect_list(F.coalesce("_now", "was"))).alias("_vs"))
+        again = old.where(F.col("height") == at).join(wave.hint("merge"), "node").join(theirs.hint("merge"), "node", "left").withColumn("value", combine(F.col("own"), F.coalesce("_vs", F.array().cast(f"array<{kind}>"))))
         done.add(again.select("node", "value", (~F.col("value").eqNullSafe(F.col("was"))).alias("changed")))
-        upon = e.join(done.part(-1).where("changed").select(F.col("node").alias("target")), "target", "left_semi").select(F.col("source").alias("node")).distinct()
-        open_ |= set(heights(upon.join(old.select("node", "height"), "node").select("node", "height")))
+        upon = e.where(F.col("below") == at).join(done.part(-1).where("changed").select(F.col("node").alias("target")).hint("merge"), "target", "left_semi")
+        open_ |= set(heights(upon.select(F.col("source").alias("node"), F.col("at").alias("height")).distinct()))
     return done.df if done.rows else old.limit(0).select("node", F.col("was").alias("value"), F.lit(True).alias("changed"))
 
 

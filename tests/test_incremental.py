@@ -108,3 +108,20 @@ def test_rounds_write_only_what_waits(spark, monkeypatch):
     own = {n: (n % 4, 0) for n in range(30)} | {1: (1, 1), 2: (2, 2), 3: (3, 3), 4: (3, 4), 5: (3, 5)} | dict.fromkeys((8, 9, 10), (None, None))
     assert {r["node"]: (r["value"], r["height"]) for r in got.collect()} == own
     assert written == [31, 9, 8, 7, 6, 5, 3]
+
+
+def test_waves_broadcast_nothing(spark, monkeypatch):
+    """What a wave meets is merged, so that no wave sends tables through the driver."""
+    plans, add = [], Parts.add
+
+    def spy(self, df, sums=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return add(self, df, sums)
+
+    nodes, edges = spark.createDataFrame([(1, 5), (2, 3), (3, 1)], "node int, v int"), spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "source int, target int")
+    before = packets.evaluated(nodes, edges, "v", MOST, 9)
+    now = nodes.withColumn("v", F.when(F.col("node") == 3, 9).otherwise(F.col("v")))
+    monkeypatch.setattr(Parts, "add", spy)
+    got = incremental.recomputed(now, edges, before, nodes.where("node = 3"), "v", MOST)
+    assert sorted(map(tuple, got.collect())) == [(1, 9, True), (2, 9, True), (3, 9, True)]
+    assert len(plans) == 10 and not any("Broadcast" in p for p in plans)
