@@ -60,11 +60,13 @@ def declaration_delta(before: DataFrame, after: DataFrame, group: str) -> DataFr
 
 
 def claim_delta(before: DataFrame, after: DataFrame, keys: list[str], producer: str = "producer") -> DataFrame:
-    """Per producer: claims added, removed and kept. Producers are never mixed, and no cause is inferred."""
-    l = before.select(producer, *keys).distinct().withColumn("_l", F.lit(True))  # noqa: E741
-    both = l.join(after.select(producer, *keys).distinct().withColumn("_r", F.lit(True)), [producer, *keys], "full_outer")
-    n = lambda c, name: F.count_if(c).alias(name)
-    return both.groupBy(producer).agg(n(F.col("_l").isNull(), "added"), n(F.col("_r").isNull(), "removed"), n(F.col("_l") & F.col("_r"), "kept"))
+    """Per producer: claims added, removed and kept. Producers are never mixed, and no cause is inferred. A claim with a null
+    is like no other, so it isn't kept. Both sides are counted in one grouping, without a join of them."""
+    side = lambda df, l, r: df.select(producer, *keys, F.lit(l).alias("_l"), F.lit(r).alias("_r"))
+    both = side(before, True, False).union(side(after, False, True)).groupBy(producer, *keys).agg(F.bool_or("_l").alias("_l"), F.bool_or("_r").alias("_r"))
+    l, r = F.col("_l"), F.col("_r")  # noqa: E741
+    alike = l & r & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [producer, *keys]])
+    return both.groupBy(producer).agg(F.count_if(r & ~alike).alias("added"), F.count_if(l & ~alike).alias("removed"), F.count_if(alike).alias("kept"))
 
 
 def locality_delta(before: DataFrame, after: DataFrame, nodes: DataFrame) -> DataFrame:
