@@ -201,9 +201,13 @@ def requalified(members: DataFrame, observed: DataFrame, key: str) -> DataFrame:
 
 def verification_chains(consumers: DataFrame, edges: DataFrame, verifiers: DataFrame, most: int | None = None) -> DataFrame:
     """(node, dependency, path, verifier): files that use a node, the node itself and what it depends on directly, and
-    the verifiers of those files. More chains than `most` are an error, for part of them would prove nothing."""
+    the verifiers of those files. More chains than `most` are an error, for part of them would prove nothing.
+
+    Distinct sides make distinct chains, so these are not grouped; files meet their verifiers first, for what a node
+    depends on multiplies the rows."""
     reach = edges.select(F.col("source").alias("node"), F.col("target").alias("dependency")).union(edges.select(F.col("source").alias("node"), F.col("source").alias("dependency"))).distinct()
-    chains = consumers.join(reach, "node").join(verifiers, "path").select("node", "dependency", "path", "verifier").distinct()
+    used = consumers.select("path", "node").distinct().join(verifiers.select("path", "verifier").distinct(), "path")
+    chains = used.join(reach, "node").select("node", "dependency", "path", "verifier")
     if most is not None and chains.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} chains")
     return chains
